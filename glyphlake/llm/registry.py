@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from glyphlake.llm import exact_dedup, quality_rules, sharding
+from glyphlake.llm import bpe, exact_dedup, html_text, packing, quality_rules, sharding
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op3_packing": packing.op3_packing,
     "op5_sharding": sharding.op5_sharding,
     "op7_quality_rules": quality_rules.op7_quality_rules,
+    "op9_html_extraction": html_text.op9_html_extraction,
+    "op10_bpe": bpe.op10_bpe,
 }
 ORACLES = {"op2_exact_dedup": exact_dedup.ORACLE}
