@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from glyphlake.llm import bpe, exact_dedup, html_text, packing, quality_rules, sharding
+from glyphlake.llm import bpe, exact_dedup, html_text, licenses, packing, quality_rules, sharding
 
 QUERIES = {
+    "op1_license_scan": licenses.op1_license_scan,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_packing": packing.op3_packing,
     "op5_sharding": sharding.op5_sharding,
