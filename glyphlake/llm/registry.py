@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from glyphlake.llm import bpe, exact_dedup, html_text, licenses, packing, quality_rules, sharding
+from glyphlake.llm import bpe, exact_dedup, html_text, licenses, packing, personal_data, quality_rules, sharding
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_packing": packing.op3_packing,
     "op5_sharding": sharding.op5_sharding,
     "op7_quality_rules": quality_rules.op7_quality_rules,
+    "op8_pii": personal_data.op8_pii,
     "op9_html_extraction": html_text.op9_html_extraction,
     "op10_bpe": bpe.op10_bpe,
 }
