@@ -8,6 +8,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -175,8 +176,6 @@ SPAN = "array<struct<kind:int,start:int,end:int,votes:string,features:string>>"
 
 
 def candidate_column(text: Column) -> Column:
-    import pandas as pd
-
     @F.pandas_udf(SPAN)
     def find(texts: pd.Series) -> pd.Series:
         return pd.Series([[dict(zip(("kind", "start", "end", "votes", "features"), c, strict=True)) for c in candidates(t)] for t in texts])
@@ -279,8 +278,6 @@ def personal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Null or empty text has no spans: counts 0, the hash of the empty string, spans ''. Null ids and
     repeated rows stay rows of their own; extra columns are left out.
     """
-    import pandas as pd
-
     found = stored(docs.select(F.col(id_col).alias("doc_id"), candidate_column(text_of(text_col)).alias("spans")), "candidates")
     chance = learn(found)
     fields = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
@@ -310,8 +307,6 @@ def redact_text(text: str, spans) -> str:
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with personal data in ``text_col`` replaced; other columns and null texts stay."""
-    import pandas as pd
-
     found = stored(docs.select(candidate_column(text_of(text_col)).alias("spans")), "candidates")
     chance = learn(found)
 
