@@ -341,5 +341,15 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     return full.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id").unionByName(none)
 
 
+def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component, the one with its smallest id; all columns stay.
+
+    Rows with a null id stay, as nothing tells them apart.
+    """
+    found = near_components(docs, width, percent, id_col, text_col)
+    others = stored(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__other")).distinct(), "others")
+    return docs.join(others.hint("merge"), docs[id_col].cast("long") == F.col("__other"), "left_anti")
+
+
 def op4_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
     return near_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=4, percent=85)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from glyphlake.llm import bpe, exact_dedup, html_text, licenses, packing, personal_data, quality_model, quality_rules, sharding
+from glyphlake.llm import bpe, exact_dedup, html_text, licenses, near_join, packing, personal_data, quality_model, quality_rules, sharding
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_packing": packing.op3_packing,
+    "op4_ngram_jaccard": near_join.op4_ngram_jaccard,
     "op5_sharding": sharding.op5_sharding,
     "op6_quality_classifier": quality_model.op6_quality_classifier,
     "op7_quality_rules": quality_rules.op7_quality_rules,
