@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from glyphlake.llm import exact_dedup, quality_rules
-from glyphlake.llm.common import stored
+from glyphlake.llm import exact_dedup, near_join, packing, personal_data, quality_rules
+from glyphlake.llm.common import stored, tokenizer_path
 
 
 def rules(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,7 +19,23 @@ def copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.drop_copies(docs)
 
 
-STAGES = [("quality_rules", rules), ("exact_dedup", copies)]
+def near_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (five-word shingles, similarity 0.8)."""
+    return near_join.drop_near_copies(docs)
+
+
+def personal(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data replaced; ``n_chars`` follows the new text."""
+    clean = personal_data.redact(docs)
+    return clean.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else clean
+
+
+def packed(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of 2048 tokens."""
+    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"))
+
+
+STAGES = [("quality_rules", rules), ("exact_dedup", copies), ("ngram_jaccard", near_copies), ("pii", personal), ("packing", packed)]
 
 
 def run(spark, sf_dir: str) -> DataFrame:
