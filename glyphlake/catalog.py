@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from pyspark.sql import DataFrame, SparkSession
 
+from glyphlake.operators.dashboard import confidence_trend
+from glyphlake.plans import queries
+from glyphlake.sources.fixtures import recognized_texts
 
-def entry(spark, sf_dir: str):
-    raise NotImplementedError
+QUERIES = queries.QUERIES
+ORACLES = queries.ORACLES
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily confidence trend of every user."""
+    return confidence_trend(recognized_texts(spark, sf_dir))
