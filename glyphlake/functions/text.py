@@ -14,14 +14,13 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-@F.pandas_udf("string")
 def _nfc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+    return texts.map(lambda t: unicodedata.normalize("NFC", t))
 
 
 def nfc(c: Column) -> Column:
-    """Normal form C; null becomes ''. Texts of ASCII characters alone skip the Python worker's work but not its trip."""
-    return _nfc(F.coalesce(c, F.lit("")))
+    """Normal form C; null becomes ''."""
+    return F.pandas_udf(_nfc, "string")(F.coalesce(c, F.lit("")))
 
 
 def char_count(c: Column, mode: str = "lines") -> Column:

@@ -6,13 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-RECOGNITIONS = T.StructType.fromDDL(
+KINDS = {"bigint": T.LongType(), "int": T.IntegerType(), "string": T.StringType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "timestamp_ntz": T.TimestampNTZType()}
+
+
+def schema(ddl: str) -> T.StructType:
+    """A flat schema from ``name type`` pairs; needs no session."""
+    return T.StructType([T.StructField(name, KINDS[kind]) for name, kind in (pair.split() for pair in ddl.split(","))])
+
+
+RECOGNITIONS = schema(
     "id bigint, document_id bigint, user_id bigint, model_used string, model_simulated boolean, text string, confidence double, processing_time_ms double, "
     "file_name string, file_type string, thumbnail string, num_chars int, num_lines int, status string, created_at timestamp_ntz"
 )
-DOCUMENTS = T.StructType.fromDDL("id bigint, original_filename string, saved_path string, uploaded_at timestamp_ntz")
-USERS = T.StructType.fromDDL("id bigint, full_name string, email string, password_hash string, university string, role string, avatar_url string, created_at timestamp_ntz")
-LINE_BOXES = T.StructType.fromDDL("page_id bigint, line_no int, text string, x int, y int, w int, h int")
+DOCUMENTS = schema("id bigint, original_filename string, saved_path string, uploaded_at timestamp_ntz")
+USERS = schema("id bigint, full_name string, email string, password_hash string, university string, role string, avatar_url string, created_at timestamp_ntz")
+LINE_BOXES = schema("page_id bigint, line_no int, text string, x int, y int, w int, h int")
 #: The models that the library knows (fixed values).
 MODELS = (("crnn", "CRNN"), ("transformer", "Transformer OCR"))
 
@@ -54,7 +62,7 @@ def write_recognitions(df: DataFrame, path: str) -> None:
 
 def write_text(df: DataFrame, path: str, column: str = "text", bom: bool = False) -> None:
     """One text file per partition, UTF-8; with ``bom`` each text begins with a byte order mark."""
-    text = F.concat(F.lit("﻿"), F.col(column)) if bom else F.col(column)
+    text = F.concat(F.lit("\ufeff"), F.col(column)) if bom else F.col(column)
     df.select(text.alias("value")).write.text(path)
 
 
