@@ -232,11 +232,32 @@ def _may_link(percent: int) -> Column:
     return (na * 100 >= nb * percent) & (nb * 100 >= na * percent) & (apart * (100 + percent) <= (na + nb) * (100 - percent))
 
 
+def signs_of(tokens: np.ndarray) -> np.ndarray:
+    """Parity signature of a set with half a bit for each token at least, as 64-bit words."""
+    bits = 64 * PARITY_WORDS
+    while 2 * bits < len(tokens):
+        bits *= 2
+    return np.packbits((np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).view("<i8")
+
+
+def _sign_distance(a: Column, b: Column) -> Column:
+    """Differing bits of two signatures; a longer one is folded to the length of the other (half of it: sizes are near)."""
+
+    def folded(x: Column, to: Column) -> Column:
+        half = F.size(to)
+        return F.when(F.size(x) > half, F.zip_with(F.slice(x, 1, half), F.slice(x, half + 1, half), lambda p, q: p.bitwiseXOR(q))).otherwise(x)
+
+    return F.aggregate(F.zip_with(folded(a, b), folded(b, a), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, x: n + x)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``a, b`` whose sets are this similar, by exact intersection."""
+    """Pairs ``a, b`` whose sets are this similar: first by signatures that grow with the sets, then by exact intersection."""
+    short = [sets.select(F.col("s").alias(k), F.col("n").alias(f"n{k}"), F.col("signs").alias(f"x{k}")) for k in "ab"]
+    near = pairs.join(short[0].hint("merge"), "a").join(short[1].hint("merge"), "b")
+    near = near.where(_sign_distance(F.col("xa"), F.col("xb")) * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select("a", "b")
     left = sets.select(F.col("s").alias("a"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("s").alias("b"), F.col("tokens").alias("tb"))
-    both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
+    both = stored(near, "near").join(left.hint("merge"), "a").join(right.hint("merge"), "b")
     shared = F.size(F.array_intersect("ta", "tb"))
     return both.select("a", "b", F.size("ta").alias("na"), F.size("tb").alias("nb"), shared.alias("o")).where(F.col("o") * 100 >= (F.col("na") + F.col("nb") - F.col("o")) * percent).select("a", "b")
 
@@ -266,11 +287,11 @@ def _fetch(texts: DataFrame, wanted: DataFrame, width: int, bits: int = 23) -> D
             rows = []
             for i, text in zip(batch["doc_id"][some], batch["text"][some], strict=True):
                 tokens = shingle_set(text, width)
-                rows.append((int(i), int(np.frombuffer(xxhash.xxh3_128_digest(tokens.tobytes()), "<i8")[0]), tokens.astype(np.int64)))
-            yield pd.DataFrame(rows, columns=["doc_id", "s", "tokens"])
+                rows.append((int(i), int(np.frombuffer(xxhash.xxh3_128_digest(tokens.tobytes()), "<i8")[0]), len(tokens), signs_of(tokens), tokens.astype(np.int64)))
+            yield pd.DataFrame(rows, columns=["doc_id", "s", "n", "signs", "tokens"])
 
-    found = texts.where("doc_id IS NOT NULL").withColumn("h", F.xxhash64("doc_id")).mapInPandas(run, "doc_id long, s long, tokens array<long>")
-    return found.join(wanted.hint("merge"), ["doc_id", "s"]).select("s", "tokens").dropDuplicates(["s"])
+    found = texts.where("doc_id IS NOT NULL").withColumn("h", F.xxhash64("doc_id")).mapInPandas(run, "doc_id long, s long, n int, signs array<long>, tokens array<long>")
+    return found.join(wanted.hint("merge"), ["doc_id", "s"]).select("s", "n", "signs", "tokens").dropDuplicates(["s"])
 
 
 def near_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
