@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from glyphlake.llm.common import ascii_lower, let, stored, text_of
 
@@ -41,9 +42,9 @@ TEMPLATES: dict[str, tuple[str, tuple[str, ...]]] = {
     "unlicense": ("this is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
     "boost": ("distributed under the boost software license version 1 0", ("boost software license",)),
 }
-#: Words of each template that the index holds: those of highest IDF over the scanned documents.
-RAREST = 12
-#: Share of a template's indexed weight that must align at one place.
+#: Licence words of a file that are looked up: those of highest IDF over the scanned documents.
+RAREST = 16
+#: Share of the weight of the file's words that a template holds which must align at one place.
 LEAST_SHARE = 0.3
 #: Places of a posting may drift by less than this many words (an inserted name, a line number).
 DRIFT = 4
@@ -88,11 +89,11 @@ def vocabulary() -> dict[str, list[tuple[str, int]]]:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score``.
 
-    Document frequencies of the licence words are counted over all documents. Of each template the
-    RAREST words of highest IDF are indexed with their positions; the words of a text that the index
-    holds vote for (template, text position - template position), and a template is a match where votes
-    within DRIFT words of each other hold LEAST_SHARE of its indexed weight and the text holds a
-    mandatory phrase. ``score`` is 1 with a base phrase, else the best share of a matching template, else 0.
+    Document frequencies of the licence words are counted over all documents. The index holds each word
+    of the templates with its positions. The RAREST licence words of a text, by IDF, vote for (template,
+    text position - template position), and a template is a match where votes within DRIFT words of each other
+    hold LEAST_SHARE of the weight of those words that it has, and the text holds a mandatory phrase.
+    ``score`` is 1 with a base phrase, else the best share of a matching template, else 0.
 
     Null text counts as empty: no words, labels '' and score 0. Null ids and repeated rows stay rows
     of their own. An empty table gives an empty result.
@@ -100,19 +101,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     spark, words = docs.sparkSession, vocabulary()
     spaced = docs.select(F.col(id_col).alias("doc_id"), spaced_words(text_of(text_col)).alias("t"))
     every = re.compile(r"\d").search
-    rare = sorted(w for w in words if len(w) > 3 and not every(w))
-    # A text without any licence word of some length cannot match a template, so it is passed over.
+    rare = sorted(w for w in words if len(w) > 2 and not every(w))
     seen = spaced.select(F.explode(F.array_intersect(F.split("t", " "), F.array(*map(F.lit, rare)))).alias("w"))
     counts = {r["w"]: r["n"] for r in seen.groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}  # licence words only
     total = max(1, docs.count())
     weight = {w: _idf(total, counts.get(w, 0)) for w in rare}
-    index: list[tuple[str, str, int, float]] = []
-    whole: dict[str, float] = {}
-    for label, (text, _) in TEMPLATES.items():
-        best = sorted({w for w in text.split() if w in weight}, key=lambda w: (-weight[w], w))[:RAREST]
-        whole[label] = sum(weight[w] for w in best)
-        index += [(w, label, i, weight[w]) for w in best for at, i in words[w] if at == label]
-    held = sorted({row[0] for row in index})
+    index = [(w, label, i) for w in rare for label, i in words[w]]
+    held = rare
 
     def per_text(t: Column) -> Column:
         def fields(w: Column) -> Column:
@@ -136,20 +131,22 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     rows = spaced.select("doc_id", F.monotonically_increasing_id().alias("row"), let(F.col("t"), per_text).alias("s")).select("doc_id", "row", "s.*")
     rows = stored(rows, "licence_words")
-    postings = F.broadcast(spark.createDataFrame(index, "word string, label string, place int, weight double"))  # RAREST words a template
+    postings = F.broadcast(spark.createDataFrame(index, "word string, label string, place int"))  # words of the templates
+    idf = F.broadcast(spark.createDataFrame(list(weight.items()), "word string, weight double"))
+    hits = rows.where("hits IS NOT NULL").select("row", "keys", F.explode("hits").alias("h")).select("row", "keys", F.col("h.w").alias("word"), F.col("h.i").alias("i"))
+    top = hits.select("row", "word").distinct().join(idf, "word").withColumn("rank", F.row_number().over(Window.partitionBy("row").orderBy(F.desc("weight"), "word"))).where(F.col("rank") <= RAREST)
     votes = (
-        rows.where("hits IS NOT NULL")
-        .select("row", "keys", F.explode("hits").alias("h"))
-        .select("row", "keys", F.col("h.w").alias("word"), F.col("h.i").alias("i"))
+        hits.join(top.select("row", "word", "weight").hint("merge"), ["row", "word"])
         .join(postings, "word")
         .where(F.array_contains("keys", F.col("label")))
         .select("row", "label", "word", "weight", F.floor((F.col("i") - F.col("place")) / DRIFT).alias("shift"))
     )
     # A shift lies in its own cell and the next, so that votes on both sides of a cell's edge meet.
     cells = votes.select("row", "label", "word", "weight", F.explode(F.array("shift", F.col("shift") + 1)).alias("cell"))
-    aligned = cells.groupBy("row", "label", "cell", "word").agg(F.max("weight").alias("weight")).groupBy("row", "label", "cell").agg(F.sum("weight").alias("weight"))
-    full = F.create_map(*[x for label, w in whole.items() for x in (F.lit(label), F.lit(w))])
-    shares = aligned.select("row", "label", F.least(F.lit(1.0), F.round(F.col("weight") / full[F.col("label")], 6)).alias("share")).groupBy("row", "label").agg(F.max("share").alias("share"))
+    cells = cells.groupBy("row", "label", "word", "cell").agg(F.max("weight").alias("weight"))
+    best = cells.groupBy("row", "label", "cell").agg(F.sum("weight").alias("weight")).groupBy("row", "label").agg(F.max("weight").alias("weight"))
+    whole = cells.select("row", "label", "word", "weight").distinct().groupBy("row", "label").agg(F.sum("weight").alias("whole"))
+    shares = best.join(whole.hint("merge"), ["row", "label"]).select("row", "label", F.least(F.lit(1.0), F.round(F.col("weight") / F.col("whole"), 6)).alias("share"))
     matches = shares.where(F.col("share") >= LEAST_SHARE).groupBy("row").agg(F.collect_set("label").alias("found"), F.max("share").alias("best"))  # at most one label a template
     out = rows.join(matches.hint("merge"), "row", "left")
     joined = lambda a: F.concat_ws(",", F.array_sort(F.array_distinct(a)))
