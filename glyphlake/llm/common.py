@@ -46,6 +46,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(name: str) -> str:
+    """A column name that no table has."""
+    return f"__{name}_{uuid.uuid4().hex}"
+
+
 def tokenizer_path(name: str) -> str:
     """Where a public vocabulary file lies on this machine."""
     import public_tokenizers

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphlake.llm.common import ascii_lower, stored, text_of
+from glyphlake.llm.common import ascii_lower, fresh, stored, text_of
 
 
 def md5_bits(c: Column) -> Column:
@@ -42,12 +42,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of equal texts, the one with the largest id; all columns stay."""
-    kept = exact_groups(docs, id_col, text_col).where("kept").groupBy("text_sha256").agg(F.max("doc_id").alias("__keep"))
-    rows = docs.withColumn("__sha", F.sha2(ascii_lower(text_of(text_col)), 256))
-    left = rows.join(kept.hint("merge"), (F.col("__sha") == F.col("text_sha256")) & F.col(id_col).eqNullSafe(F.col("__keep")), "left_semi")
-    repeated = left.groupBy("__sha").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    once = left if repeated.isEmpty() else left.dropDuplicates(["__sha"])
-    return once.drop("__sha")
+    sha, keep = fresh("sha"), fresh("keep")
+    kept = exact_groups(docs, id_col, text_col).where("kept").groupBy(F.col("text_sha256").alias(f"{sha}_g")).agg(F.max("doc_id").alias(keep))
+    rows = docs.withColumn(sha, F.sha2(ascii_lower(text_of(text_col)), 256))
+    left = rows.join(kept.hint("merge"), (F.col(sha) == F.col(f"{sha}_g")) & F.col(id_col).eqNullSafe(F.col(keep)), "left_semi")
+    repeated = left.groupBy(sha).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    once = left if repeated.isEmpty() else left.dropDuplicates([sha])
+    return once.drop(sha)
 
 
 def op2_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphlake.llm.common import stored, text_of
+from glyphlake.llm.common import fresh, stored, text_of
 from glyphlake.llm.components import connected_components
 
 #: Tokens in a combination key for frequent tokens.
@@ -367,9 +367,9 @@ def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
 
     Rows with a null id stay, as nothing tells them apart.
     """
-    found = near_components(docs, width, percent, id_col, text_col)
-    others = stored(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__other")).distinct(), "others")
-    return docs.join(others.hint("merge"), docs[id_col].cast("long") == F.col("__other"), "left_anti")
+    found, other = near_components(docs, width, percent, id_col, text_col), fresh("other")
+    others = stored(found.where("doc_id <> component_id").select(F.col("doc_id").alias(other)).distinct(), "others")
+    return docs.join(others.hint("merge"), docs[id_col].cast("long") == F.col(other), "left_anti")
 
 
 def op4_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
