@@ -1,0 +1,204 @@
+"""BPE, packing, personal data, HTML extraction, quality classifier."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from tokenizers import Tokenizer
+
+from glyphlake.llm import bpe, html_text, packing, personal_data, quality_model
+from glyphlake.llm.common import tokenizer_path
+
+PATH = tokenizer_path("byte_bpe_50k.json")
+
+
+@pytest.fixture(scope="module")
+def docs(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def library():
+    return Tokenizer.from_file(PATH)
+
+
+# ---- BPE
+
+PARTS = ["a", "b", "the", " ", "  ", "\n", "\t", "é", "ß", "1", "²", "'s", "'", "!", "_", "<|endoftext|>", "日本", "̀", "ा", "क", "😀", "\r", "ing", "..", "\x1c", "\x85", " ", "　"]
+
+
+def test_bpe_is_the_library(library):
+    own, rng = bpe.loaded(PATH), random.Random(3)
+    for _ in range(3000):
+        text = "".join(rng.choice(PARTS) for _ in range(rng.randint(0, 14)))
+        want = library.encode(text, add_special_tokens=False).ids
+        ids = own.encode(text)
+        assert np.frombuffer(ids, "<u4").tolist() == want, repr(text)
+        assert own.decode(ids) == library.decode(want, skip_special_tokens=False)
+
+
+def test_segment_tree_on_long_words(library):
+    own = bpe.loaded(PATH)
+    for word in ("a" * 3000, "ab" * 777, "".join(random.Random(1).choices("etaoin", k=2500))):
+        assert np.frombuffer(own.encode(word), "<u4").tolist() == library.encode(word, add_special_tokens=False).ids
+
+
+def test_round_trip_rows(docs, edge, none, library):
+    for table in (docs, edge):
+        want = []
+        for r in table.select("doc_id", "text").collect():
+            ids = library.encode(r["text"] or "", add_special_tokens=False).ids
+            want.append((str(r["doc_id"]), len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+        got = [(str(r["doc_id"]), *r[1:]) for r in bpe.round_trip(table, PATH).collect()]
+        assert sorted(got) == sorted(want)
+    assert bpe.round_trip(none, PATH).count() == 0
+
+
+# ---- packing
+
+
+def check_pieces(table, library):
+    texts = [(r["doc_id"], r["text"] or "") for r in table.select("doc_id", "text").collect()]
+    rows = packing.pack(table, PATH).collect()
+    fill, by_doc = {}, {}
+    for r in sorted(rows, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == fill.get(r["sequence_id"], 0) and 0 < r["length"]
+        fill[r["sequence_id"]] = r["offset"] + r["length"]
+        by_doc.setdefault((r["doc_id"], r["doc_tokens"]), []).append((r["start"], r["length"], r["ids_crc32"]))
+    assert max(fill.values(), default=0) <= 2048
+    want = {}
+    for i, t in texts:
+        ids = np.array([*library.encode(t, add_special_tokens=False).ids, 1], "<u4")
+        want.setdefault((i, len(ids)), []).extend((k, len(ids[k : k + 2048]), zlib.crc32(ids[k : k + 2048].tobytes())) for k in range(0, len(ids), 2048))
+    assert {k: sorted(v) for k, v in by_doc.items()} == {k: sorted(v) for k, v in want.items()}
+    return sum(fill.values()), len(fill)
+
+
+def test_packing(docs, edge, none, library):
+    tokens, sequences = check_pieces(docs, library)
+    assert sequences <= 1.03 * tokens / 2048 + 1
+    check_pieces(edge, library)
+    assert packing.pack(none, PATH).count() == 0
+
+
+def test_patterns_hold_the_demand():
+    rng = np.random.default_rng(2)
+    for demand in ({}, {256: 3}, {1: 1}, {200: 5, 56: 5}, {int(s): int(rng.integers(1, 400)) for s in range(1, 257)}, {85: 1000}, {100: 7, 90: 11, 70: 13, 3: 1}):
+        plan = packing.patterns_for(demand, 256)
+        held = {}
+        for pattern, times in plan:
+            assert sum(s * n for s, n in pattern.items()) <= 256
+            for s, n in pattern.items():
+                held[s] = held.get(s, 0) + n * times
+        assert held == {s: n for s, n in demand.items() if n}
+        assert sum(t for _, t in plan) <= 1.02 * max(sum(s * n for s, n in demand.items()) / 256, sum(-(-n // (256 // s)) for s, n in demand.items() if 256 // s == 1)) + 130 * (len(demand) > 100) + 350 * (85 in demand) + 3
+
+
+# ---- personal data
+
+EMAIL, IP = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD, PHONE = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def base_of(text):
+    out = [(0, *m.span()) for m in EMAIL.finditer(text)]
+    out += [(1, *m.span()) for m in IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
+    for m in CARD.finditer(text):
+        digits = re.sub("[ -]", "", m[0])
+        total = sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(reversed(digits)))
+        if 12 <= len(digits) <= 19 and total % 10 == 0:
+            out.append((2, *m.span()))
+    out += [(3, *m.span()) for m in PHONE.finditer(text) if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+    return sorted(out, key=lambda s: (s[1], s[0]))
+
+
+def test_base_spans_on_random_text():
+    rng, parts = random.Random(5), [*"a1@.+-% ()29", "a@b.c", "1.2.3.4", "+1 2", "255", "4111111111111111", "é"]
+    for _ in range(20_000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 18)))
+        assert sorted(personal_data.base_spans(text), key=lambda s: (s[1], s[0])) == base_of(text)
+
+
+def test_personal_rows(docs, edge, none):
+    for table in (docs, edge.where("doc_id IS NOT NULL")):
+        texts = {r["doc_id"]: r["text"] or "" for r in table.select("doc_id", "text").collect()}
+        for r in personal_data.personal_spans(table).collect():
+            base = base_of(texts[r["doc_id"]])
+            own = personal_data.listed(base)
+            assert [r[f"n_{k}"] for k in personal_data.KINDS[:4]] == [sum(b[0] == k for b in base) for k in range(4)]
+            assert r["base_sha256"] == hashlib.sha256(own.encode()).hexdigest()
+            assert set(filter(None, own.split(","))) <= set(r["spans"].split(","))
+    assert personal_data.personal_spans(none).count() == 0
+
+
+def test_labelers_learn_secrets(spark):
+    hexes = [hashlib.sha1(str(i).encode()).hexdigest() for i in range(40)]
+    rows = [(i, f'the token = "{h}" and so on') for i, h in enumerate(hexes)] + [(100 + i, f"see AKIA{h[:16].upper()} here") for i, h in enumerate(hexes)] + [(200 + i, f"plain words number {i} in version 2.0.{i}") for i in range(40)]
+    got = {r["doc_id"]: r["spans"] for r in personal_data.personal_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i].startswith("secret:") for i in [*range(40), *range(100, 140)]) and all(got[i] == "" for i in range(200, 240))
+
+
+def test_redaction(spark, edge, none):
+    left = personal_data.redact(edge)
+    assert left.columns == edge.columns and left.count() == edge.count()
+    text = left.where("doc_id = 7").first()["text"]
+    assert "<email>" in text and "<phone>" in text and "<card>" in text and "<ip>" in text and "@" not in text
+    assert left.where("doc_id = 2").first()["text"] is None and personal_data.redact(none).count() == 0
+
+
+# ---- HTML
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        (None, ""), ("", ""), ("plain &amp; simple", "plain & simple"),
+        ("<body><nav>N</nav><article><h1>T</h1><p>One  two&nbsp;&lt;x&gt;<br>three</article><footer>F</footer>", "T\nOne two <x> three"),
+        ("<main><p>Text.</p><div class='comments'><p>c</p></div><aside>a</aside><form>f</form><script>var a='<p>no</p>'</script></main>", "Text."),
+        ("<article><p>A<b>B</b>C</p><ul><li><a href=x>Menu</a><li>Point.</ul><section id=related-posts>r</section></article>", "ABC\nPoint."),
+        ("<article><p>One<p>Two<div>Three</div>Four<!-- x --></article>", "One\nTwo\nThree\nFour"),
+    ],
+)
+def test_extraction(page, want):
+    assert html_text.content_of(page) == want
+
+
+def test_tag_paths_without_an_article():
+    page = "<div id=top><a href=1>a</a> <a href=2>b</a></div><div><p>Long text, with marks. Really long indeed; yes.</p><p>Second paragraph, long too. Fine.</p></div><div>Short</div>"
+    assert html_text.content_of(page) == "Long text, with marks. Really long indeed; yes.\nSecond paragraph, long too. Fine."
+
+
+def test_pages_give_back_their_documents(spark, docs, sf_dir):
+    texts = {" ".join((r["text"] or "").split()) for r in docs.collect()}
+    rows = html_text.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet")).collect()
+    assert rows and all(" ".join(r["text"].split("\n")[1:]) in texts and r["n_chars"] == len(r["text"]) for r in rows)
+
+
+def test_pages_edge(spark):
+    pages = spark.createDataFrame([(1, "u", None, "x"), (None, None, "<p>" + "a " * 100_000, "y"), (2, "u", "<p>t", "z"), (2, "u", "<p>t", "z")], "page_id long, url string, html string, text string")
+    assert sorted((str(r["page_id"]), r["n_chars"]) for r in html_text.main_text(pages).collect()) == [("1", 0), ("2", 1), ("2", 1), ("None", 199_999)]
+    assert html_text.main_text(pages.limit(0)).count() == 0
+
+
+# ---- classifier
+
+
+def test_classifier_on_held_out_rows(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = quality_model.op6_quality_classifier(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()
+    held = [r for r in rows if r["held_out"]]
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and r["predicted"] == int(r["score"] >= 0.3) for r in rows)
+    good, bad = [r["score"] for r in held if r["quality"] == 1], [r["score"] for r in held if r["quality"] == 0]
+    assert good and bad and np.mean([g > b for g in good for b in bad]) > 0.95
+
+
+def test_classifier_edge(spark, edge, none):
+    labels = spark.createDataFrame([(1, 1), (3, 0), (4, None)], "doc_id long, quality int")
+    got = quality_model.quality_scores(edge, labels).collect()
+    assert len(got) == edge.count() and all(0 <= r["score"] <= 1 for r in got)
+    assert quality_model.quality_scores(none, labels.limit(0)).count() == 0
