@@ -445,9 +445,6 @@ def _sql_rewrites(c: str) -> str:
 
 _KEYED = f"array_to_string(list_transform(string_split(text, ''), lambda c: coalesce({_sql_map(script.KEY_TO_TEXT)}[c], c)), '')"
 _add("f10_preeti_to_unicode", lambda s, d: fx.load(s, d, "documents").select("doc_id", script.preeti_to_unicode(F.col("text")).alias("converted")), f"SELECT doc_id, {_sql_rewrites(_KEYED)} AS converted FROM documents")
-_add(
-    "f11_unicode_to_preeti", lambda s, d: fx.load(s, d, "documents").select("doc_id", script.unicode_to_preeti(script.roman_to_devanagari(F.col("text"))).alias("typed")), None,
-)
 _UNITS = f"regexp_extract_all(text, {_sql(script.ROMAN_UNIT)})"
 _HEAD = f"regexp_extract(u, {_sql('^(' + script.CONSONANT + ')')}, 1)"
 _LETTERS, _ALONE = _sql_map(script.ROMAN_CONSONANTS), _sql_map({k: v[0] for k, v in script.ROMAN_VOWELS.items()} | script.NASALS)
@@ -455,8 +452,31 @@ _SIGNS = _sql_map({k: v[1] for k, v in script.ROMAN_VOWELS.items()})
 _ROMAN = f"""SELECT doc_id, array_to_string(list_transform(units, lambda u, i: CASE WHEN {_HEAD} <> '' THEN concat(CASE WHEN i > 1 AND {_LETTERS}[units[i - 1]] IS NOT NULL THEN '{script.HALANT}' ELSE '' END,
   {_LETTERS}[{_HEAD}], coalesce({_SIGNS}[substr(u, length({_HEAD}) + 1)], '')) ELSE coalesce({_ALONE}[u], u) END), '') AS converted FROM (SELECT doc_id, {_UNITS} AS units FROM documents)"""
 _add("f12_roman_to_devanagari", lambda s, d: fx.load(s, d, "documents").select("doc_id", script.roman_to_devanagari(F.col("text")).alias("converted")), _ROMAN)
-_add("f13_roman_runs", lambda s, d: fx.load(s, d, "documents").select("doc_id", script.roman_runs(F.col("text")).alias("converted")), None)
-_add("f14_conversion_report", lambda s, d: script.conversion_report(fx.load(s, d, "documents"), "text", "lang"), None)
+
+
+def _sql_keys(c: str) -> str:
+    """The SQL of ``unicode_to_preeti`` over a text expression."""
+    above, table = f"regexp_matches(s, '^र{script.HALANT}[{script.CONSONANTS}]')", _sql_map(script.TEXT_TO_KEY)
+    typed = f"array_to_string(list_transform(regexp_extract_all(replace(CASE WHEN {above} THEN substr(s, 3) ELSE s END, 'ि', ''), '(?s).'), lambda c: coalesce({table}[c], c)), '')"
+    whole = f"concat(CASE WHEN contains(s, 'ि') THEN 'l' ELSE '' END, {typed}, CASE WHEN {above} THEN '{{' ELSE '' END)"
+    return f"array_to_string(list_transform(regexp_extract_all({c}, {_sql(script.SYLLABLE)}), lambda s: CASE WHEN regexp_matches(s, '^[{script.CONSONANTS}]') THEN {whole} ELSE coalesce({table}[s], s) END), '')"
+
+
+_add("f11_unicode_to_preeti", lambda s, d: fx.load(s, d, "documents").select("doc_id", script.unicode_to_preeti(script.roman_to_devanagari(F.col("text"))).alias("typed")), f"SELECT doc_id, {_sql_keys('converted')} AS typed FROM ({_ROMAN})")
+_PART = f"regexp_extract_all(x, {_sql(script.ROMAN_UNIT)})"
+_WORD = f"""array_to_string(list_transform({_PART}, lambda u, i: CASE WHEN {_HEAD} <> '' THEN concat(CASE WHEN i > 1 AND {_LETTERS}[{_PART}[i - 1]] IS NOT NULL THEN '{script.HALANT}' ELSE '' END,
+  {_LETTERS}[{_HEAD}], coalesce({_SIGNS}[substr(u, length({_HEAD}) + 1)], '')) ELSE coalesce({_ALONE}[u], u) END), '')"""
+_add(
+    "f13_roman_runs", lambda s, d: fx.load(s, d, "documents").select("doc_id", script.roman_runs(F.col("text")).alias("converted")),
+    f"""SELECT doc_id, array_to_string(list_transform(parts, lambda x, k: CASE WHEN regexp_matches(x, '^[A-Za-z]') AND regexp_matches(coalesce(parts[k + 1], ''), '^[ \\n]') THEN {_WORD} ELSE x END), '') AS converted
+FROM (SELECT doc_id, regexp_extract_all(text, '(?s)[A-Za-z]+|[^A-Za-z]+') AS parts FROM documents)""",
+)
+_add(
+    "f14_conversion_report", lambda s, d: script.conversion_report(fx.load(s, d, "documents"), "text", "lang"),
+    f"""SELECT lang, count(*) AS n_rows, count(*) FILTER (back = text) AS n_round_trip, sum(unmapped)::BIGINT AS n_unmapped, sum(length(done))::BIGINT AS n_chars_out
+FROM (SELECT *, {_sql_keys('done')} AS back, len(list_filter(regexp_extract_all(text, '(?s).'), lambda c: {_sql_map(script.KEY_TO_TEXT)}[c] IS NULL)) AS unmapped
+  FROM (SELECT lang, text, {_sql_rewrites(_KEYED)} AS done FROM documents)) GROUP BY lang""",
+)
 
 
 @query(f"SELECT sample_id, label, coalesce({_sql_map(script.LABEL_TO_GLYPH)}[concat('digit_', label)], '') AS glyph FROM {{class_samples}}")
