@@ -11,12 +11,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from glyphlake.llm import bpe
 from glyphlake.llm.bpe import UNEVEN
 from glyphlake.llm.common import stored, text_of, tokenizer_path
 
 #: Lengths are rounded up to a multiple of GRID for the linear program, so it has CAPACITY / GRID rows at most.
 GRID = 8
 CAPACITY = 2048
+#: Share of sequences by which the linear program may miss its optimum.
+NEAR = 5e-4
 END_ID = 1
 REMEMBERED = 500_000
 #: Rows of a bucket in which documents of one length class are ranked.
@@ -25,39 +28,78 @@ BUCKET_ROWS, MIN_BUCKETS = 100_000, 64
 
 # ---- token ids
 
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def as_bytes(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit integers."""
+    return np.array(ids, "<u4").tobytes()
+
 
 class Ids:
-    """Ids of whole texts by the ``tokenizers`` library; words after a lone blank are remembered."""
+    """Ids of whole texts as the ``tokenizers`` library gives them; words after a lone blank are remembered.
+
+    New words go to ``tiktoken`` with the same file's vocabulary, which takes a third of the time, where
+    ids follow the order of merges; otherwise, and for texts with special tokens, to the library.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        own = bpe.loaded(path)
+        self.special = list(own.special)
+        self.ordinary = lambda text: self.library.encode(text, add_special_tokens=False).ids
+        if all(made == 256 + rank for rank, made in enumerate(own.made)):
+            import tiktoken
+
+            ranks = {x: i for i, x in enumerate(own.bytes_of[: 256 + len(own.made)])}
+            self.ordinary = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.bare: dict[str, bytes] = {}
         self.after_blank: dict[str, bytes] = {}
         self.line_feed = self.whole("\n")
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        special = any(s in text for s in self.special)
+        return as_bytes(self.library.encode(text, add_special_tokens=False).ids if special else self.ordinary(text))
 
     def _learn(self, memory: dict, words: set, blank: str) -> None:
-        new = list(words.difference(memory))
+        new = [w for w in words if w not in memory]
         if len(memory) + len(new) > REMEMBERED:
             memory.clear()
             new = list(words)
-        for word, found in zip(new, self.library.encode_batch_fast([blank + w for w in new], add_special_tokens=False), strict=True):
-            memory[word] = np.array(found.ids, "<u4").tobytes()
-
-    def __call__(self, text: str) -> bytes:
-        if UNEVEN.search(text) or any(s in text for s in self.special):
-            return self.whole(text)
-        lines = [line.split(" ") for line in text.split("\n")]
-        self._learn(self.bare, {w[0] for w in lines}, "")
-        self._learn(self.after_blank, set().union(*(w[1:] for w in lines)), " ")
+        for word in new:
+            memory[word] = as_bytes(self.ordinary(blank + word))
+
+    def of_all(self, texts) -> list[bytes]:
+        """Ids of some texts; the words that they bring are learnt in one call."""
+        uneven = [bool(UNEVEN.search(t)) or any(s in t for s in self.special) for t in texts]
+        lines = [None if u else [line.split(" ") for line in t.split("\n")] for u, t in zip(uneven, texts, strict=True)]
+        self._learn(self.bare, {w[0] for own in lines if own for w in own}, "")
+        known: set = set()
+        for own in lines:
+            for words in own or ():
+                known.update(words)
+        self._learn(self.after_blank, known, " ")
         get = self.after_blank.__getitem__
-        return self.line_feed.join([self.bare[w[0]] + b"".join(map(get, w[1:])) for w in lines])
+        return [
+            self.whole(t) if own is None else self.line_feed.join([self.bare[w[0]] + b"".join(map(get, w[1:])) for w in own])
+            for t, own in zip(texts, lines, strict=True)
+        ]
+
+
+def in_portions(texts, chars: int = 500_000):
+    """Lists of texts of about ``chars`` characters."""
+    held, size = [], 0
+    for t in texts:
+        held.append(t)
+        size += len(t)
+        if size >= chars:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 @lru_cache(2)
@@ -74,9 +116,10 @@ def token_lengths(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
         ids_of, end, width = loaded(path), np.array([END_ID], "<u4").tobytes(), 4 * capacity
         for batch in batches:
             rows = []
-            for text in batch["text"]:
-                ids = ids_of(text) + end
-                rows.append((len(ids) // 4, [zlib.crc32(ids[k : k + width]) for k in range(0, len(ids), width)]))
+            for texts in in_portions(batch["text"]):
+                for found in ids_of.of_all(texts):
+                    ids = found + end
+                    rows.append((len(ids) // 4, [zlib.crc32(ids[k : k + width]) for k in range(0, len(ids), width)]))
             out = pd.DataFrame(rows, columns=["doc_tokens", "crcs"])
             out.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy() if batch["doc_id"].isna().any() else batch["doc_id"].to_numpy())
             yield out
@@ -110,40 +153,66 @@ def best_pattern(sizes: np.ndarray, values: np.ndarray, capacity: int) -> tuple[
     return float(best[capacity]), counts
 
 
+def _first_basis(sizes: np.ndarray, need: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Patterns, levels and the inverse to start from: the largest size left with the fullest filling, until a size runs out.
+
+    Each pattern uses up a size that later ones don't hold, so the patterns are a basis, triangular in that order.
+    """
+    m, left = len(sizes), need.astype(float).copy()
+    columns, level, open_ = np.zeros((m, m)), np.zeros(m), np.ones(m, bool)
+    inverse = np.zeros((m, m))
+    for k in range(m):
+        live = np.flatnonzero(open_)
+        pattern = np.zeros(m)
+        pattern[live[-1]] = 1
+        if (room := capacity - int(sizes[live[-1]])) >= sizes[live[0]]:
+            pattern[live] += best_pattern(sizes[live], sizes[live] * (1 + sizes[live] / (10.0 * capacity)), room)[1]
+        ratio = np.where(pattern > 0, left / np.maximum(pattern, 1), np.inf)
+        out = int(ratio.argmin())
+        columns[:, k], level[k] = pattern, ratio[out]
+        left = np.maximum(left - pattern * level[k], 0)
+        open_[out] = False
+        inverse[k] = -np.einsum("j,jk->k", columns[out, :k], inverse[:k])
+        inverse[k, out] += 1
+        inverse[k] /= pattern[out]
+    return columns, level, inverse
+
+
 def patterns_for(demand: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
     """Patterns (size -> pieces) and how often each is used; together they hold exactly ``demand``.
 
-    The linear program starts from one-size patterns; the dual prices of its basis go to the knapsack,
-    whose best pattern enters while it is worth more than the sequence it costs. Counts are rounded
-    down, and the few pieces left (fewer than patterns times pieces a pattern) go largest first to the fullest sequence with room.
+    The linear program starts from greedy patterns; the dual prices of its basis go to the knapsack,
+    whose best pattern enters while it is worth more than the sequence it costs (by more than NEAR, which bounds
+    the distance from the optimum). Counts are rounded down, and the few pieces left (fewer than
+    patterns times pieces a pattern) go largest first to the fullest sequence with room.
     """
     sizes = np.array(sorted(s for s, n in demand.items() if n > 0), "int64")
     if not len(sizes):
         return []
     need = np.array([demand[int(s)] for s in sizes], float)
     m = len(sizes)
-    columns = np.diag(capacity // sizes).astype(float)
-    inverse, level = np.diag(1 / np.diag(columns)), need / np.diag(columns)
-    for _ in range(40 * m):
+    columns, level, inverse = _first_basis(sizes, need, capacity)
+    for _ in range(10 * m):
         worth, pattern = best_pattern(sizes, inverse.sum(0), capacity)
-        if worth <= 1 + 1e-9:
+        if worth <= 1 + NEAR:
             break
-        entering = inverse @ pattern
+        entering = np.einsum("ij,j->i", inverse, pattern.astype(float))
         ratio = np.where(entering > 1e-9, level / np.where(entering > 1e-9, entering, 1), np.inf)
         out = int(ratio.argmin())
         columns[:, out] = pattern
         inverse[out] /= entering[out]
-        level[out] = ratio[out]
-        for_others = entering.copy()
-        for_others[out] = 0
-        inverse -= np.outer(for_others, inverse[out])
-        level = np.maximum(level - for_others * ratio[out], 0)
+        others = entering.copy()
+        others[out] = 0
+        inverse -= np.outer(others, inverse[out])
+        step = ratio[out]
+        level = np.maximum(level - others * step, 0)
+        level[out] = step
     used = np.floor(level + 1e-6).astype("int64")
-    left = need.astype("int64") - (columns @ used).astype("int64")
+    left = need.astype("int64") - np.einsum("ij,j->i", columns, used.astype(float)).round().astype("int64")
     while (left < 0).any():  # rounding of a level that is whole but for the last digits
         at = int(np.flatnonzero((columns[int(np.flatnonzero(left < 0)[0])] > 0) & (used > 0))[0])
         used[at] -= 1
-        left = need.astype("int64") - (columns @ used).astype("int64")
+        left = need.astype("int64") - np.einsum("ij,j->i", columns, used.astype(float)).round().astype("int64")
     plan = [({int(s): int(a) for s, a in zip(sizes, columns[:, p], strict=True) if a}, int(used[p])) for p in range(m) if used[p]]
     bins: list[tuple[int, dict[int, int]]] = []
     for s in sizes[::-1]:
