@@ -173,6 +173,17 @@ def test_tag_paths_without_an_article():
     assert html_text.content_of(page) == "Long text, with marks. Really long indeed; yes.\nSecond paragraph, long too. Fine."
 
 
+def test_tag_paths_inside_and_outside_an_article():
+    body = "".join(f"<p>Paragraph {k} of the article, long enough to be prose; it says something. It goes on, and ends here.</p>" for k in range(6))
+    listed = "<ul><li>First point of the list, with marks.</li><li>Second point, a little longer than that.</li></ul>"
+    page = f"<article><h1>Title</h1>{body}<div class=box><p>Buy now</p></div>{listed}</article><div><p>See also</p></div>"
+    got = html_text.content_of(page).split("\n")
+    assert got[0] == "Title" and got[-1].startswith("Second point") and len(got) == 9 and "Buy now" not in got and "See also" not in got
+    # Teasers in articles beside a text in a plain block: the text is not lost.
+    teaser = f"<article><p>Read on.</p></article><div>{body}</div>"
+    assert "Paragraph 5" in html_text.content_of(teaser)
+
+
 def test_pages_give_back_their_documents(spark, docs, sf_dir):
     texts = {" ".join((r["text"] or "").split()) for r in docs.collect()}
     rows = html_text.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet")).collect()
