@@ -15,10 +15,16 @@ TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([A-Za-
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 #: Fixed lists of HTML: elements without content, with raw text, and those that stand in a line of text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe object svg math select noframes xmp".split())
+RAW = frozenset("script style textarea title noscript template iframe object select noframes xmp".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-#: Elements, roles and name parts of what surrounds an article.
-SIDE_TAGS = frozenset("nav header footer aside form dialog menu button fieldset figcaption".split())
+#: Parts of formulas and drawings, which stand in a line of text too; unlike those of HTML they may close themselves.
+FOREIGN = frozenset(
+    "math semantics annotation mi mn mo ms mtext mrow mfrac msup msub msubsup msqrt mroot munder mover munderover mstyle mtable mtr mtd mfenced mspace mpadded mphantom "
+    "svg g defs symbol use text tspan textpath desc path rect circle ellipse line polyline polygon lineargradient radialgradient stop clippath mask marker pattern filter image".split()
+)
+IN_LINE = INLINE | FOREIGN
+#: Elements, roles and names of what surrounds an article.
+SIDE_TAGS = frozenset("nav header footer aside form dialog menu button fieldset".split())
 SIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 SIDE_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert alerts popup modal overlay "
@@ -32,54 +38,72 @@ MARKS = re.compile(r"[.,;:!?…。、，！？；：]")
 REACH = 2
 #: A block is content if its fused ratio, times its prior, is at least this share of the page's mean.
 SHARE = 0.35
-#: Priors of blocks inside and outside of the article that a page names; 1 on other pages.
-INSIDE, OUTSIDE = 8.0, 0.125
+#: Priors of blocks inside and outside of the article that a page names (1 on other pages), and of those under a doubtful name.
+INSIDE, OUTSIDE, DOUBT = 8.0, 0.125, 0.5
+#: How a class or id speaks of an element: not at all, by a part of a name, by a whole one; OUT takes the element out whatever its names.
+PLAIN, PART, WHOLE, OUT = range(4)
 
 
 @dataclass
 class Block:
     path: str
     main: bool
+    around: list = field(default_factory=list)
     parts: list = field(default_factory=list)
     linked: int = 0
     text: str = ""
 
 
-def _names(attributes: str) -> tuple[set[str], bool]:
-    """Parts of class and id names, and whether a role or ``hidden`` takes the element out."""
-    parts: set[str] = set()
-    out = False
+@dataclass
+class Element:
+    """An open element: its tag, what its names say, and whether it is or holds an ``article`` or ``main``."""
+
+    tag: str
+    side: int
+    named: bool = False
+
+
+def _side(tag: str, attributes: str) -> int:
+    if tag in SIDE_TAGS:
+        return OUT
+    if not attributes or tag in ("html", "body") or tag in IN_LINE:
+        return PLAIN
+    found = PLAIN
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
+        if name == "role" and value in SIDE_ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
+            return OUT
         if name in ("class", "id"):
-            parts.update(re.split(r"[^a-z0-9]+", value))
-        out |= name == "role" and value in SIDE_ROLES or name == "hidden" or name == "aria-hidden" and value == "true"
-    return parts, out
+            if not SIDE_NAMES.isdisjoint(value.split()):
+                found = WHOLE
+            elif not SIDE_NAMES.isdisjoint(re.split(r"[^a-z0-9]+", value)):
+                found = max(found, PART)
+    return found
 
 
-def _is_side(tag: str, attributes: str) -> bool:
-    if tag in SIDE_TAGS:
-        return True
-    if not attributes or tag in ("html", "body") or tag in INLINE:
-        return False
-    parts, out = _names(attributes)
-    return out or bool(parts & SIDE_NAMES)
+def _is_out(b: Block) -> bool:
+    return any(e.side == WHOLE and not e.named for e in b.around)
+
+
+def _is_doubtful(b: Block) -> bool:
+    """Under a part of a name, or under a whole name of an element that holds an article."""
+    return any(e.side == PART and not e.named or e.side == WHOLE and e.named and e.tag not in MAIN_TAGS for e in b.around)
 
 
 def blocks_of(page: str) -> list[Block]:
     """Blocks of text outside page furniture, in order, with their root-to-leaf tag paths."""
     blocks: list[Block] = []
-    stack: list[tuple[str, bool]] = []  # tag, side
+    stack: list[Element] = []
     current: Block | None = None
     side = main = links = 0
     skip_to = 0
 
     def close(to: int) -> None:
         nonlocal side, main, links
-        for tag, was_side in stack[to:]:
-            side -= was_side
-            main -= tag in MAIN_TAGS
-            links -= tag == "a"
+        for e in stack[to:]:
+            side -= e.side == OUT
+            main -= e.tag in MAIN_TAGS
+            links -= e.tag == "a"
         del stack[to:]
 
     for m in TOKEN.finditer(page):
@@ -97,7 +121,7 @@ def blocks_of(page: str) -> list[Block]:
             if current is None:
                 if not text.strip():
                     continue
-                current = Block("/".join(t for t, _ in stack if t not in INLINE), main > 0)
+                current = Block("/".join(e.tag for e in stack if e.tag not in IN_LINE), main > 0, [e for e in stack if e.side])
                 blocks.append(current)
             current.parts.append(text)
             if links:
@@ -105,10 +129,10 @@ def blocks_of(page: str) -> list[Block]:
             continue
         tag = tag.lower()
         if closing:
-            at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
-            if at is not None and (tag not in INLINE or all(t in INLINE for t, _ in stack[at:])):
+            at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k].tag == tag), None)
+            if at is not None and (tag not in IN_LINE or all(e.tag in IN_LINE for e in stack[at:])):
                 close(at)
-            if tag not in INLINE:
+            if tag not in IN_LINE:
                 current = None
             continue
         if tag in RAW and not attributes.endswith("/"):
@@ -119,28 +143,31 @@ def blocks_of(page: str) -> list[Block]:
             if current is not None:
                 current.parts.append(" ")
             continue
-        if tag not in INLINE:
+        if tag not in IN_LINE:
             current = None
         if tag in VOID:
             continue
         if tag in CLOSES_P:
-            at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == "p"), None)
-            if at is not None and all(t in INLINE or t == "p" for t, _ in stack[at:]):
+            at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k].tag == "p"), None)
+            if at is not None and all(e.tag in IN_LINE or e.tag == "p" for e in stack[at:]):
                 close(at)
         elif tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
-            at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] not in INLINE and stack[k][0] != "p"), None)
-            if at is not None and (stack[at][0] == tag or tag in ("dt", "dd") and stack[at][0] in ("dt", "dd")):
+            at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k].tag not in IN_LINE and stack[k].tag != "p"), None)
+            if at is not None and (stack[at].tag == tag or tag in ("dt", "dd") and stack[at].tag in ("dt", "dd")):
                 close(at)
-        if attributes.endswith("/") and tag not in INLINE:
+        if attributes.endswith("/") and tag not in IN_LINE:
             continue
-        is_side = _is_side(tag, attributes)
-        side += is_side
-        main += tag in MAIN_TAGS
+        own = Element(tag, _side(tag, attributes))
+        stack.append(own)
+        side += own.side == OUT
         links += tag == "a"
-        stack.append((tag, is_side))
+        if tag in MAIN_TAGS:
+            main += 1
+            for e in stack:
+                e.named = True
     for b in blocks:
         b.text = " ".join(html.unescape("".join(b.parts)).split())
-    return [b for b in blocks if b.text]
+    return [b for b in blocks if b.text and not _is_out(b)]
 
 
 def content_of(page: str | None) -> str:
@@ -158,9 +185,11 @@ def content_of(page: str | None) -> str:
     text_ratio = [totals[b.path][0] / totals[b.path][2] for b in blocks]
     mark_ratio = [totals[b.path][1] / totals[b.path][2] for b in blocks]
     fused = [a * (1 + p) for a, p in zip(_smooth(blocks, text_ratio), _smooth(blocks, mark_ratio), strict=True)]
-    own = [x for b, x in zip(blocks, fused, strict=True) if b.main or not named]
+    doubt = [DOUBT if _is_doubtful(b) else 1.0 for b in blocks]
+    own = [x * d for b, x, d in zip(blocks, fused, doubt, strict=True) if b.main or not named]
     least = SHARE * sum(own) / len(own)
-    prior = [1.0 if not named else INSIDE if b.main else OUTSIDE for b in blocks]
+    # A doubtful block has no gain from the article that it lies in.
+    prior = [d * (OUTSIDE if named and not b.main else INSIDE if named and d == 1.0 else 1.0) for b, d in zip(blocks, doubt, strict=True)]
     return "\n".join(b.text for b, x, w in zip(blocks, fused, prior, strict=True) if x * w >= least)
 
 

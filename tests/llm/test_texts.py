@@ -184,6 +184,33 @@ def test_tag_paths_inside_and_outside_an_article():
     assert "Paragraph 5" in html_text.content_of(teaser)
 
 
+PROSE = "".join(f"<p>Paragraph {k} of the article, long enough to be prose; it says something. It goes on, and ends here.</p>" for k in range(6))
+
+
+@pytest.mark.parametrize(
+    "page,count",
+    [
+        (f"<div class='content has-sidebar'><article>{PROSE}</article></div>", 6),
+        (f"<div id='page' class='no-sidebar header-fixed'><main>{PROSE}</main></div>", 6),
+        (f"<div class='sidebar'><article>{PROSE}</article></div>", 6),
+        (f"<article class='post comments-open'>{PROSE}</article>", 6),
+        (f"<article>{PROSE}<section id='search-algorithms'>{PROSE}</section></article>", 12),
+        (f"<article>{PROSE}<div class='share buttons'>{PROSE}</div><div hidden>{PROSE}</div></article>", 6),
+        (f"<article>{PROSE}<section class='related-posts'><p>More</p></section></article>", 6),
+        (f"<div class='no-sidebar'>{PROSE}</div><div>Short</div>", 6),
+        (f"<article>{PROSE}<figure><img src=x><figcaption>The caption of the figure, as it is printed.</figcaption></figure></article>", 7),
+    ],
+)
+def test_names_do_not_take_an_article_out(page, count):
+    got = html_text.content_of(page).split("\n")
+    assert len(got) == count and "More" not in got and "Short" not in got
+
+
+def test_formulas_and_drawings_keep_their_text():
+    page = "<article><p>Where <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds, <svg viewBox='0 0 1 1'><path d='M0 0'/><text>label</text></svg> is drawn.</p><p>Next.</p></article>"
+    assert html_text.content_of(page) == "Where x=2 holds, label is drawn.\nNext."
+
+
 def test_pages_give_back_their_documents(spark, docs, sf_dir):
     texts = {" ".join((r["text"] or "").split()) for r in docs.collect()}
     rows = html_text.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet")).collect()
