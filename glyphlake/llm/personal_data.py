@@ -24,8 +24,15 @@ IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 # Candidates of the other kinds.
-MIXED = re.compile(r"[0-9][A-Za-z0-9_+/-]{7,}")
-ASSIGNED = re.compile(r"(?:passw(?:or)?d|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)\s*[=:]\s*[\"']?([^\s\"']{6,})", re.I)
+TOKEN_RUN = re.compile(r"[A-Za-z0-9_+/-]{16,}")
+HAS_DIGIT, HAS_LETTER = re.compile("[0-9]").search, re.compile("[A-Za-z]").search
+ASSIGN = r"(?:passw(?:or)?d|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)\s*[=:]\s*[\"']?"
+ASSIGNED = re.compile(ASSIGN + r"([^\s\"']{6,})", re.I)
+ASSIGNS = re.compile(ASSIGN + r"\Z", re.I)
+#: Words and numbers joined by signs, as in names of pages and files.
+JOINED = re.compile(r"(?:[A-Za-z]?[0-9]+|[A-Z]?[a-z]+|[A-Z]+)(?:[_+/-]+(?:[A-Za-z]?[0-9]+|[A-Z]?[a-z]+|[A-Z]+|\Z))+")
+#: Characters behind a known prefix from which on the prefix speaks for a key.
+KEY_REST = 12
 IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b")
 NATIONAL = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 PERSON = re.compile(r"(?:\b(?:Mr|Mrs|Ms|Dr|Prof)\.? |\b[Nn]ame: ?)([A-ZÀ-Þ][a-zà-ÿ]+(?: [A-ZÀ-Þ][a-zà-ÿ]+){0,2})")
@@ -43,6 +50,7 @@ CUES = {
     "card": ("card", "visa", "payment", "credit"),
     "phone": ("phone", "tel", "call", "mobile", "fax"),
 }
+PREFIXED = re.compile("(?<![A-Za-z0-9_+/-])(?:" + "|".join(map(re.escape, KEY_PREFIXES)) + ")[A-Za-z0-9_+/-]*")
 AGAINST = ("version", "isbn", "commit", "sha1", "sha256", "md5", "checksum", "section", "page", "figure", "doi", "http")
 #: Yes, no, nothing to say.
 YES, NO, ABSTAIN = "1", "2", "0"
@@ -90,13 +98,11 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def other_spans(text: str) -> set[tuple[int, int, int]]:
     """Candidates of the kinds that only the method finds."""
     found = set()
-    for m in MIXED.finditer(text):
-        start = m.start()
-        while start > 0 and (text[start - 1].isascii() and text[start - 1].isalnum() or text[start - 1] in "_+/-"):
-            start -= 1
-        value = text[start : m.end()]
-        if len(value) >= 16 and re.search("[A-Za-z]", value):
-            found.add((4, start, m.end()))
+    for m in TOKEN_RUN.finditer(text):
+        if HAS_DIGIT(m[0]) and HAS_LETTER(m[0]):
+            found.add((4, *m.span()))
+    if any(p in text for p in KEY_PREFIXES):
+        found.update((4, *m.span()) for m in PREFIXED.finditer(text))
     low = text.lower() if any(c in text for c in "=:") else ""
     if len(low) == len(text) and any(c in low for c in ("passw", "pwd", "token", "secret", "key")):
         found.update((4, *m.span(1)) for m in ASSIGNED.finditer(text))
@@ -120,8 +126,12 @@ def votes_of(kind: int, value: str, before: str) -> str:
     shape = YES if len(set(value)) >= 8 else NO
     if name == "secret":
         form = YES if re.fullmatch(r"AKIA[0-9A-Z]{16}|[0-9a-f]{16,}|[A-Za-z0-9_+/=-]{20,}", value) else ABSTAIN
-        gazetteer = YES if value.startswith(KEY_PREFIXES) else ABSTAIN
+        prefix = next((p for p in KEY_PREFIXES if value.startswith(p)), "")
+        rest = value[len(prefix) :]
+        gazetteer = YES if prefix and len(rest) >= KEY_REST and not JOINED.fullmatch(rest) else ABSTAIN
         shape = YES if digits >= 3 and letters >= 3 and len(set(value)) >= 8 else NO
+        if (prefix and len(rest) < KEY_REST or JOINED.fullmatch(rest)) and not ASSIGNS.search(before):
+            form = shape = NO
     elif name == "iban":
         form = YES if _iban_sum(value) else NO
         gazetteer = YES if value[:2] in IBAN_COUNTRIES else NO
