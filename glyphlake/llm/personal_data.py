@@ -104,7 +104,7 @@ def other_spans(text: str) -> set[tuple[int, int, int]]:
     if any(p in text for p in KEY_PREFIXES):
         found.update((4, *m.span()) for m in PREFIXED.finditer(text))
     low = text.lower() if any(c in text for c in "=:") else ""
-    if len(low) == len(text) and any(c in low for c in ("passw", "pwd", "token", "secret", "key")):
+    if any(c in low for c in ("passw", "pwd", "token", "secret", "key")):
         found.update((4, *m.span(1)) for m in ASSIGNED.finditer(text))
     found.update((5, *m.span()) for m in IBAN.finditer(text)) if re.search(r"[A-Z]{2}[0-9]{2}", text) else None
     found.update((6, *m.span()) for m in NATIONAL.finditer(text)) if "-" in text else None

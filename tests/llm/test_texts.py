@@ -154,6 +154,11 @@ def test_keys_with_late_or_no_digits(spark):
     assert all((got[i] != "") == (i < len(keys)) for i, _ in rows)
 
 
+def test_assignments_beside_letters_that_grow_in_lower_case():
+    text = "İstanbul'da password=hunter2x, token: Qwerty"
+    assert {text[s:e] for k, s, e in personal_data.other_spans(text) if k == 4} == {"hunter2x,", "Qwerty"}
+
+
 def test_redaction(spark, edge, none):
     left = personal_data.redact(edge)
     assert left.columns == edge.columns and left.count() == edge.count()
