@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 
 import numpy as np
 import pandas as pd
@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 
 from glyphlake.llm.common import stored, text_of
 
-#: Rows of the context matrix: hashed words, and marks of form (see ``mark``). DIM values a row.
-WORDS, MARKS, DIM = 8_192, 64, 48
-ROWS = WORDS + MARKS
+#: Marks of form (see ``mark``); values of a vector; bits of a word's key, a hash of the word.
+MARKS, DIM, KEY_BITS = 64, 48, 57
+#: Words of highest count whose vectors are broadcast; all others meet their documents in a join.
+HEAD = 65_536
+#: Words of a task that are counted at once.
+CHUNK = 1_500_000
 #: Neighbours on each side that make a word's context; nonzero places of an index vector.
 REACH, PLACES = 2, 2
 #: Expected number of labelled rows that the network is fitted on (the documented bound of the sample).
@@ -35,11 +38,12 @@ def mark(word: str) -> int:
 
 
 class Lexicon(dict):
-    """word -> row << 8 | mark, bounded."""
+    """word -> key << 6 | mark, bounded."""
 
     def __missing__(self, word: str) -> int:
         core = word.strip(".,;:!?\"'()*#$%&|<>-_=+~^@/\\").lower()
-        value = (zlib.crc32(core.encode("utf-8", "replace")) % WORDS) << 8 | mark(word)
+        digest = hashlib.blake2b(core.encode("utf-8", "replace"), digest_size=8).digest()
+        value = (int.from_bytes(digest, "little") >> (64 - KEY_BITS)) << 6 | mark(word)
         if len(self) >= REMEMBERED:
             self.clear()
         self[word] = value
@@ -50,50 +54,53 @@ _lexicon = Lexicon()
 
 
 def encode(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the words of a text and rows of their marks, in order."""
+    """Keys of the words of a text and their marks, in order."""
     words = text.split()
     packed = np.fromiter(map(_lexicon.__getitem__, words), np.int64, len(words))
-    rows, marks = packed >> 8, packed & 255
-    if len(rows) > 3:
-        windows = (rows[:-2] * WORDS + rows[1:-1]) * WORDS + rows[2:]
+    keys, marks = packed >> 6, packed & 63
+    if len(keys) > 3:
+        windows = (keys[:-2] * 0x1E3779B97F4A7C15 + keys[1:-1]) * 0x3F58476D1CE4E5B9 + keys[2:]
         _, first = np.unique(windows, return_index=True)
         again = np.ones(len(windows), bool)
         again[first] = False
         marks[:-2][again] = REPEATED
-    return rows, marks + WORDS
+    return keys, marks
 
 
-def index_vectors() -> tuple[np.ndarray, np.ndarray]:
-    """Random index vectors: PLACES places of each row and their signs, from a fixed seed."""
+def index_vectors(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Random index vectors of words: PLACES places of each and their signs, taken from the bits of its key."""
+    shifts = 20 * np.arange(PLACES)
+    return ((keys[:, None] >> shifts) & 0xFFFFF) % DIM, 1.0 - 2.0 * ((keys[:, None] >> (50 + np.arange(PLACES))) & 1)
+
+
+def mark_vectors() -> tuple[np.ndarray, np.ndarray]:
+    """Places and signs of the marks, from a fixed seed."""
     rng = np.random.default_rng(7)
-    return rng.integers(0, DIM, (ROWS, PLACES)), rng.choice([-1.0, 1.0], (ROWS, PLACES))
+    return rng.integers(0, DIM, (MARKS, PLACES)), rng.choice([-1.0, 1.0], (MARKS, PLACES))
 
 
 def _contexts(batches):
-    """One row for each used row of the matrix: its summed context and its count, over a task's documents."""
-    places, signs = index_vectors()
-    total, counts = np.zeros(ROWS * DIM), np.zeros(ROWS)
+    """One row for each word of a chunk of a task's documents: its count and its summed context."""
+    mark_places, mark_signs = mark_vectors()
+    gap = np.full(REACH, -1)
 
-    def add(rows: np.ndarray, near: np.ndarray) -> None:
-        for p in range(PLACES):
-            nonlocal total
-            total += np.bincount(rows * DIM + places[near, p], signs[near, p], ROWS * DIM)
-
-    def flush(held: list) -> None:
-        if not held:
-            return
-        gap = np.full(REACH, -1)
-        rows = np.concatenate([x for r, _ in held for x in (r, gap)])
+    def summed(held: list) -> pd.DataFrame:
+        keys = np.concatenate([x for k, _ in held for x in (k, gap)])
         marks = np.concatenate([x for _, m in held for x in (m, gap)])
-        real = rows >= 0
-        counts[:] += np.bincount(rows[real], minlength=ROWS) + np.bincount(marks[real], minlength=ROWS)
-        for k in range(1, REACH + 1):
-            both = real[:-k] & real[k:]
-            a, b = rows[:-k][both], rows[k:][both]
-            ma, mb = marks[:-k][both], marks[k:][both]
-            for left, right in ((a, b), (b, a), (ma, mb), (mb, ma)):
-                add(left, right)
-        add(rows[real], marks[real])
+        real = keys >= 0
+        words, rows = np.unique(keys, return_inverse=True)
+        places, signs = index_vectors(words)
+        total = np.zeros(len(words) * DIM)
+        for p in range(PLACES):
+            for k in range(1, REACH + 1):
+                both = real[:-k] & real[k:]
+                a, b = rows[:-k][both], rows[k:][both]
+                for left, right in ((a, b), (b, a)):
+                    total += np.bincount(left * DIM + places[right, p], signs[right, p], len(total))
+            total += np.bincount(rows[real] * DIM + mark_places[marks[real], p], mark_signs[marks[real], p], len(total))
+        counts, own = np.bincount(rows, minlength=len(words)), words >= 0
+        vectors = total.reshape(-1, DIM)[own].astype("int32")
+        return pd.DataFrame({"key": words[own], "n": counts[own], **{f"v{k}": vectors[:, k] for k in range(DIM)}})
 
     held, size = [], 0
     for batch in batches:
@@ -101,58 +108,72 @@ def _contexts(batches):
             found = encode(text)
             held.append(found)
             size += len(found[0])
-            if size > 200_000:
-                flush(held)
+            if size > CHUNK:
+                yield summed(held)
                 held, size = [], 0
-    flush(held)
-    used = np.flatnonzero(counts)
-    vectors = total.reshape(ROWS, DIM)[used]
-    yield pd.DataFrame({"row": used.astype("int32"), "n": counts[used], **{f"v{k}": vectors[:, k] for k in range(DIM)}})
-
-
-def word_vectors(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Unit word vectors and pooling weights from all texts. Partial sums meet in a groupBy; ROWS rows reach the driver."""
-    schema = "row int, n double, " + ", ".join(f"v{k} double" for k in range(DIM))
-    sums = texts.mapInPandas(_contexts, schema).groupBy("row").agg(F.sum("n").alias("n"), *[F.sum(f"v{k}").alias(f"v{k}") for k in range(DIM)])
-    vectors, counts = np.zeros((ROWS, DIM), np.float32), np.zeros(ROWS)
-    for r in sums.collect():
-        counts[r[0]], vectors[r[0]] = r[1], r[2:]
-    words = vectors[:WORDS]
-    norm = np.linalg.norm(words, axis=1, keepdims=True)
-    vectors[:WORDS] = words / np.maximum(norm, 1e-9)
-    share = counts[:WORDS] / max(1.0, counts[:WORDS].sum())
-    return vectors[:WORDS], (1e-3 / (1e-3 + share)).astype(np.float32)
-
-
-def pooled(texts: DataFrame, vectors: np.ndarray, weights: np.ndarray) -> DataFrame:
-    """``doc_id, f``: weighted mean of word vectors, mean index vector of the marks, log length."""
-    places, signs = index_vectors()
+    if held:
+        yield summed(held)
+
+
+def word_vectors(texts: DataFrame) -> DataFrame:
+    """``key, n, v``: count and summed context of every word of all texts, a table that grows with the vocabulary."""
+    schema = "key long, n long, " + ", ".join(f"v{k} int" for k in range(DIM))
+    sums = texts.mapInPandas(_contexts, schema).groupBy("key").agg(F.sum("n").alias("n"), *[F.sum(f"v{k}").cast("int").alias(f"v{k}") for k in range(DIM)])
+    return stored(sums.select("key", "n", F.array(*[f"v{k}" for k in range(DIM)]).alias("v")), "words")
+
+
+def pooled(texts: DataFrame, words: DataFrame) -> DataFrame:
+    """``doc_id, f``: weighted mean of unit word vectors, mean index vector of the marks, log length.
+
+    The HEAD commonest words are pooled where the text is read; counts of all others are joined with ``words``.
+    """
+    total = max(1, words.agg(F.sum("n")).first()[0] or 0)
+    head = words.orderBy(F.desc("n"), "key").limit(HEAD).toArrow()
+    keys, counts = head["key"].to_numpy(), head["n"].to_numpy()
+    vectors = np.array(head["v"].combine_chunks().flatten(), np.float32).reshape(-1, DIM)
+    order = np.argsort(keys)
+    keys, counts, vectors = keys[order], counts[order], vectors[order]
+    vectors = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9).astype(np.float32)
+    weights = (1e-3 / (1e-3 + counts / total)).astype(np.float32)
+    last = (int(counts.min()), int(keys[counts == counts.min()].max())) if len(keys) else (0, 0)
+    places, signs = mark_vectors()
     of_mark = np.zeros((MARKS, DIM), np.float32)
     for p in range(PLACES):
-        np.add.at(of_mark, (np.arange(MARKS), places[WORDS:, p]), signs[WORDS:, p])
+        np.add.at(of_mark, (np.arange(MARKS), places[:, p]), signs[:, p])
 
     def run(batches):
-        import pandas as pd
-
         for batch in batches:
-            out = []
+            out = {"head": [], "w": [], "form": [], "tail": []}
             for text in batch["text"]:
-                rows, marks = encode(text)
-                n = len(rows)
-                own = np.bincount(rows, minlength=WORDS) if n > 4_000 else None
-                if n == 0:
-                    pool = np.zeros(DIM, np.float32)
-                elif own is not None:
-                    pool = (own * weights) @ vectors / (own @ weights)
-                else:
-                    w = weights[rows]
-                    pool = w @ vectors[rows] / w.sum()
-                form = np.bincount(marks - WORDS, minlength=MARKS) / max(1, n)
-                out.append(np.concatenate([pool, form @ of_mark, [np.log1p(n) / 8]]).astype(np.float32).tolist())
+                own, marks = encode(text)
+                n = len(own)
+                at = np.minimum(np.searchsorted(keys, own), max(0, len(keys) - 1))
+                common = keys[at] == own if len(keys) else np.zeros(n, bool)
+                at = at[common]
+                w = weights[at]
+                rare, times = np.unique(own[~common], return_counts=True)
+                out["head"].append((w @ vectors[at]).astype(np.float32) if len(at) else np.zeros(DIM, np.float32))
+                out["w"].append(float(w.sum()))
+                out["form"].append(np.append(np.bincount(marks, minlength=MARKS) / max(1, n) @ of_mark, np.log1p(n) / 8).astype(np.float32))
+                out["tail"].append([{"key": k, "c": c} for k, c in zip(rare.tolist(), times.tolist(), strict=True)])
             ids = batch["doc_id"]
-            yield pd.DataFrame({"doc_id": ids.astype("Int64") if ids.isna().any() else ids, "f": out})
-
-    return texts.mapInPandas(run, "doc_id long, f array<float>")
+            yield pd.DataFrame({"doc_id": ids.astype("Int64") if ids.isna().any() else ids, "row": batch["row"], **out})
+
+    numbered = texts.withColumn("row", F.monotonically_increasing_id())
+    parts = stored(numbered.mapInPandas(run, "doc_id long, row long, head array<float>, w double, form array<float>, tail array<struct<key:long,c:int>>"), "pooled")
+    rest = words.where((F.col("n") < last[0]) | (F.col("n") == last[0]) & (F.col("key") > last[1]))
+    pairs = parts.select("row", F.explode("tail").alias("t")).select("row", "t.key", "t.c")
+    # Contexts of rare words are small whole numbers: they are dealt to rows as such and made unit vectors after.
+    met = pairs.join(rest.hint("merge"), "key").select("row", "c", "n", "v").repartition("row")
+    weight = F.col("c") * 1e-3 / (F.col("n") / F.lit(float(total)) + 1e-3)
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x))
+    met = met.select("row", weight.alias("w"), norm.alias("norm"), "v").withColumn("u", F.col("w") / F.greatest("norm", F.lit(1e-9)))
+    tails = met.groupBy("row").agg(F.sum("w").alias("tw"), *[F.sum(F.get("v", F.lit(k)) * F.col("u")).alias(f"s{k}") for k in range(DIM)])
+    tails = tails.select("row", "tw", F.array(*[f"s{k}" for k in range(DIM)]).alias("s"))
+    both = parts.drop("tail").join(tails.hint("merge"), "row", "left")
+    whole = F.greatest(F.col("w") + F.coalesce("tw", F.lit(0.0)), F.lit(1e-12))
+    pool = F.zip_with("head", F.coalesce("s", F.array_repeat(F.lit(0.0), DIM)), lambda a, b: a + b)
+    return both.select("doc_id", F.transform(F.concat(F.transform(pool, lambda x: x / whole), "form"), lambda x: x.cast("float")).alias("f"))
 
 
 class Network:
@@ -197,14 +218,13 @@ class Network:
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_rows: int = TRAIN_ROWS) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, held_out, score, predicted``.
 
-    Word contexts are summed over all texts. The network is fitted on labelled rows whose
+    Word contexts are summed over all texts, for each word apart. The network is fitted on labelled rows whose
     crc32(id) mod 5 is not 0, thinned by a hash of the id to about ``train_rows``. Null text is empty
     and is scored like any other; a null id is held out. Without both labels in
     the training rows every score is their mean, or 0.5 if there are none. Extra columns are left out.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    vectors, weights = word_vectors(texts.select("text"))
-    features = stored(pooled(texts, vectors, weights), "features")
+    features = stored(pooled(texts, word_vectors(texts.select("text"))), "features")
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0, F.lit(True))
     labelled = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("double").alias("y")).where(F.col("y").isNotNull() & ~held)
     share = min(1.0, train_rows / max(1, labelled.count()))

@@ -251,6 +251,19 @@ def test_classifier_on_held_out_rows(spark):
     assert good and bad and np.mean([g > b for g in good for b in bad]) > 0.95
 
 
+def test_every_word_has_its_own_vector(spark, monkeypatch):
+    texts = spark.createDataFrame([(d, " ".join(f"w{d}x{k} same" for k in range(400))) for d in range(50)], "doc_id long, text string")
+    words = quality_model.word_vectors(texts.select("text"))
+    assert words.count() == 20_001 and words.agg({"n": "sum"}).first()[0] == 40_000
+    key = int(quality_model.encode("w3x7")[0][0])
+    assert words.where(f"key = {key}").first()["n"] == 1
+    # Words that are joined give the same as words that are broadcast.
+    want = {r["doc_id"]: r["f"] for r in quality_model.pooled(texts, words).collect()}
+    monkeypatch.setattr(quality_model, "HEAD", 100)
+    got = {r["doc_id"]: r["f"] for r in quality_model.pooled(texts, words).collect()}
+    assert want.keys() == got.keys() and all(np.allclose(want[k], got[k], atol=1e-4) for k in want)
+
+
 def test_classifier_edge(spark, edge, none):
     labels = spark.createDataFrame([(1, 1), (3, 0), (4, None)], "doc_id long, quality int")
     got = quality_model.quality_scores(edge, labels).collect()
