@@ -42,7 +42,7 @@ TEMPLATES: dict[str, tuple[str, tuple[str, ...]]] = {
     "unlicense": ("this is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
     "boost": ("distributed under the boost software license version 1 0", ("boost software license",)),
 }
-#: Licence words of a file that are looked up: those of highest IDF over the scanned documents.
+#: Words of a template that are looked up in a file: those in the file of highest IDF over the scanned documents.
 RAREST = 16
 #: Share of the weight of the file's words that a template holds which must align at one place.
 LEAST_SHARE = 0.3
@@ -90,8 +90,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """One row per row of ``docs``: ``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score``.
 
     Document frequencies of the licence words are counted over all documents. The index holds each word
-    of the templates with its positions. The RAREST licence words of a text, by IDF, vote for (template,
-    text position - template position), and a template is a match where votes within DRIFT words of each other
+    of the templates with its positions. For each template whose mandatory phrase a text holds, the RAREST of its
+    words that are in the text, by IDF, vote for (template, text position - template position), and a template is a match where votes within DRIFT words of each other
     hold LEAST_SHARE of the weight of those words that it has, and the text holds a mandatory phrase.
     ``score`` is 1 with a base phrase, else the best share of a matching template, else 0.
 
@@ -134,11 +134,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     postings = F.broadcast(spark.createDataFrame(index, "word string, label string, place int"))  # words of the templates
     idf = F.broadcast(spark.createDataFrame(list(weight.items()), "word string, weight double"))
     hits = rows.where("hits IS NOT NULL").select("row", "keys", F.explode("hits").alias("h")).select("row", "keys", F.col("h.w").alias("word"), F.col("h.i").alias("i"))
-    top = hits.select("row", "word").distinct().join(idf, "word").withColumn("rank", F.row_number().over(Window.partitionBy("row").orderBy(F.desc("weight"), "word"))).where(F.col("rank") <= RAREST)
+    of_label = F.broadcast(spark.createDataFrame(sorted({(w, label) for w, label, _ in index}), "word string, label string"))
+    first = Window.partitionBy("row", "label").orderBy(F.desc("weight"), "word")
+    top = hits.select("row", "keys", "word").distinct().join(of_label, "word").where(F.array_contains("keys", F.col("label"))).join(idf, "word")
+    top = top.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= RAREST)
     votes = (
-        hits.join(top.select("row", "word", "weight").hint("merge"), ["row", "word"])
-        .join(postings, "word")
-        .where(F.array_contains("keys", F.col("label")))
+        hits.select("row", "word", "i")
+        .join(top.select("row", "label", "word", "weight").hint("merge"), ["row", "word"])
+        .join(postings, ["word", "label"])
         .select("row", "label", "word", "weight", F.floor((F.col("i") - F.col("place")) / DRIFT).alias("shift"))
     )
     # A shift lies in its own cell and the next, so that votes on both sides of a cell's edge meet.

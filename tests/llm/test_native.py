@@ -64,6 +64,15 @@ def test_license_index_adds_labels(spark):
     assert (got[6]["n_base"], got[6]["first_word"], got[6]["last_word"]) == (2, 0, 2)
 
 
+def test_every_verified_licence_has_its_words(spark):
+    full = lambda *labels: "\n\n".join(licenses.TEMPLATES[k][0] for k in labels)
+    bsd = licenses.TEMPLATES["bsd"][0].replace(" licensed under the bsd license", "")
+    notices = full("apache", "mpl", "isc", "epl", "unlicense", "boost") + "\n\n" + bsd
+    rows = [(1, notices)] + [(k, bsd) for k in range(2, 42)]
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == "apache,boost,bsd,epl,isc,mpl,unlicense" and got[2] == "bsd"
+
+
 def test_license_empty(none):
     assert licenses.scan(none).count() == 0
 
