@@ -20,8 +20,8 @@ PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^{BLANK}A
 EXACT_PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{BLANK}\p{{L}}\p{{N}}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+"
 #: White space other than lone blanks and line feeds between words.
 UNEVEN = re.compile(rf"[\t\x0b-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|  | \n|\n |\n\n|\A[ \n]|[ \n]\Z")
-#: Words that a worker remembers before it starts afresh.
-REMEMBERED = 500_000
+#: Words that a worker remembers before it starts afresh, and the longest that it remembers.
+REMEMBERED, LONGEST = 500_000, 64
 #: Children of a node of the segment tree.
 FAN = 16
 ABSENT = 1 << 62
@@ -49,7 +49,7 @@ def _exact():
 
 
 class Memory(dict):
-    """A bounded dict that fills itself."""
+    """A dict that fills itself, bounded in entries and in the length of each."""
 
     def __init__(self, make):
         super().__init__()
@@ -57,6 +57,8 @@ class Memory(dict):
 
     def __missing__(self, key):
         value = self.make(key)
+        if len(key) > LONGEST:
+            return value
         if len(self) >= REMEMBERED:
             self.clear()
         self[key] = value

@@ -21,7 +21,6 @@ CAPACITY = 2048
 #: Share of sequences by which the linear program may miss its optimum.
 NEAR = 5e-4
 END_ID = 1
-REMEMBERED = 500_000
 #: Rows of a bucket in which documents of one length class are ranked.
 BUCKET_ROWS, MIN_BUCKETS = 100_000, 64
 
@@ -56,50 +55,22 @@ class Ids:
 
             ranks = {x: i for i, x in enumerate(own.bytes_of[: 256 + len(own.made)])}
             self.ordinary = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.bare: dict[str, bytes] = {}
-        self.after_blank: dict[str, bytes] = {}
+        self.bare = bpe.Memory(lambda word: as_bytes(self.ordinary(word)))
+        self.after_blank = bpe.Memory(lambda word: as_bytes(self.ordinary(" " + word)))
         self.line_feed = self.whole("\n")
 
     def whole(self, text: str) -> bytes:
         special = any(s in text for s in self.special)
         return as_bytes(self.library.encode(text, add_special_tokens=False).ids if special else self.ordinary(text))
 
-    def _learn(self, memory: dict, words: set, blank: str) -> None:
-        new = [w for w in words if w not in memory]
-        if len(memory) + len(new) > REMEMBERED:
-            memory.clear()
-            new = list(words)
-        for word in new:
-            memory[word] = as_bytes(self.ordinary(blank + word))
-
-    def of_all(self, texts) -> list[bytes]:
-        """Ids of some texts; the words that they bring are learnt in one call."""
-        uneven = [bool(UNEVEN.search(t)) or any(s in t for s in self.special) for t in texts]
-        lines = [None if u else [line.split(" ") for line in t.split("\n")] for u, t in zip(uneven, texts, strict=True)]
-        self._learn(self.bare, {w[0] for own in lines if own for w in own}, "")
-        known: set = set()
-        for own in lines:
-            for words in own or ():
-                known.update(words)
-        self._learn(self.after_blank, known, " ")
-        get = self.after_blank.__getitem__
-        return [
-            self.whole(t) if own is None else self.line_feed.join([self.bare[w[0]] + b"".join(map(get, w[1:])) for w in own])
-            for t, own in zip(texts, lines, strict=True)
-        ]
-
-
-def in_portions(texts, chars: int = 500_000):
-    """Lists of texts of about ``chars`` characters."""
-    held, size = [], 0
-    for t in texts:
-        held.append(t)
-        size += len(t)
-        if size >= chars:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
+    def __call__(self, text: str) -> bytes:
+        if UNEVEN.search(text) or any(s in text for s in self.special):
+            return self.whole(text)
+        lines = []
+        for line in text.split("\n"):
+            first, *rest = line.split(" ")
+            lines.append(self.bare[first] + b"".join(map(self.after_blank.__getitem__, rest)))
+        return self.line_feed.join(lines)
 
 
 @lru_cache(2)
@@ -116,10 +87,9 @@ def token_lengths(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
         ids_of, end, width = loaded(path), np.array([END_ID], "<u4").tobytes(), 4 * capacity
         for batch in batches:
             rows = []
-            for texts in in_portions(batch["text"]):
-                for found in ids_of.of_all(texts):
-                    ids = found + end
-                    rows.append((len(ids) // 4, [zlib.crc32(ids[k : k + width]) for k in range(0, len(ids), width)]))
+            for text in batch["text"]:
+                ids = ids_of(text) + end
+                rows.append((len(ids) // 4, [zlib.crc32(ids[k : k + width]) for k in range(0, len(ids), width)]))
             out = pd.DataFrame(rows, columns=["doc_tokens", "crcs"])
             out.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy() if batch["doc_id"].isna().any() else batch["doc_id"].to_numpy())
             yield out

@@ -2,178 +2,117 @@
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphlake.llm.common import stored, text_of
+from glyphlake.llm import packing
+from glyphlake.llm.common import stored, text_of, tokenizer_path
 
-#: Marks of form (see ``mark``); values of a vector; bits of a word's key, a hash of the word.
-MARKS, DIM, KEY_BITS = 64, 48, 57
-#: Words of highest count whose vectors are broadcast; all others meet their documents in a join.
-HEAD = 65_536
-#: Words of a task that are counted at once.
-CHUNK = 1_500_000
-#: Neighbours on each side that make a word's context; nonzero places of an index vector.
-REACH, PLACES = 2, 2
+#: Values of a word's vector; neighbours on each side that make its context; nonzero places of an index vector.
+DIM, REACH, PLACES = 64, 2, 2
+#: Words of a task whose contexts are added up at once.
+CHUNK = 1_000_000
 #: Expected number of labelled rows that the network is fitted on (the documented bound of the sample).
 TRAIN_ROWS = 20_000
 HIDDEN, ROUNDS, BATCH, RATE, DECAY = 32, 60, 256, 3e-3, 1e-4
 PREDICT_AT = 0.3
-REMEMBERED = 400_000
-REPEATED = MARKS - 1
+VECTOR = [f"v{k}" for k in range(DIM)]
 
 
-def mark(word: str) -> int:
-    """The form of a word: case, digits, signs at its end; REPEATED is kept for words of repeated windows."""
-    core = word.rstrip(".,;:!?\"')*#$%&|<>-_=+~^@/\\")
-    tail = word[len(core) :]
-    case = 0 if core.islower() else 1 if core.istitle() else 2 if core.isupper() and len(core) > 1 else 3
-    sign = 0 if not tail else 1 if tail in (".", ",", ";", ":", "?", "!") else 2 if tail[0] in "!?" else 3
-    kind = 0 if core.isalpha() else 1 if not core else 2 if core.isdigit() else 3
-    return (case * 4 + sign) * 3 + min(kind, 2)
+# ---- words of a text and their vectors
 
 
-class Lexicon(dict):
-    """word -> key << 6 | mark, bounded."""
+def index_vectors(vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
+    """Random index vectors: PLACES places and signs of each word as a neighbour on the left and on the right."""
+    rng = np.random.default_rng(7)
+    return rng.integers(0, DIM, (2, vocabulary, PLACES)), rng.choice([-1.0, 1.0], (2, vocabulary, PLACES))
 
-    def __missing__(self, word: str) -> int:
-        core = word.strip(".,;:!?\"'()*#$%&|<>-_=+~^@/\\").lower()
-        digest = hashlib.blake2b(core.encode("utf-8", "replace"), digest_size=8).digest()
-        value = (int.from_bytes(digest, "little") >> (64 - KEY_BITS)) << 6 | mark(word)
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = value
-        return value
 
+def contexts_of(texts: list[np.ndarray], vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
+    """(counts, contexts): for each word, the sum of the index vectors of its REACH neighbours on each side."""
+    places, signs = index_vectors(vocabulary)
+    gap = np.full(REACH, -1)
+    words = np.concatenate([x for t in texts for x in (t.astype("int64"), gap)])
+    total = np.zeros(vocabulary * DIM)
+    for k in range(1, REACH + 1):
+        both = (words[:-k] >= 0) & (words[k:] >= 0)
+        left, right = words[:-k][both], words[k:][both]
+        for p in range(PLACES):
+            total += np.bincount(left * DIM + places[1, right, p], signs[1, right, p], len(total))
+            total += np.bincount(right * DIM + places[0, left, p], signs[0, left, p], len(total))
+    return np.bincount(words[words >= 0], minlength=vocabulary), total.reshape(vocabulary, DIM)
 
-_lexicon = Lexicon()
 
+def word_vectors(tokens: DataFrame, vocabulary: int) -> DataFrame:
+    """``word, n, v0 ...``: count and summed context of every word of all texts; at most ``vocabulary`` rows."""
 
-def encode(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the words of a text and their marks, in order."""
-    words = text.split()
-    packed = np.fromiter(map(_lexicon.__getitem__, words), np.int64, len(words))
-    keys, marks = packed >> 6, packed & 63
-    if len(keys) > 3:
-        windows = (keys[:-2] * 0x1E3779B97F4A7C15 + keys[1:-1]) * 0x3F58476D1CE4E5B9 + keys[2:]
-        _, first = np.unique(windows, return_index=True)
-        again = np.ones(len(windows), bool)
-        again[first] = False
-        marks[:-2][again] = REPEATED
-    return keys, marks
+    def run(batches):
+        counts, total, held, size = np.zeros(vocabulary, "int64"), np.zeros((vocabulary, DIM)), [], 0
 
+        def add() -> None:
+            nonlocal counts, total
+            n, v = contexts_of(held, vocabulary)
+            counts, total = counts + n, total + v
 
-def index_vectors(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Random index vectors of words: PLACES places of each and their signs, taken from the bits of its key."""
-    shifts = 20 * np.arange(PLACES)
-    return ((keys[:, None] >> shifts) & 0xFFFFF) % DIM, 1.0 - 2.0 * ((keys[:, None] >> (50 + np.arange(PLACES))) & 1)
+        for batch in batches:
+            for words in batch["words"]:
+                held.append(np.frombuffer(words, dtype_for(vocabulary)))
+                size += len(held[-1])
+                if size >= CHUNK:
+                    add()
+                    held, size = [], 0
+        if size:
+            add()
+        seen = np.flatnonzero(counts)
+        yield pd.DataFrame({"word": seen, "n": counts[seen], **dict(zip(VECTOR, total[seen].astype("int64").T, strict=True))})
 
+    schema = "word int, n long, " + ", ".join(f"{v} long" for v in VECTOR)
+    return tokens.select("words").mapInPandas(run, schema).groupBy("word").agg(F.sum("n").alias("n"), *[F.sum(v).alias(v) for v in VECTOR])
 
-def mark_vectors() -> tuple[np.ndarray, np.ndarray]:
-    """Places and signs of the marks, from a fixed seed."""
-    rng = np.random.default_rng(7)
-    return rng.integers(0, DIM, (MARKS, PLACES)), rng.choice([-1.0, 1.0], (MARKS, PLACES))
 
+def dtype_for(vocabulary: int) -> str:
+    return "<u2" if vocabulary <= 1 << 16 else "<u4"
 
-def _contexts(batches):
-    """One row for each word of a chunk of a task's documents: its count and its summed context."""
-    mark_places, mark_signs = mark_vectors()
-    gap = np.full(REACH, -1)
 
-    def summed(held: list) -> pd.DataFrame:
-        keys = np.concatenate([x for k, _ in held for x in (k, gap)])
-        marks = np.concatenate([x for _, m in held for x in (m, gap)])
-        real = keys >= 0
-        words, rows = np.unique(keys, return_inverse=True)
-        places, signs = index_vectors(words)
-        total = np.zeros(len(words) * DIM)
-        for p in range(PLACES):
-            for k in range(1, REACH + 1):
-                both = real[:-k] & real[k:]
-                a, b = rows[:-k][both], rows[k:][both]
-                for left, right in ((a, b), (b, a)):
-                    total += np.bincount(left * DIM + places[right, p], signs[right, p], len(total))
-            total += np.bincount(rows[real] * DIM + mark_places[marks[real], p], mark_signs[marks[real], p], len(total))
-        counts, own = np.bincount(rows, minlength=len(words)), words >= 0
-        vectors = total.reshape(-1, DIM)[own].astype("int32")
-        return pd.DataFrame({"key": words[own], "n": counts[own], **{f"v{k}": vectors[:, k] for k in range(DIM)}})
-
-    held, size = [], 0
-    for batch in batches:
-        for text in batch["text"]:
-            found = encode(text)
-            held.append(found)
-            size += len(found[0])
-            if size > CHUNK:
-                yield summed(held)
-                held, size = [], 0
-    if held:
-        yield summed(held)
-
-
-def word_vectors(texts: DataFrame) -> DataFrame:
-    """``key, n, v``: count and summed context of every word of all texts, a table that grows with the vocabulary."""
-    schema = "key long, n long, " + ", ".join(f"v{k} int" for k in range(DIM))
-    sums = texts.mapInPandas(_contexts, schema).groupBy("key").agg(F.sum("n").alias("n"), *[F.sum(f"v{k}").cast("int").alias(f"v{k}") for k in range(DIM)])
-    return stored(sums.select("key", "n", F.array(*[f"v{k}" for k in range(DIM)]).alias("v")), "words")
-
-
-def pooled(texts: DataFrame, words: DataFrame) -> DataFrame:
-    """``doc_id, f``: weighted mean of unit word vectors, mean index vector of the marks, log length.
-
-    The HEAD commonest words are pooled where the text is read; counts of all others are joined with ``words``.
-    """
-    total = max(1, words.agg(F.sum("n")).first()[0] or 0)
-    head = words.orderBy(F.desc("n"), "key").limit(HEAD).toArrow()
-    keys, counts = head["key"].to_numpy(), head["n"].to_numpy()
-    vectors = np.array(head["v"].combine_chunks().flatten(), np.float32).reshape(-1, DIM)
-    order = np.argsort(keys)
-    keys, counts, vectors = keys[order], counts[order], vectors[order]
-    vectors = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9).astype(np.float32)
-    weights = (1e-3 / (1e-3 + counts / total)).astype(np.float32)
-    last = (int(counts.min()), int(keys[counts == counts.min()].max())) if len(keys) else (0, 0)
-    places, signs = mark_vectors()
-    of_mark = np.zeros((MARKS, DIM), np.float32)
-    for p in range(PLACES):
-        np.add.at(of_mark, (np.arange(MARKS), places[:, p]), signs[:, p])
+def tokenized(docs: DataFrame, path: str, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, words``: the words of each whole text, entries of a public vocabulary, as bytes."""
+    kind = dtype_for(vocabulary_size(path))
 
     def run(batches):
+        words_of = packing.loaded(path)
         for batch in batches:
-            out = {"head": [], "w": [], "form": [], "tail": []}
-            for text in batch["text"]:
-                own, marks = encode(text)
-                n = len(own)
-                at = np.minimum(np.searchsorted(keys, own), max(0, len(keys) - 1))
-                common = keys[at] == own if len(keys) else np.zeros(n, bool)
-                at = at[common]
-                w = weights[at]
-                rare, times = np.unique(own[~common], return_counts=True)
-                out["head"].append((w @ vectors[at]).astype(np.float32) if len(at) else np.zeros(DIM, np.float32))
-                out["w"].append(float(w.sum()))
-                out["form"].append(np.append(np.bincount(marks, minlength=MARKS) / max(1, n) @ of_mark, np.log1p(n) / 8).astype(np.float32))
-                out["tail"].append([{"key": k, "c": c} for k, c in zip(rare.tolist(), times.tolist(), strict=True)])
             ids = batch["doc_id"]
-            yield pd.DataFrame({"doc_id": ids.astype("Int64") if ids.isna().any() else ids, "row": batch["row"], **out})
-
-    numbered = texts.withColumn("row", F.monotonically_increasing_id())
-    parts = stored(numbered.mapInPandas(run, "doc_id long, row long, head array<float>, w double, form array<float>, tail array<struct<key:long,c:int>>"), "pooled")
-    rest = words.where((F.col("n") < last[0]) | (F.col("n") == last[0]) & (F.col("key") > last[1]))
-    pairs = parts.select("row", F.explode("tail").alias("t")).select("row", "t.key", "t.c")
-    # Contexts of rare words are small whole numbers: they are dealt to rows as such and made unit vectors after.
-    met = pairs.join(rest.hint("merge"), "key").select("row", "c", "n", "v").repartition("row")
-    weight = F.col("c") * 1e-3 / (F.col("n") / F.lit(float(total)) + 1e-3)
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x))
-    met = met.select("row", weight.alias("w"), norm.alias("norm"), "v").withColumn("u", F.col("w") / F.greatest("norm", F.lit(1e-9)))
-    tails = met.groupBy("row").agg(F.sum("w").alias("tw"), *[F.sum(F.get("v", F.lit(k)) * F.col("u")).alias(f"s{k}") for k in range(DIM)])
-    tails = tails.select("row", "tw", F.array(*[f"s{k}" for k in range(DIM)]).alias("s"))
-    both = parts.drop("tail").join(tails.hint("merge"), "row", "left")
-    whole = F.greatest(F.col("w") + F.coalesce("tw", F.lit(0.0)), F.lit(1e-12))
-    pool = F.zip_with("head", F.coalesce("s", F.array_repeat(F.lit(0.0), DIM)), lambda a, b: a + b)
-    return both.select("doc_id", F.transform(F.concat(F.transform(pool, lambda x: x / whole), "form"), lambda x: x.cast("float")).alias("f"))
+            yield pd.DataFrame({"doc_id": ids.astype("Int64") if ids.isna().any() else ids, "words": [np.frombuffer(words_of(t), "<u4").astype(kind).tobytes() for t in batch["text"]]})
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInPandas(run, "doc_id long, words binary")
+
+
+def vocabulary_size(path: str) -> int:
+    return packing.loaded(path).library.get_vocab_size()
+
+
+class Pool:
+    """Mean and spread of the unit vectors of a text's words; zeros for a text without words."""
+
+    def __init__(self, words: np.ndarray, contexts: np.ndarray, vocabulary: int):
+        self.kind = dtype_for(vocabulary)
+        self.vectors = np.zeros((vocabulary, DIM), np.float32)
+        self.vectors[words] = contexts / np.maximum(np.linalg.norm(contexts, axis=1, keepdims=True), 1e-9)
+
+    def __call__(self, texts) -> np.ndarray:
+        out = np.zeros((len(texts), 2 * DIM))
+        for row, words in zip(out, texts, strict=True):
+            own, times = np.unique(np.frombuffer(words, self.kind), return_counts=True)
+            if len(own):
+                share, v = times / times.sum(), self.vectors[own].astype(float)
+                row[:DIM] = mean = share @ v
+                row[DIM:] = np.sqrt(np.maximum(share @ (v * v) - mean * mean, 0))
+        return out
+
+
+# ---- the network
 
 
 class Network:
@@ -215,21 +154,36 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_rows: int = TRAIN_ROWS) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_rows: int = TRAIN_ROWS, path: str | None = None) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, held_out, score, predicted``.
 
-    Word contexts are summed over all texts, for each word apart. The network is fitted on labelled rows whose
-    crc32(id) mod 5 is not 0, thinned by a hash of the id to about ``train_rows``. Null text is empty
-    and is scored like any other; a null id is held out. Without both labels in
-    the training rows every score is their mean, or 0.5 if there are none. Extra columns are left out.
+    Words are the tokens of the public vocabulary at ``path``: words, parts of rarer words, and signs, in their own case.
+    Each has a vector of its own, the sum of its contexts over all texts; the table of vectors has at most as many rows as the
+    vocabulary (50,257), which bounds what is broadcast. Mean and spread of the vectors over each whole text go to the network.
+    It is fitted on labelled rows whose crc32(id) mod 5 is not 0, thinned by a hash of the id to about ``train_rows``.
+
+    Null text is empty: no words, and scored like any other. Texts of any length are read whole. Equal texts score alike,
+    repeated rows stay rows of their own. A null id is held out. Without both labels in the training rows every score is
+    their mean, or 0.5 if there are none. Extra columns are left out. An empty table gives an empty result.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    features = stored(pooled(texts, word_vectors(texts.select("text"))), "features")
+    path = path or tokenizer_path("byte_bpe_50k.json")
+    vocabulary = vocabulary_size(path)
+    tokens = stored(tokenized(docs, path, id_col, text_col), "words", compression="zstd")
+    table = word_vectors(tokens, vocabulary).toPandas()  # at most one row for each entry of the vocabulary
+    pool = Pool(table["word"].to_numpy("int64"), table[VECTOR].to_numpy(float), vocabulary)
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0, F.lit(True))
     labelled = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("double").alias("y")).where(F.col("y").isNotNull() & ~held)
     share = min(1.0, train_rows / max(1, labelled.count()))
     thinned = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    train = features.join(thinned.hint("merge"), "doc_id").select("doc_id", "f", "y").toPandas().sort_values(["doc_id", "y"])
+
+    def features(batches):
+        for batch in batches:
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "y": batch["y"], "f": list(pool(batch["words"]))})
+
+    # The sample is bounded by train_rows, so it goes to the tokens and not they to it.
+    train = tokens.join(F.broadcast(thinned), "doc_id").select("doc_id", "y", "words").mapInPandas(features, "doc_id long, y double, f array<double>").toPandas()
+    train["tie"] = train["f"].map(tuple)
+    train = train.sort_values(["doc_id", "y", "tie"])
     if len(train) and train["y"].nunique() == 2:
         model = Network(np.array(train["f"].tolist(), float), train["y"].to_numpy())
     else:
@@ -237,10 +191,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         model = lambda x: np.full(len(x), mean)
 
     @F.pandas_udf("double")
-    def score(f: pd.Series) -> pd.Series:
-        return pd.Series(model(np.array(f.tolist(), float)) if len(f) else np.zeros(0))
+    def score(words: pd.Series) -> pd.Series:
+        return pd.Series(model(pool(words)) if len(words) else np.zeros(0))
 
-    scored = features.select("doc_id", held.alias("held_out"), score("f").alias("score"))
+    scored = tokens.select("doc_id", held.alias("held_out"), score("words").alias("score"))
     return scored.withColumn("predicted", F.when(F.col("score") >= PREDICT_AT, 1).otherwise(0))
 
 
