@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-import re
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from glyphlake.llm.common import ascii_lower, let, stored, text_of
 
 #: Base phrases and their labels (fixed values).
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-#: Licence wordings, and the phrases of which a text must hold one for the label (fixed values).
+#: Licence wordings, and the phrases of which a text must hold one for the label (fixed values); the label is the first word of a name.
 TEMPLATES: dict[str, tuple[str, tuple[str, ...]]] = {
     "mit": (
-        "released under the mit license permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software",
         ("permission is hereby granted free of charge", "mit license"),
     ),
     "apache": (
@@ -32,21 +31,24 @@ TEMPLATES: dict[str, tuple[str, tuple[str, ...]]] = {
     ),
     "agpl": ("under the terms of the gnu affero general public license as published by the free software foundation", ("affero general public license",)),
     "bsd": (
-        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer licensed under the bsd license",
-        ("redistribution and use in source and binary forms", "bsd license"),
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+        ("redistribution and use in source and binary forms",),
     ),
+    "bsd short": ("this software is licensed under the bsd license", ("bsd license",)),
     "mpl": ("this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at", ("mozilla public license",)),
-    "epl": ("this program and the accompanying materials are made available under the terms of the eclipse public license", ("eclipse public license",)),
-    "isc": ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies isc license", ("permission to use copy modify and or distribute this software", "isc license")),
+    "epl": ("this program and the accompanying materials are made available under the terms of the eclipse public license v2 0 which is available at www eclipse org legal epl 2 0", ("eclipse public license",)),
+    "isc": ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", ("permission to use copy modify and or distribute this software",)),
+    "isc short": ("this software is licensed under the isc license", ("isc license",)),
     "cc": ("this work is licensed under a creative commons attribution sharealike 4 0 international license", ("creative commons attribution", "creative commons license", "creative commons zero")),
-    "unlicense": ("this is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
-    "boost": ("distributed under the boost software license version 1 0", ("boost software license",)),
+    "cc short": ("this work is licensed under cc by nc 4 0", ("cc by",)),
+    "unlicense": ("this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software", ("free and unencumbered software",)),
+    "boost": ("distributed under the boost software license version 1 0 see accompanying file license 1 0 txt or copy at http www boost org license 1 0 txt", ("boost software license",)),
 }
-#: Words of a template that are looked up in a file: those in the file of highest IDF over the scanned documents.
+#: Words of each template that are in the index: those of highest IDF over the scanned documents.
 RAREST = 16
-#: Share of the weight of the file's words that a template holds which must align at one place.
-LEAST_SHARE = 0.3
-#: Places of a posting may drift by less than this many words (an inserted name, a line number).
+#: Share of the weight of a template's indexed words that must align at one place of a file.
+LEAST_SHARE = 0.5
+#: Places may drift by less than twice this many words (an inserted name, a line number).
 DRIFT = 4
 WORD_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -77,81 +79,80 @@ def _places(words: Column, phrase: str) -> Column:
     return F.filter(F.transform(words, starts), lambda x: x.isNotNull())
 
 
-def vocabulary() -> dict[str, list[tuple[str, int]]]:
-    """Each licence word with its places: (label, position)."""
-    found: dict[str, list[tuple[str, int]]] = {}
-    for label, (text, _) in TEMPLATES.items():
-        for i, w in enumerate(text.split()):
-            found.setdefault(w, []).append((label, i))
-    return found
+def licence_words() -> list[str]:
+    """Words of the templates that may be indexed."""
+    return sorted({w for text, _ in TEMPLATES.values() for w in text.split() if len(w) > 1 and w.isalpha()})
+
+
+def positional_index(total: int, counts: dict[str, int], rarest: int = RAREST) -> list[tuple[str, str, int, float]]:
+    """(word, template, place, weight) of each template's ``rarest`` words by IDF; a template's weights sum to 1."""
+    idf = {w: math.log(1 + (total + 1) / (counts.get(w, 0) + 0.5)) for w in licence_words()}
+    index = []
+    for name, (text, _) in TEMPLATES.items():
+        words = text.split()
+        chosen = sorted({w for w in words if w in idf}, key=lambda w: (-idf[w], w))[:rarest]
+        whole = sum(idf[w] for w in chosen)
+        index += [(w, name, i, idf[w] / whole) for i, w in enumerate(words) if w in chosen]
+    return index
+
+
+def _table(spark, rows: list[tuple], names: list[str]) -> DataFrame:
+    """A small constant table of literals."""
+    return spark.range(1).select(F.inline(F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(r, names, strict=True)]) for r in rows])))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_share: float = LEAST_SHARE) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score``.
 
-    Document frequencies of the licence words are counted over all documents. The index holds each word
-    of the templates with its positions. For each template whose mandatory phrase a text holds, the RAREST of its
-    words that are in the text, by IDF, vote for (template, text position - template position), and a template is a match where votes within DRIFT words of each other
-    hold LEAST_SHARE of the weight of those words that it has, and the text holds a mandatory phrase.
-    ``score`` is 1 with a base phrase, else the best share of a matching template, else 0.
+    Document frequencies of the licence words are counted over all documents, and each template's RAREST words of
+    highest IDF are indexed with their places. Every file is looked up in that index first: each indexed word in it votes
+    for (template, place in the file - place in the template), and the share of a template is the most weight of
+    its indexed words that vote alike, within DRIFT words. Templates with ``least_share`` of their whole weight
+    are then verified: the file must hold one of the template's mandatory phrases. A phrase alone gives no label,
+    but the base phrases do by contract. ``score`` is 1 with a base phrase, else the best share of a verified template, else 0.
 
-    Null text counts as empty: no words, labels '' and score 0. Null ids and repeated rows stay rows
-    of their own. An empty table gives an empty result.
+    Null text counts as empty: no words, labels '' and score 0. Texts of any length are read whole. Null ids, repeated rows and
+    equal texts stay rows of their own. Extra columns are left out, whatever their names. An empty table gives an empty result.
     """
-    spark, words = docs.sparkSession, vocabulary()
+    spark = docs.sparkSession
     spaced = docs.select(F.col(id_col).alias("doc_id"), spaced_words(text_of(text_col)).alias("t"))
-    every = re.compile(r"\d").search
-    rare = sorted(w for w in words if len(w) > 2 and not every(w))
-    seen = spaced.select(F.explode(F.array_intersect(F.split("t", " "), F.array(*map(F.lit, rare)))).alias("w"))
+    seen = spaced.select(F.explode(F.array_intersect(F.split("t", " "), F.array(*map(F.lit, licence_words())))).alias("w"))
     counts = {r["w"]: r["n"] for r in seen.groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}  # licence words only
-    total = max(1, docs.count())
-    weight = {w: _idf(total, counts.get(w, 0)) for w in rare}
-    index = [(w, label, i) for w in rare for label, i in words[w]]
-    held = rare
+    index = positional_index(docs.count(), counts)
+    indexed = sorted({w for w, *_ in index})
 
     def per_text(t: Column) -> Column:
         def fields(w: Column) -> Column:
             base = {p: F.when(t.contains(f" {p} "), _places(w, p)).otherwise(F.array().cast("array<int>")) for p in BASE}
-            mandatory = F.filter(F.array(*[F.when(_any(t, keys), F.lit(label)) for label, (_, keys) in TEMPLATES.items()]), lambda x: x.isNotNull())
+            placed = F.filter(F.transform(w, lambda x, i: F.when(x.isin(indexed), F.struct(x.alias("word"), i.alias("i")))), lambda x: x.isNotNull())
             return F.struct(
                 F.size(w).cast("long").alias("n_words"),
                 F.array_sort(F.flatten(F.array(*base.values()))).alias("at"),
                 F.filter(F.array(*[F.when(F.size(base[p]) > 0, F.lit(label)) for p, label in BASE.items()]), lambda x: x.isNotNull()).alias("base"),
-                mandatory.alias("keys"),
-                w.alias("w"),
+                F.when(F.arrays_overlap(w, F.array(*map(F.lit, indexed))), placed).alias("hits"),
             )
 
-        def with_hits(s: Column) -> Column:
-            placed = F.filter(F.transform(s["w"], lambda x, i: F.when(x.isin(held), F.struct(x.alias("w"), i.alias("i")))), lambda x: x.isNotNull())
-            hits = F.when(F.size(s["keys"]) > 0, placed)
-            return F.struct(s["n_words"].alias("n_words"), s["at"].alias("at"), s["base"].alias("base"), s["keys"].alias("keys"), hits.alias("hits"))
+        def verified(s: Column) -> Column:
+            # Phrases are searched only in files that the index has found something in.
+            phrases = F.filter(F.array(*[F.when(_any(t, keys), F.lit(name)) for name, (_, keys) in TEMPLATES.items()]), lambda x: x.isNotNull())
+            names = ["n_words", "at", "base", "hits"]
+            return F.struct(*[s[k].alias(k) for k in names], F.when(F.size(s["hits"]) > 0, phrases).alias("phrases"))
 
         array = F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(F.trim(t), " "))
-        return let(let(array, fields), with_hits)
+        return let(let(array, fields), verified)
 
     rows = spaced.select("doc_id", F.monotonically_increasing_id().alias("row"), let(F.col("t"), per_text).alias("s")).select("doc_id", "row", "s.*")
     rows = stored(rows, "licence_words")
-    postings = F.broadcast(spark.createDataFrame(index, "word string, label string, place int"))  # words of the templates
-    idf = F.broadcast(spark.createDataFrame(list(weight.items()), "word string, weight double"))
-    hits = rows.where("hits IS NOT NULL").select("row", "keys", F.explode("hits").alias("h")).select("row", "keys", F.col("h.w").alias("word"), F.col("h.i").alias("i"))
-    of_label = F.broadcast(spark.createDataFrame(sorted({(w, label) for w, label, _ in index}), "word string, label string"))
-    first = Window.partitionBy("row", "label").orderBy(F.desc("weight"), "word")
-    top = hits.select("row", "keys", "word").distinct().join(of_label, "word").where(F.array_contains("keys", F.col("label"))).join(idf, "word")
-    top = top.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= RAREST)
-    votes = (
-        hits.select("row", "word", "i")
-        .join(top.select("row", "label", "word", "weight").hint("merge"), ["row", "word"])
-        .join(postings, ["word", "label"])
-        .select("row", "label", "word", "weight", F.floor((F.col("i") - F.col("place")) / DRIFT).alias("shift"))
-    )
+    postings = F.broadcast(_table(spark, index, ["word", "template", "place", "weight"]))  # words of the templates
+    hits = rows.where("hits IS NOT NULL").select("row", F.inline("hits"))
+    votes = hits.join(postings, "word").select("row", "template", "word", "weight", F.floor((F.col("i") - F.col("place")) / DRIFT).alias("shift"))
     # A shift lies in its own cell and the next, so that votes on both sides of a cell's edge meet.
-    cells = votes.select("row", "label", "word", "weight", F.explode(F.array("shift", F.col("shift") + 1)).alias("cell"))
-    cells = cells.groupBy("row", "label", "word", "cell").agg(F.max("weight").alias("weight"))
-    best = cells.groupBy("row", "label", "cell").agg(F.sum("weight").alias("weight")).groupBy("row", "label").agg(F.max("weight").alias("weight"))
-    whole = cells.select("row", "label", "word", "weight").distinct().groupBy("row", "label").agg(F.sum("weight").alias("whole"))
-    shares = best.join(whole.hint("merge"), ["row", "label"]).select("row", "label", F.least(F.lit(1.0), F.round(F.col("weight") / F.col("whole"), 6)).alias("share"))
-    matches = shares.where(F.col("share") >= LEAST_SHARE).groupBy("row").agg(F.collect_set("label").alias("found"), F.max("share").alias("best"))  # at most one label a template
-    out = rows.join(matches.hint("merge"), "row", "left")
+    cells = votes.select("row", "template", "word", "weight", F.explode(F.array("shift", F.col("shift") + 1)).alias("cell")).distinct()
+    aligned = cells.groupBy("row", "template", "cell").agg(F.sum("weight").alias("share")).groupBy("row", "template").agg(F.max("share").alias("share"))
+    aligned = aligned.withColumn("share", F.least(F.lit(1.0), F.round("share", 6))).where(F.col("share") >= least_share)
+    found = rows.where("hits IS NOT NULL").select("row", F.explode("phrases").alias("template"))
+    matches = aligned.join(found.hint("merge"), ["row", "template"]).groupBy("row").agg(F.collect_set(F.substring_index("template", " ", 1)).alias("found"), F.max("share").alias("best"))  # at most one label a template
+    out = rows.drop("hits", "phrases").join(matches.hint("merge"), "row", "left")
     joined = lambda a: F.concat_ws(",", F.array_sort(F.array_distinct(a)))
     none = F.array().cast("array<string>")
     return out.select(
@@ -166,11 +167,5 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     )
 
 
-def _idf(total: int, n: int) -> float:
-    import math
-
-    return math.log((total + 1) / (n + 0.5))
-
-
 def op1_license_scan(spark, sf_dir: str) -> DataFrame:
     return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
