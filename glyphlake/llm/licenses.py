@@ -107,7 +107,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_
     Document frequencies of the licence words are counted over all documents, and each template's RAREST words of
     highest IDF are indexed with their places. Every file is looked up in that index first: each indexed word in it votes
     for (template, place in the file - place in the template), and the share of a template is the most weight of
-    its indexed words that vote alike, within DRIFT words. Templates with ``least_share`` of their whole weight
+    its indexed words that vote alike, within DRIFT words. (Places are kept for files whose
+    indexed words have that share of some template at all.) Templates with ``least_share`` of their whole weight
     are then verified: the file must hold one of the template's mandatory phrases. A phrase alone gives no label,
     but the base phrases do by contract. ``score`` is 1 with a base phrase, else the best share of a verified template, else 0.
 
@@ -120,6 +121,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_
     counts = {r["w"]: r["n"] for r in seen.groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}  # licence words only
     index = positional_index(docs.count(), counts)
     indexed = sorted({w for w, *_ in index})
+    weights = {name: {w: weight for w, n, _, weight in index if n == name} for name in TEMPLATES}
+    sets = F.array(*[F.struct(F.array(*map(F.lit, own)).alias("words"), F.array(*map(F.lit, own.values())).alias("weights")) for own in weights.values()])
+
+    def may_match(present: Column) -> Column:
+        """Whether the indexed words of a file, wherever they stand, have the least share of some template."""
+        held = lambda t: F.zip_with(t["words"], t["weights"], lambda w, x: F.when(F.array_contains(present, w), x).otherwise(0.0))
+        return F.exists(sets, lambda t: F.aggregate(held(t), F.lit(0.0), lambda a, x: a + x) >= least_share - 1e-6)
 
     def per_text(t: Column) -> Column:
         def fields(w: Column) -> Column:
@@ -129,7 +137,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_
                 F.size(w).cast("long").alias("n_words"),
                 F.array_sort(F.flatten(F.array(*base.values()))).alias("at"),
                 F.filter(F.array(*[F.when(F.size(base[p]) > 0, F.lit(label)) for p, label in BASE.items()]), lambda x: x.isNotNull()).alias("base"),
-                F.when(F.arrays_overlap(w, F.array(*map(F.lit, indexed))), placed).alias("hits"),
+                F.when(let(F.array_intersect(w, F.array(*map(F.lit, indexed))), may_match), placed).alias("hits"),
             )
 
         def verified(s: Column) -> Column:
