@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphlake.llm.common import stored, text_of
+from glyphlake.llm.common import fresh, stored, text_of
 
 #: Kinds in the order in which spans with one start are listed; the first four are always kept.
 KINDS = ("email", "ip", "card", "phone", "secret", "iban", "national_id", "person")
@@ -24,8 +24,10 @@ IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 # Candidates of the other kinds.
+#: Any long run of token characters: keys and passwords, but digests, names of files and long words too, which the votes tell apart.
 TOKEN_RUN = re.compile(r"[A-Za-z0-9_+/-]{16,}")
-HAS_DIGIT, HAS_LETTER = re.compile("[0-9]").search, re.compile("[A-Za-z]").search
+#: Plain words, and forms that digests and identifiers have.
+WORD, DIGEST = re.compile(r"[A-Z]?[a-z]+|[A-Z]+"), re.compile(r"[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}", re.I)
 ASSIGN = r"(?:passw(?:or)?d|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)\s*[=:]\s*[\"']?"
 ASSIGNED = re.compile(ASSIGN + r"([^\s\"']{6,})", re.I)
 ASSIGNS = re.compile(ASSIGN + r"\Z", re.I)
@@ -35,11 +37,22 @@ JOINED = re.compile(r"(?:[A-Za-z]?[0-9]+|[A-Z]?[a-z]+|[A-Z]+)(?:[_+/-]+(?:[A-Za-
 KEY_REST = 12
 IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b")
 NATIONAL = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
-PERSON = re.compile(r"(?:\b(?:Mr|Mrs|Ms|Dr|Prof)\.? |\b[Nn]ame: ?)([A-ZÀ-Þ][a-zà-ÿ]+(?: [A-ZÀ-Þ][a-zà-ÿ]+){0,2})")
+NAME = r"[A-ZÀ-Þ][a-zà-ÿ]+"
+PERSON = re.compile(rf"(?:\b(?:Mr|Mrs|Ms|Dr|Prof)\.? |\b[Nn]ame: ?)({NAME}(?: {NAME}){{0,2}})")
+#: Two or three capitalised words in a row: a name if the first is a given name or the words before say so.
+TITLED = re.compile(r"(?:\b(?:Mr|Mrs|Ms|Dr|Prof)\.? |\b[Nn]ame: ?)\Z")
+CAPITALS = re.compile(rf"\b(?!(?:Mr|Mrs|Ms|Dr|Prof)\b){NAME}(?: {NAME}){{1,2}}\b")
 #: Gazetteers: issuers' prefixes, known key prefixes, country codes of IBANs, given names.
 KEY_PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "sk-", "sk_", "xox", "AIza", "glpat-", "eyJ")
 IBAN_COUNTRIES = frozenset("AD AE AT BE BG CH CY CZ DE DK EE ES FI FR GB GR HR HU IE IT LI LT LU LV MC MT NL NO PL PT RO SE SI SK SM TR".split())
-GIVEN_NAMES = frozenset("anna james john mary robert michael linda david maria paul peter laura sarah thomas emma marie jean pierre luis carlos ana jose juan hans karl anne claire julia".split())
+GIVEN_NAMES = frozenset(
+    "adam agnes albert alex alexander alfred alice alicia amanda amelia amy ana andrea andreas andrew angela anita anna anne anthony antoine antonio arthur barbara beatrice benjamin bernard brian bruno camille carlos "
+    "carmen caroline catherine charles charlotte chloe chris christian christine christopher claire clara claudia claudio daniel david deborah denis diana diego dominique donald dorothy edward elena elisabeth elizabeth "
+    "emily emma eric erik eva felix fernando frances francesca francisco frank franz frederic gabriel george gerard giovanni giulia gregory guillaume hans hannah heinrich helen helena henri henry hugo ingrid irene "
+    "isabel jack jacques jakob james jan jane javier jean jennifer jessica joan johann johanna john jonathan jorge jose joseph juan julia julien karen karl katharina kevin klaus laura lea leon linda lisa louis louise luca "
+    "lucas lucia luis manuel marco margaret maria marie mark markus martin mary matthew michael miguel monica nicolas nina oliver olivia pablo patricia patrick paul paula pedro peter philip pierre rachel rafael rebecca "
+    "richard robert rosa sandra sara sarah simon sofia sophie stefan stephen susan thomas victor werner william wolfgang".split()
+)
 CUES = {
     "secret": ("password", "passwd", "pwd", "token", "secret", "key", "credential", "auth"),
     "iban": ("iban", "account", "bank", "konto", "cuenta", "compte"),
@@ -51,13 +64,13 @@ CUES = {
     "phone": ("phone", "tel", "call", "mobile", "fax"),
 }
 PREFIXED = re.compile("(?<![A-Za-z0-9_+/-])(?:" + "|".join(map(re.escape, KEY_PREFIXES)) + ")[A-Za-z0-9_+/-]*")
-AGAINST = ("version", "isbn", "commit", "sha1", "sha256", "md5", "checksum", "section", "page", "figure", "doi", "http")
+AGAINST = ("version", "isbn", "commit", "sha1", "sha256", "md5", "checksum", "digest", "uuid", "etag", "revision", "section", "page", "figure", "doi", "http", "chapter", "saint", "street")
 #: Yes, no, nothing to say.
 YES, NO, ABSTAIN = "1", "2", "0"
-LABELERS = 5
+LABELERS, FEATURES = 5, 9
 THRESHOLD = 0.5
-#: A prior count for each vote, so that a labeler that never spoke of a kind stays undecided.
-SMOOTH = 1.0
+#: How often a labeler is held to be right, with how much weight for each vote that it cast, and the prior of a candidate.
+RIGHT, TRUST, PRIOR = 0.8, 0.3, 0.4
 
 
 def luhn(digits: str) -> bool:
@@ -98,9 +111,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def other_spans(text: str) -> set[tuple[int, int, int]]:
     """Candidates of the kinds that only the method finds."""
     found = set()
-    for m in TOKEN_RUN.finditer(text):
-        if HAS_DIGIT(m[0]) and HAS_LETTER(m[0]):
-            found.add((4, *m.span()))
+    found.update((4, *m.span()) for m in TOKEN_RUN.finditer(text))
     if any(p in text for p in KEY_PREFIXES):
         found.update((4, *m.span()) for m in PREFIXED.finditer(text))
     low = text.lower() if any(c in text for c in "=:") else ""
@@ -110,6 +121,7 @@ def other_spans(text: str) -> set[tuple[int, int, int]]:
     found.update((6, *m.span()) for m in NATIONAL.finditer(text)) if "-" in text else None
     if any(c in text for c in ("Mr", "Ms", "Dr", "Prof", "ame:")):
         found.update((7, *m.span(1)) for m in PERSON.finditer(text))
+    found.update((7, *m.span()) for m in CAPITALS.finditer(text))
     return found
 
 
@@ -125,23 +137,27 @@ def votes_of(kind: int, value: str, before: str) -> str:
     form = gazetteer = ABSTAIN
     shape = YES if len(set(value)) >= 8 else NO
     if name == "secret":
-        form = YES if re.fullmatch(r"AKIA[0-9A-Z]{16}|[0-9a-f]{16,}|[A-Za-z0-9_+/=-]{20,}", value) else ABSTAIN
         prefix = next((p for p in KEY_PREFIXES if value.startswith(p)), "")
         rest = value[len(prefix) :]
-        gazetteer = YES if prefix and len(rest) >= KEY_REST and not JOINED.fullmatch(rest) else ABSTAIN
-        shape = YES if digits >= 3 and letters >= 3 and len(set(value)) >= 8 else NO
-        if (prefix and len(rest) < KEY_REST or JOINED.fullmatch(rest)) and not ASSIGNS.search(before):
-            form = shape = NO
+        plain = bool(JOINED.fullmatch(rest)) or (len(rest) < KEY_REST if prefix else bool(WORD.fullmatch(value)))
+        cases = any(c.islower() for c in value) + any(c.isupper() for c in value) + (digits > 0)
+        form = NO if plain or not letters else ABSTAIN if DIGEST.fullmatch(value) else YES if prefix or cases == 3 and len(value) >= 20 else ABSTAIN
+        gazetteer = YES if prefix and not plain else ABSTAIN
+        shape = NO if plain or not letters or len(set(value)) < 8 else YES if digits >= 3 and letters >= 3 and not DIGEST.fullmatch(value) else ABSTAIN
+        if ASSIGNS.search(before):
+            form, shape = YES, ABSTAIN if shape == NO else shape
     elif name == "iban":
         form = YES if _iban_sum(value) else NO
-        gazetteer = YES if value[:2] in IBAN_COUNTRIES else NO
+        gazetteer = NO if value[:2] not in IBAN_COUNTRIES else YES if form == YES else ABSTAIN
+        shape = ABSTAIN
     elif name == "national_id":
         form = NO if value[:3] in ("000", "666") or value[0] == "9" or value[4:6] == "00" or value[7:] == "0000" else YES
         shape = ABSTAIN
     elif name == "person":
-        gazetteer = YES if value.split()[0].lower() in GIVEN_NAMES else ABSTAIN
-        form = YES if " " in value else ABSTAIN
-        shape = ABSTAIN
+        gazetteer = YES if value.split()[0].lower() in GIVEN_NAMES else NO
+        form = YES if TITLED.search(before) else ABSTAIN
+        # Capitals at the start of a sentence say little; in the midst of one they speak for a name.
+        shape = ABSTAIN if " " in value and before.rstrip()[-1:].isalnum() else NO
     else:
         form = YES
         gazetteer = YES if name == "card" and value[0] in "3456" or name == "phone" or name == "email" and value.rpartition(".")[2].isalpha() else ABSTAIN
@@ -152,8 +168,8 @@ def votes_of(kind: int, value: str, before: str) -> str:
     return form + gazetteer + context + shape + against
 
 
-def features_of(kind: int, value: str, before: str) -> str:
-    """Binned features of a span for the final classifier."""
+def features_of(kind: int, value: str, before: str, votes: str) -> str:
+    """Binned features of a span for the final classifier: of its letters, of what stands before it, and its form and gazetteer votes."""
     n = len(value)
     low = before.lower()
     return "".join(
@@ -169,7 +185,7 @@ def features_of(kind: int, value: str, before: str) -> str:
                 int(any(c in low for c in AGAINST)),
             ),
         )
-    )
+    ) + votes[:2]
 
 
 def candidates(text: str | None) -> list[tuple[int, int, int, str, str]]:
@@ -178,7 +194,8 @@ def candidates(text: str | None) -> list[tuple[int, int, int, str, str]]:
     out = []
     for kind, start, end in sorted({*base_spans(text), *other_spans(text)}, key=lambda s: (s[1], s[0], s[2])):
         value, before = text[start:end], text[max(0, start - 32) : start]
-        out.append((kind, start, end, votes_of(kind, value, before), features_of(kind, value, before)))
+        votes = votes_of(kind, value, before)
+        out.append((kind, start, end, votes, features_of(kind, value, before, votes)))
     return out
 
 
@@ -199,32 +216,27 @@ def candidate_column(text: Column) -> Column:
 def reliabilities(counts: dict[tuple[int, str], int], rounds: int = 40) -> dict[tuple[int, str], float]:
     """EM over vote patterns of each kind: the chance that a pattern's spans are personal data.
 
-    A labeler has, for each class, a chance of yes and of no when it speaks; the start is the share of yes among
-    votes cast, and rounds alternate between chances and posteriors.
+    A labeler has, for each class, a chance of saying yes when it speaks; silence says nothing. Rounds alternate between
+    these chances and the posteriors, starting from the share of yes among votes cast. Each labeler is held to be right more
+    often than not by TRUST votes for each that it cast, which also tells the two classes apart where labelers
+    of a kind all say the same. The prior is fixed, as the share of personal data among candidates depends on how wide their patterns are.
     """
     out: dict[tuple[int, str], float] = {}
     for kind in sorted({k for k, _ in counts}):
         rows = sorted((v, n) for (k, v), n in counts.items() if k == kind)
         weight = np.array([n for _, n in rows], float)
         votes = np.array([[int(c) for c in v] for v, _ in rows])
-        yes, no = (votes == 1).sum(1), (votes == 2).sum(1)
-        post = (yes + 0.5) / (yes + no + 1.0)
+        yes, no = votes == 1, votes == 2
+        post = (yes.sum(1) + 0.5) / (yes.sum(1) + no.sum(1) + 1.0)
         for _ in range(rounds):
-            prior = float(np.clip((weight * post).sum() / weight.sum(), 0.05, 0.95))
-            score = np.full(len(rows), math.log(prior / (1 - prior)))
+            score = np.full(len(rows), math.log(PRIOR / (1 - PRIOR)))
             for j in range(LABELERS):
-                spoke = votes[:, j] > 0
-                for vote, lean in ((1, (2, 1)), (2, (1, 2))):
-                    # Silence says nothing. A vote for its own side is worth more than chance: the prior counts say so.
-                    here = votes[:, j] == vote
-                    good = (SMOOTH * lean[0] + (weight * post * here).sum()) / (3 * SMOOTH + (weight * post * spoke).sum())
-                    bad = (SMOOTH * lean[1] + (weight * (1 - post) * here).sum()) / (3 * SMOOTH + (weight * (1 - post) * spoke).sum())
-                    score += here * math.log(good / bad)
+                said, agreed = yes[:, j] | no[:, j], yes[:, j]
+                trust = 1.0 + TRUST * float((weight * said).sum())
+                good = (trust * RIGHT + (weight * post * agreed).sum()) / (trust + (weight * post * said).sum())
+                bad = (trust * (1 - RIGHT) + (weight * (1 - post) * agreed).sum()) / (trust + (weight * (1 - post) * said).sum())
+                score += agreed * math.log(good / bad) + no[:, j] * math.log((1 - good) / (1 - bad))
             post = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
-        # Classes have no names of their own: the one with more yes votes is personal data.
-        mean = lambda w: float((w * (yes - no)).sum() / max(w.sum(), 1e-9))
-        if mean(weight * post) < mean(weight * (1 - post)):
-            post = 1 - post
         out |= {(kind, v): float(p) for (v, _), p in zip(rows, post, strict=True)}
     return out
 
@@ -248,7 +260,7 @@ def fit(counts: dict[tuple[int, str, str], int], rounds: int = 400) -> dict[tupl
     if not rows:
         return {}
     keys = sorted(rows)
-    x = np.zeros((len(keys), len(KINDS) + 28))
+    x = np.zeros((len(keys), len(KINDS) + 4 * FEATURES))
     for i, key in enumerate(keys):
         x[i, _one_hot(*key)] = 1
     # Counts weigh by their root, so that a common form does not drown the rare ones.
@@ -285,8 +297,11 @@ def listed(spans) -> str:
 def personal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans``.
 
-    Null or empty text has no spans: counts 0, the hash of the empty string, spans ''. Null ids and
-    repeated rows stay rows of their own; extra columns are left out.
+    Candidates of the kinds beyond the base ones are any long token runs, number groups and rows of capitalised words; votes, EM
+    and the classifier, which learn from the counts of all candidates, keep some and reject the others.
+
+    Null or empty text has no spans: counts 0, the hash of the empty string, spans ''. Texts of any length are read whole. Null ids,
+    equal texts and repeated rows stay rows of their own; extra columns are left out. An empty table gives an empty result.
     """
     found = stored(docs.select(F.col(id_col).alias("doc_id"), candidate_column(text_of(text_col)).alias("spans")), "candidates")
     chance = learn(found)
@@ -316,15 +331,21 @@ def redact_text(text: str, spans) -> str:
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with personal data in ``text_col`` replaced; other columns and null texts stay."""
-    found = stored(docs.select(candidate_column(text_of(text_col)).alias("spans")), "candidates")
-    chance = learn(found)
+    """``docs`` with personal data in ``text_col`` replaced; other columns and null texts stay.
+
+    Candidates are searched once and stored beside their rows. Empty texts stay empty, long ones are read whole, repeated rows
+    stay, and an empty table gives an empty result.
+    """
+    spans = fresh("spans")
+    found = stored(docs.withColumn(spans, candidate_column(text_of(text_col))), "candidates")
+    chance = learn(found, spans)
 
     @F.pandas_udf("string")
-    def clean(texts: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else redact_text(t, kept(candidates(t), chance)) for t in texts], dtype=object)
+    def clean(texts: pd.Series, own: pd.Series) -> pd.Series:
+        said = ([(c["kind"], c["start"], c["end"], c["votes"], c["features"]) for c in x] for x in own)
+        return pd.Series([None if t is None else redact_text(t, kept(x, chance)) for t, x in zip(texts, said, strict=True)], dtype=object)
 
-    return docs.withColumn(text_col, clean(F.col(text_col)))
+    return found.withColumn(text_col, clean(F.col(text_col), F.col(spans))).drop(spans)
 
 
 def op8_pii(spark, sf_dir: str) -> DataFrame:
