@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
+from itertools import chain
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphlake.llm.common import text_of
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>|[^<]+|<""", re.S)
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?/][^>]*>|[^<]+|<""", re.S)
+TAIL = re.compile(r"<!--.*|<!\[CDATA\[.*|[^<]+|<", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 #: Fixed lists of HTML: elements without content, with raw text, and those that stand in a line of text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -23,6 +26,7 @@ FOREIGN = frozenset(
     "svg g defs symbol use text tspan textpath desc path rect circle ellipse line polyline polygon lineargradient radialgradient stop clippath mask marker pattern filter image".split()
 )
 IN_LINE = INLINE | FOREIGN
+END_OF = {tag: re.compile(rf"</{tag}\b[^>]*>", re.I) for tag in RAW}
 #: Elements, roles and names of what surrounds an article.
 SIDE_TAGS = frozenset("nav header footer aside form dialog menu button fieldset".split())
 SIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
@@ -46,9 +50,10 @@ PLAIN, PART, WHOLE, OUT = range(4)
 
 @dataclass
 class Block:
-    path: str
+    path: int
+    parent: int
     main: bool
-    around: list = field(default_factory=list)
+    around: Element | None
     parts: list = field(default_factory=list)
     linked: int = 0
     text: str = ""
@@ -56,11 +61,16 @@ class Block:
 
 @dataclass
 class Element:
-    """An open element: its tag, what its names say, and whether it is or holds an ``article`` or ``main``."""
+    """An element: its tag, what its names say, the number of its tag path, and the next one around it whose names say something."""
 
     tag: str
     side: int
+    path: int
+    around: Element | None
+    #: Whether it is or holds an ``article`` or ``main``; whether it or one around it takes its text out, or makes it doubtful.
     named: bool = False
+    out: bool = False
+    doubtful: bool = False
 
 
 def _side(tag: str, attributes: str) -> int:
@@ -81,19 +91,22 @@ def _side(tag: str, attributes: str) -> int:
     return found
 
 
-def _is_out(b: Block) -> bool:
-    return any(e.side == WHOLE and not e.named for e in b.around)
-
-
-def _is_doubtful(b: Block) -> bool:
-    """Under a part of a name, or under a whole name of an element that holds an article."""
-    return any(e.side == PART and not e.named or e.side == WHOLE and e.named and e.tag not in MAIN_TAGS for e in b.around)
+def _judge(e: Element) -> None:
+    """A whole name takes an element out, unless it is or holds an article; a part of a name, or a whole one around an article, is a doubt."""
+    outer = e.around
+    e.out = e.side == WHOLE and not e.named or bool(outer and outer.out)
+    e.doubtful = e.side == PART and not e.named or e.side == WHOLE and e.named and e.tag not in MAIN_TAGS or bool(outer and outer.doubtful)
 
 
 def blocks_of(page: str) -> list[Block]:
     """Blocks of text outside page furniture, in order, with their root-to-leaf tag paths."""
     blocks: list[Block] = []
     stack: list[Element] = []
+    around: list[Element] = []  # those of the stack whose names say something
+    said: list[Element] = []  # all such elements of the page, outer ones first
+    open_: Counter = Counter()  # how many of each tag are open
+    paths: dict[tuple[int, str], int] = {}  # (path of the parent, tag) -> number of the path; 0 is the page
+    parents = [-1]
     current: Block | None = None
     side = main = links = 0
     skip_to = 0
@@ -104,24 +117,31 @@ def blocks_of(page: str) -> list[Block]:
             side -= e.side == OUT
             main -= e.tag in MAIN_TAGS
             links -= e.tag == "a"
+            open_[e.tag] -= 1
+            if e.side:
+                around.pop()
         del stack[to:]
 
-    for m in TOKEN.finditer(page):
+    last = page.rfind(">") + 1  # no tag ends behind it
+    for m in chain(TOKEN.finditer(page, 0, last), TAIL.finditer(page, last)):
         if m.start() < skip_to:
             continue
-        closing, tag, attributes = m[1], m[2], m[3]
+        closing, tag, attributes = m.groups() or (None, None, None)
         if tag is None:
             text = m[0]
             if text[0] == "<" and (len(text) > 1 and text[1] in "!?/"):
                 if not text.startswith("<![CDATA["):
+                    if text.startswith("<!--") and not text.endswith("-->"):
+                        skip_to = len(page)
                     continue
-                text = text[9:-3]
+                text = text[9:].removesuffix("]]>")
             if side:
                 continue
             if current is None:
                 if not text.strip():
                     continue
-                current = Block("/".join(e.tag for e in stack if e.tag not in IN_LINE), main > 0, [e for e in stack if e.side])
+                path = stack[-1].path if stack else 0
+                current = Block(path, parents[path], main > 0, around[-1] if around else None)
                 blocks.append(current)
             current.parts.append(text)
             if links:
@@ -129,14 +149,14 @@ def blocks_of(page: str) -> list[Block]:
             continue
         tag = tag.lower()
         if closing:
-            at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k].tag == tag), None)
+            at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k].tag == tag), None) if open_[tag] else None
             if at is not None and (tag not in IN_LINE or all(e.tag in IN_LINE for e in stack[at:])):
                 close(at)
             if tag not in IN_LINE:
                 current = None
             continue
         if tag in RAW and not attributes.endswith("/"):
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, m.end())
+            end = END_OF[tag].search(page, m.end())
             skip_to = end.end() if end else len(page)
             continue
         if tag == "br":
@@ -148,7 +168,7 @@ def blocks_of(page: str) -> list[Block]:
         if tag in VOID:
             continue
         if tag in CLOSES_P:
-            at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k].tag == "p"), None)
+            at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k].tag == "p"), None) if open_["p"] else None
             if at is not None and all(e.tag in IN_LINE or e.tag == "p" for e in stack[at:]):
                 close(at)
         elif tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
@@ -157,17 +177,30 @@ def blocks_of(page: str) -> list[Block]:
                 close(at)
         if attributes.endswith("/") and tag not in IN_LINE:
             continue
-        own = Element(tag, _side(tag, attributes))
+        path = stack[-1].path if stack else 0
+        if tag not in IN_LINE:  # inline elements have the path of what they stand in
+            path = paths.setdefault((path, tag), len(parents))
+            if path == len(parents):
+                parents.append(stack[-1].path if stack else 0)
+        own = Element(tag, _side(tag, attributes), path, around[-1] if around else None)
         stack.append(own)
+        open_[tag] += 1
         side += own.side == OUT
+        if own.side:
+            around.append(own)
+            said.append(own)
         links += tag == "a"
         if tag in MAIN_TAGS:
             main += 1
-            for e in stack:
+            for e in reversed(stack):
+                if e.named:
+                    break
                 e.named = True
+    for e in said:
+        _judge(e)
     for b in blocks:
         b.text = " ".join(html.unescape("".join(b.parts)).split())
-    return [b for b in blocks if b.text and not _is_out(b)]
+    return [b for b in blocks if b.text and not (b.around and b.around.out)]
 
 
 def content_of(page: str | None) -> str:
@@ -176,7 +209,7 @@ def content_of(page: str | None) -> str:
     if not blocks:
         return ""
     named = any(b.main for b in blocks)
-    totals: dict[str, list[int]] = {}
+    totals: dict[int, list[int]] = {}
     for b in blocks:
         t = totals.setdefault(b.path, [0, 0, 0])
         t[0] += len(b.text)
@@ -185,7 +218,7 @@ def content_of(page: str | None) -> str:
     text_ratio = [totals[b.path][0] / totals[b.path][2] for b in blocks]
     mark_ratio = [totals[b.path][1] / totals[b.path][2] for b in blocks]
     fused = [a * (1 + p) for a, p in zip(_smooth(blocks, text_ratio), _smooth(blocks, mark_ratio), strict=True)]
-    doubt = [DOUBT if _is_doubtful(b) else 1.0 for b in blocks]
+    doubt = [DOUBT if b.around and b.around.doubtful else 1.0 for b in blocks]
     own = [x * d for b, x, d in zip(blocks, fused, doubt, strict=True) if b.main or not named]
     least = SHARE * sum(own) / len(own)
     # A doubtful block has no gain from the article that it lies in.
@@ -195,7 +228,7 @@ def content_of(page: str | None) -> str:
 
 def _smooth(blocks: list[Block], ratios: list[float]) -> list[float]:
     """Mean of a block's ratio and those of neighbours in the same container."""
-    parents = [b.path.rpartition("/")[0] for b in blocks]
+    parents = [b.parent for b in blocks]
     out = []
     for i in range(len(ratios)):
         near = [ratios[k] for k in range(max(0, i - REACH), min(len(ratios), i + REACH + 1)) if parents[k] == parents[i]]
@@ -210,8 +243,8 @@ def _is_menu(b: Block) -> bool:
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per row of ``pages``: ``page_id, url, text, n_chars``.
 
-    Null or empty html gives an empty text. Repeated rows and null ids stay rows of their own; extra
-    columns are left out. Each page is handled alone, whole, whatever its length.
+    Null or empty html gives an empty text. Repeated rows, equal pages and null ids stay rows of their own; extra
+    columns are left out. Each page is handled alone, whole, whatever its length and nesting. An empty table gives an empty result.
     """
 
     def run(batches):

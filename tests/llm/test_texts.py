@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 from functools import lru_cache
 
@@ -240,6 +241,28 @@ def test_extraction(page, want):
     assert html_text.content_of(page) == want
 
 
+def test_broken_pages():
+    assert html_text.content_of("<p><![CDATA[hello world") == "hello world" and html_text.content_of("<p>x<![CDATA[ y ]]> z</p>") == "x y z"
+    assert html_text.content_of("<p>text one.</p><!-- a > b") == "text one." and html_text.content_of("<p>text</p> 1 < 2") == "text\n1 < 2"
+
+
+def test_time_is_linear_in_broken_pages():
+    def seconds(page):
+        start = time.perf_counter()
+        html_text.content_of(page)
+        return time.perf_counter() - start
+
+    for part in ('<a href="x>t ', "<a href='x\"y>t ", "<div>t ", "<p title='a\">t", "<b><p>t", "<article>t", "<ul><li>t", "<script ", "<td 'x", "<div class='menu'>t"):
+        assert seconds(part * 8_000) < 1.5, part
+
+
+def test_ratios_reject_what_no_list_names():
+    prose = "".join(f"<p>Paragraph {k} of the text, long enough to be prose; it says something. It goes on, and ends here.</p>" for k in range(6))
+    page = f"<div class='zone-a'><span>Alpha</span></div><div class='zone-b'>{prose}</div><div class='zone-c'><ul><li>Beta</li><li>Gamma</li></ul></div>"
+    got = html_text.content_of(page).split("\n")
+    assert len(got) == 6 and not {"Alpha", "Beta", "Gamma"} & set(got)
+
+
 def test_tag_paths_without_an_article():
     page = "<div id=top><a href=1>a</a> <a href=2>b</a></div><div><p>Long text, with marks. Really long indeed; yes.</p><p>Second paragraph, long too. Fine.</p></div><div>Short</div>"
     assert html_text.content_of(page) == "Long text, with marks. Really long indeed; yes.\nSecond paragraph, long too. Fine."
