@@ -437,15 +437,33 @@ def _sql_map(table: dict[str, str]) -> str:
     return "MAP {" + ", ".join(f"{_sql(k)}: {_sql(v)}" for k, v in table.items()) + "}"
 
 
-def _sql_rewrites(c: str) -> str:
-    for pattern, replacement in script.REWRITES:
-        c = f"regexp_replace({c}, {_sql(pattern)}, {_sql(replacement.replace('$', chr(92)))}, 'g')"
+def _sql_replaced(c: str, table: dict[str, str]) -> str:
+    for k, v in table.items():
+        c = f"replace({c}, {_sql(k)}, {_sql(v)})"
     return c
 
 
+def _sql_moved(c: str, marks: str, pattern: str, order: str) -> str:
+    return f"regexp_replace({c}, {_sql(pattern)}, {_sql(order.replace('$', chr(92)))}, 'g')"
+
+
+def _sql_text(c: str) -> str:
+    """The SQL of ``preeti_to_unicode`` behind the key map."""
+    c = _sql_replaced(_sql_moved(_sql_replaced(c, {f"{script.HALANT}ा": ""}), *script.TAIL_OF_TWO), script.TWO_STROKES)
+    c = _sql_moved(_sql_replaced(_sql_moved(c, *script.TAIL_OF_ONE), script.WITH_TAIL), *script.SHORT_I)
+    for move in script.REPH:
+        c = _sql_moved(c, *move)
+    c = _sql_replaced(c, {"{": f"र{script.HALANT}"})
+    for move in (*script.SIGNS, script.NASAL_LAST):
+        c = _sql_moved(c, *move)
+    c = f"regexp_replace({_sql_replaced(c, {2 * sign: sign for sign in script.ONCE})}, '^ः', ':')"
+    return _sql_replaced(c, script.COMPOSED)
+
+
 _KEYED = f"array_to_string(list_transform(string_split(text, ''), lambda c: coalesce({_sql_map(script.KEY_TO_TEXT)}[c], c)), '')"
-_add("f10_preeti_to_unicode", lambda s, d: fx.load(s, d, "documents").select("doc_id", script.preeti_to_unicode(F.col("text")).alias("converted")), f"SELECT doc_id, {_sql_rewrites(_KEYED)} AS converted FROM documents")
-_UNITS = f"regexp_extract_all(text, {_sql(script.ROMAN_UNIT)})"
+_add("f10_preeti_to_unicode", lambda s, d: fx.load(s, d, "documents").select("doc_id", script.preeti_to_unicode(F.col("text")).alias("converted")), f"SELECT doc_id, {_sql_text(_KEYED)} AS converted FROM documents")
+ROMAN_UNIT = f"(?s)MM|M|(?:{script.CONSONANT})(?:{script.VOWEL})?|{script.VOWEL}|."
+_UNITS = f"regexp_extract_all(text, {_sql(ROMAN_UNIT)})"
 _HEAD = f"regexp_extract(u, {_sql('^(' + script.CONSONANT + ')')}, 1)"
 _LETTERS, _ALONE = _sql_map(script.ROMAN_CONSONANTS), _sql_map({k: v[0] for k, v in script.ROMAN_VOWELS.items()} | script.NASALS)
 _SIGNS = _sql_map({k: v[1] for k, v in script.ROMAN_VOWELS.items()})
@@ -463,7 +481,7 @@ def _sql_keys(c: str) -> str:
 
 
 _add("f11_unicode_to_preeti", lambda s, d: fx.load(s, d, "documents").select("doc_id", script.unicode_to_preeti(script.roman_to_devanagari(F.col("text"))).alias("typed")), f"SELECT doc_id, {_sql_keys('converted')} AS typed FROM ({_ROMAN})")
-_PART = f"regexp_extract_all(x, {_sql(script.ROMAN_UNIT)})"
+_PART = f"regexp_extract_all(x, {_sql(ROMAN_UNIT)})"
 _WORD = f"""array_to_string(list_transform({_PART}, lambda u, i: CASE WHEN {_HEAD} <> '' THEN concat(CASE WHEN i > 1 AND {_LETTERS}[{_PART}[i - 1]] IS NOT NULL THEN '{script.HALANT}' ELSE '' END,
   {_LETTERS}[{_HEAD}], coalesce({_SIGNS}[substr(u, length({_HEAD}) + 1)], '')) ELSE coalesce({_ALONE}[u], u) END), '')"""
 _add(
@@ -475,7 +493,7 @@ _add(
     "f14_conversion_report", lambda s, d: script.conversion_report(fx.load(s, d, "documents"), "text", "lang"),
     f"""SELECT lang, count(*) AS n_rows, count(*) FILTER (back = text) AS n_round_trip, sum(unmapped)::BIGINT AS n_unmapped, sum(length(done))::BIGINT AS n_chars_out
 FROM (SELECT *, {_sql_keys('done')} AS back, len(list_filter(regexp_extract_all(text, '(?s).'), lambda c: {_sql_map(script.KEY_TO_TEXT)}[c] IS NULL)) AS unmapped
-  FROM (SELECT lang, text, {_sql_rewrites(_KEYED)} AS done FROM documents)) GROUP BY lang""",
+  FROM (SELECT lang, text, {_sql_text(_KEYED)} AS done FROM documents)) GROUP BY lang""",
 )
 
 
