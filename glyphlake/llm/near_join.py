@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,8 +17,10 @@ COMBINED = 3
 FREQUENT, MAX_FREQUENT = 32, 1_000_000
 #: Bits of the filter that tells frequent tokens, of a token's count class, and of a set's parity signature.
 FILTER_BITS, CLASS_BITS, PARITY_WORDS = 26, 40, 8
-#: Sets up to this size key frequent tokens one by one too: theirs are too short to hold a combination.
-SHORT = 96
+#: Tokens by which an extended prefix is longer than COMBINED prefixes, so that no rounding of sizes breaks all of its runs.
+SLACK = 2
+#: Bits of the filter of rows whose sets are fetched; parts that the rows of a large component are dealt to.
+MIN_ID_BITS, MAX_ID_BITS, SALTS = 20, 30, 16
 #: Draws of a pivot for each key; classes of keys whose smallest ones are kept.
 PIVOTS, KEY_CLASSES = 3, 8
 #: Documents for each range of tokens when counting; tokens that a task counts at once.
@@ -73,6 +77,15 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+@lru_cache
+def short_size(percent: int) -> int:
+    """The largest set that may link with one whose extended prefix is longer than the set itself."""
+    if percent < 70:
+        raise ValueError("percent must be 70 at least")
+    short = max(n for n in range(1, 200) if COMBINED * prefix_length(n, percent) + SLACK > n)
+    return short * 100 // percent
+
+
 class Frequent:
     """Tells frequent tokens by a filter of fixed size; the same answer everywhere, which is all that the join needs."""
 
@@ -94,11 +107,12 @@ class Frequent:
 def keys_of(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
     """Keys of a set. Order: rare tokens by hash, then frequent ones by hash.
 
-    Rare tokens of the prefix are keys. If the prefix reaches the frequent ones, it is extended
-    COMBINED-fold and every run of COMBINED frequent tokens in it is a key. Two sets this similar that
-    share no rare token of their prefixes share such a run: of two sorted lists, a token of the first alone breaks
-    COMBINED runs at most and one of the second alone one less, and there are too few of both to break all runs of the
-    extended prefix. Sets up to SHORT tokens key their frequent tokens singly as well.
+    Rare tokens of the prefix are keys. If the prefix reaches the frequent ones, it is extended to
+    COMBINED times its length and SLACK more, and every run of COMBINED frequent tokens in it is a key. Two sets that link
+    and share no rare token of their prefixes share such a run: take the one whose extended prefix ends first. It has
+    3p + SLACK - 2 runs; a token that only it has breaks 3 of them at most, one that only the other has breaks 2. With d
+    of the latter there are at most p - 1 - floor(d * percent / 100) of the former, so fewer runs are broken than there are.
+    Sets too short for that, and all that may link with them (see ``short_size``), key their frequent tokens singly as well.
     """
     n = len(tokens)
     if not n:
@@ -107,11 +121,11 @@ def keys_of(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarra
     rare, common = tokens[~frequent], tokens[frequent]
     keys = [_fold([rare[:p]], 101)]
     if len(rare) < p:
-        tail = common[: max(0, COMBINED * p - len(rare))]
+        tail = common[: COMBINED * p + SLACK - len(rare)]
         runs = len(tail) - COMBINED + 1
         if runs > 0:
             keys.append(_fold([tail[i : i + runs] for i in range(COMBINED)], 103))
-        if n <= SHORT:
+        if n <= short_size(percent):
             keys.append(_fold([common[: p - len(rare)]], 101))
     return np.unique(np.concatenate(keys))
 
@@ -262,20 +276,23 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", F.size("ta").alias("na"), F.size("tb").alias("nb"), shared.alias("o")).where(F.col("o") * 100 >= (F.col("na") + F.col("nb") - F.col("o")) * percent).select("a", "b")
 
 
-def _some_ids(ids: DataFrame, bits: int = 23) -> np.ndarray:
-    """A filter of fixed size that holds all ids: words of 64 bits, made by a groupBy."""
+def _some_ids(ids: DataFrame, bits: int) -> np.ndarray:
+    """A filter that holds all ids: words of 64 bits, made by a groupBy."""
     h = F.xxhash64("doc_id")
     at = F.shiftrightunsigned(h, 64 - bits)
-    words = ids.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int"))).alias("held")).collect()
+    words = ids.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int"))).alias("held")).toPandas()
     out = np.zeros(1 << (bits - 6), np.int64)
-    for r in words:
-        out[r["word"]] = r["held"]
+    out[words["word"].to_numpy("int64")] = words["held"].to_numpy("int64")
     return out
 
 
-def _fetch(texts: DataFrame, wanted: DataFrame, width: int, bits: int = 23) -> DataFrame:
-    """Whole sets of the ``wanted`` rows (``s, doc_id``): a filter passes few others, a join drops those."""
-    held = _some_ids(wanted, bits)
+def _fetch(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """Whole sets of the ``wanted`` classes (``c, doc_id, s, s2``): a filter on ids, sized by their number, passes few other rows, and a join on
+    the sets' names drops those. Rows with a null id, which may be all that a class has, pass the filter.
+    """
+    ids = wanted.where("doc_id IS NOT NULL")
+    bits = min(MAX_ID_BITS, max(MIN_ID_BITS, (8 * ids.count()).bit_length()))
+    held = _some_ids(ids, bits)
 
     def run(batches):
         import pandas as pd
@@ -285,13 +302,16 @@ def _fetch(texts: DataFrame, wanted: DataFrame, width: int, bits: int = 23) -> D
             at = batch["h"].to_numpy().astype(np.uint64) >> np.uint64(64 - bits)
             some = (held[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)).astype(np.int64)) & 1 > 0
             rows = []
-            for i, text in zip(batch["doc_id"][some], batch["text"][some], strict=True):
+            for text in batch["text"][some | batch["bare"].to_numpy(bool)]:
                 tokens = shingle_set(text, width)
-                rows.append((int(i), int(np.frombuffer(xxhash.xxh3_128_digest(tokens.tobytes()), "<i8")[0]), len(tokens), signs_of(tokens), tokens.astype(np.int64)))
-            yield pd.DataFrame(rows, columns=["doc_id", "s", "n", "signs", "tokens"])
+                if len(tokens):
+                    name = np.frombuffer(xxhash.xxh3_128_digest(tokens.tobytes()), "<i8")
+                    rows.append((int(name[0]), int(name[1]), len(tokens), signs_of(tokens), tokens.astype(np.int64)))
+            yield pd.DataFrame(rows, columns=["s", "s2", "n", "signs", "tokens"])
 
-    found = texts.where("doc_id IS NOT NULL").withColumn("h", F.xxhash64("doc_id")).mapInPandas(run, "doc_id long, s long, n int, signs array<long>, tokens array<long>")
-    return found.join(wanted.hint("merge"), ["doc_id", "s"]).select("s", "n", "signs", "tokens").dropDuplicates(["s"])
+    hashed = texts.select("text", F.xxhash64("doc_id").alias("h"), F.col("doc_id").isNull().alias("bare"))
+    found = hashed.mapInPandas(run, "s long, s2 long, n int, signs array<long>, tokens array<long>")
+    return found.join(wanted.select("c", "s", "s2").hint("merge"), ["s", "s2"]).select(F.col("c").alias("s"), "n", "signs", "tokens").dropDuplicates(["s"])
 
 
 def near_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -303,33 +323,37 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     holds several components, each pair of classes from different ones. Bounds on length and parity are tested
     inside the joins and exact intersections decide, so no link between components is missed.
 
-    A row without words has no shingles and is its own component. Rows with a null id are in the component of rows with an equal
-    set, else null. Rows that repeat are one class. An empty table gives an empty result.
+    A row without words (or null text) has no shingles and is its own component. Rows with a null id link like others and bridge others; their
+    component is the smallest id in it, null if it has none. Rows that repeat, and all other equal sets, are one class. Texts of any
+    length are read whole; extra columns are left out. An empty table gives an empty result.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     frequent = frequent_tokens(texts, width, texts.count())
     schema = "doc_id long, n int, s long, s2 long, keys array<long>, " + ", ".join(f"{c} long" for c in PARITY + LEAST)
     rows = stored(texts.mapInPandas(_describe(width, percent, frequent), schema), "sets")
-    classes = stored(rows.where("n > 0").groupBy("s", "s2").agg(F.min("doc_id").alias("doc_id")), "classes")
-    one_each = rows.where("n > 0").join(classes.where("doc_id IS NOT NULL").hint("merge"), ["doc_id", "s", "s2"], "left_semi")
-    keyed = one_each.select("s", F.explode("keys").alias("key"))
-    many = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
+    # One class for each set; from here on its number stands for the set's 128-bit name.
+    whole = [F.first(c).alias(c) for c in ("n", "keys", *PARITY, *LEAST)]
+    classes = rows.where("n > 0").groupBy("s", "s2").agg(F.min("doc_id").alias("doc_id"), *whole).withColumn("c", F.monotonically_increasing_id())
+    classes = stored(classes, "classes")
+    about = classes.select(F.col("c").alias("s"), "doc_id", "n", *PARITY, *LEAST)
+    keyed = classes.select(F.col("c").alias("s"), F.explode("keys").alias("key"))
+    many = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     shared = stored(keyed.join(many.hint("merge"), "key"), "shared")
-    about = stored(one_each.select("s", "doc_id", "n", *PARITY, *LEAST).dropDuplicates(["s"]), "about")
     slim = about.select("s", "n", *PARITY)
 
     # Classes with any candidate at all: only their sets are fetched.
     wide = shared.join(slim.hint("merge"), "s")
     partnered = wide.alias("a").join(wide.alias("b").hint("merge"), (F.col("a.key") == F.col("b.key")) & (F.col("a.s") != F.col("b.s")) & _may_link(percent), "left_semi").select("s").distinct()
-    wanted = stored(partnered.join(about.select("s", "doc_id").hint("merge"), "s"), "wanted")
+    wanted = stored(partnered.withColumnRenamed("s", "c").join(classes.select("c", "doc_id", "s", "s2").hint("merge"), "c"), "wanted")
     sets = stored(_fetch(texts, wanted, width), "tokens")
+    wanted = wanted.select(F.col("c").alias("s"))
 
     # Pivots: for each key the class whose hash is least, under a few hashes.
-    shared = stored(shared.join(wanted.select("s").hint("merge"), "s", "left_semi"), "shared")
+    shared = stored(shared.join(wanted.hint("merge"), "s", "left_semi"), "shared")
     draws = [F.xxhash64("s", F.lit(r)) for r in range(PIVOTS)]
     pivots = shared.groupBy("key").agg(*[F.min(d).alias(f"d{r}") for r, d in enumerate(draws)])
     to_pivot = shared.join(pivots.hint("merge"), "key").select("s", F.explode(F.array(*[F.struct(F.lit(r).alias("r"), F.col(f"d{r}").alias("d")) for r in range(PIVOTS)])).alias("x")).select("s", "x.r", "x.d").distinct()
-    named = slim.join(wanted.select("s").hint("merge"), "s", "left_semi").select("*", F.explode(F.array(*[F.struct(F.lit(r).alias("r"), d.alias("d")) for r, d in enumerate(draws)])).alias("x")).select("*", "x.r", "x.d").drop("x")
+    named = slim.join(wanted.hint("merge"), "s", "left_semi").select("*", F.explode(F.array(*[F.struct(F.lit(r).alias("r"), d.alias("d")) for r, d in enumerate(draws)])).alias("x")).select("*", "x.r", "x.d").drop("x")
     with_own = to_pivot.join(slim.hint("merge"), "s")
     starred = with_own.alias("a").join(named.alias("b").hint("merge"), (F.col("a.r") == F.col("b.r")) & (F.col("a.d") == F.col("b.d")) & (F.col("a.s") != F.col("b.s")) & _may_link(percent))
     starred = starred.select(F.least("a.s", "b.s").alias("a"), F.greatest("a.s", "b.s").alias("b")).distinct()
@@ -353,10 +377,13 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         outer = connected_components(more).select(F.col("node").alias("label"), F.col("label").alias("outer"))
         labels = labels.unionByName(more.select(F.col("a").alias("node"), F.col("a").alias("label")).union(more.select("b", "b")).distinct().join(labels.select("node").hint("merge"), "node", "left_anti"))
         labels = labels.join(outer.hint("merge"), "label", "left").select("node", F.coalesce("outer", "label").alias("label"))
-    grouped = classes.join(labels.select(F.col("node").alias("s"), "label").hint("merge"), "s", "left").select("s", "s2", "doc_id", F.coalesce("label", "s").alias("label"))
-    grouped = stored(grouped, "grouped")
-    least = grouped.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    named_classes = stored(grouped.join(least.hint("merge"), "label").select("s", "s2", "component_id"), "named")
+    # Only classes with links need their label's smallest id; a large component's classes are dealt to SALTS parts.
+    grouped = classes.select("c", "s", "s2", "doc_id").join(labels.select(F.col("node").alias("c"), "label").hint("merge"), "c", "left")
+    grouped = stored(grouped.withColumn("salt", F.pmod(F.xxhash64("c"), F.lit(SALTS)).cast("int")), "grouped")
+    least = grouped.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    least = least.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    linked = grouped.where("label IS NOT NULL").join(least.hint("merge"), ["label", "salt"]).select("s", "s2", "component_id")
+    named_classes = stored(linked.unionByName(grouped.where("label IS NULL").select("s", "s2", F.col("doc_id").alias("component_id"))), "named")
     full = rows.where("n > 0").select("doc_id", "n", "s", "s2").join(named_classes.hint("merge"), ["s", "s2"])
     none = rows.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return full.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id").unionByName(none)

@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
@@ -63,6 +64,34 @@ def test_components_are_brute_force(spark, monkeypatch, frequent, width, percent
     assert got == brute(texts, width, percent)
 
 
+def test_null_ids_link_and_bridge(spark):
+    rng = random.Random(6)
+    words = [rng.choice("abcdefghij") + str(k) for k in range(60)]
+    step = lambda k: " ".join(words[k : k + 50])
+    rows = [(7, step(0)), (None, step(2)), (3, step(4)), (None, step(4)), (None, step(30)), (None, "x y"), (9, step(10) + " z")]
+    got = near_join.near_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()
+    # 7 and 3 are too far apart; the null id between them links both.
+    assert brute({0: step(0), 1: step(4)}, 4, 85)[1][1] == 1 and brute({0: step(0), 1: step(2), 2: step(4)}, 4, 85)[2][1] == 0
+    assert sorted(((str(r["doc_id"]), str(r["component_id"])) for r in got)) == sorted([("7", "3"), ("None", "3"), ("3", "3"), ("None", "3"), ("None", "None"), ("None", "None"), ("9", "9")])
+
+
+@pytest.mark.parametrize("percent", [70, 80, 85, 90])
+def test_sets_that_link_share_a_key(percent):
+    rng = random.Random(percent)
+    for _ in range(6_000):
+        size = rng.choice((rng.randint(1, 30), rng.randint(1, 140)))
+        tokens = np.unique(np.array([rng.getrandbits(64) for _ in range(size)], np.uint64))
+        frequent = np.array([rng.random() < rng.choice((1, 0.9, 0.5)) for _ in tokens])
+        rare_first, own = np.argsort(frequent, kind="stable"), size * (100 - percent) // 100
+        gone = rare_first[rng.randint(0, 3) :: 3][:own] if rng.random() < 0.5 else np.array(rng.sample(range(size), own), int)
+        of_a = np.array([rng.random() < rng.choice((0, 0.06, 0.5, 1)) for _ in gone], bool)
+        in_a, in_b = np.ones(size, bool), np.ones(size, bool)
+        in_a[gone[of_a]], in_b[gone[~of_a]] = False, False
+        if (in_a & in_b).sum() * 100 >= percent * size:
+            keys = [near_join.keys_of(tokens[x], frequent[x], percent) for x in (in_a, in_b)]
+            assert np.intersect1d(*keys).size
+
+
 def test_query_is_brute_force(spark, sf_dir):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_join.op4_ngram_jaccard(spark, sf_dir).collect()}
