@@ -21,7 +21,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     collapses copies before the shuffle; a group of any size moves as one row a task. Should two texts
     share a hash, rows of that hash are matched by their text.
 
-    Null text counts as empty, null ids never win against others (a group with null ids only has
+    Texts of any length are compared whole. Null text counts as empty, null ids never win against others (a group with null ids only has
     ``keep_id`` null, ``kept`` true). Rows that repeat id and text are all ``kept``;
     :func:`drop_copies` leaves one. An empty table gives an empty result.
     """
@@ -40,15 +40,17 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each group of equal texts, the one with the largest id; all columns stay."""
-    sha, keep = fresh("sha"), fresh("keep")
-    kept = exact_groups(docs, id_col, text_col).where("kept").groupBy(F.col("text_sha256").alias(f"{sha}_g")).agg(F.max("doc_id").alias(keep))
-    rows = docs.withColumn(sha, F.sha2(ascii_lower(text_of(text_col)), 256))
-    left = rows.join(kept.hint("merge"), (F.col(sha) == F.col(f"{sha}_g")) & F.col(id_col).eqNullSafe(F.col(keep)), "left_semi")
-    repeated = left.groupBy(sha).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    once = left if repeated.isEmpty() else left.dropDuplicates([sha])
-    return once.drop(sha)
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=md5_bits) -> DataFrame:
+    """``docs`` with one row of each group of equal texts, the one with the largest id; all columns stay.
+
+    One grouping by (hash, text) compares the bytes and carries the winning row, so a group of any size
+    moves as one row a task. Null texts count as empty; null ids lose against others; of rows that repeat one stays. Texts of any
+    length are whole; an empty table gives an empty result.
+    """
+    h, norm, row, rank = (fresh(x) for x in ("h", "norm", "row", "rank"))
+    rank_of = F.struct(F.col(id_col).isNotNull().alias("there"), F.col(id_col).alias("id"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias(row), ascii_lower(text_of(text_col)).alias(norm), rank_of.alias(rank)).withColumn(h, digest(F.col(norm)))
+    return rows.groupBy(h, norm).agg(F.max_by(row, rank).alias(row)).select(f"{row}.*")
 
 
 def op2_exact_dedup(spark, sf_dir: str) -> DataFrame:

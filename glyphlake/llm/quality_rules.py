@@ -86,7 +86,8 @@ def rule_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     ``n_lost`` counts the characters of failing lines and of lines that repeat an earlier one. ``kept``
     is false if ``base_failed`` or if more than ``max_lost`` hundredths of all line characters were lost.
-    Null or empty text: all counts 0, ``base_failed`` true. Extra columns are left out.
+    Null or empty text: all counts 0, ``base_failed`` true. Texts of any length are judged whole. Null ids, equal texts and repeated
+    rows stay rows of their own. Extra columns are left out. An empty table gives an empty result.
     """
     return docs.select(F.col(id_col).alias("doc_id"), _report(text_of(text_col), max_lost).alias("r")).select("doc_id", "r.*")
 
@@ -132,8 +133,11 @@ def clean_lines(text: Column) -> Column:
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_lost: int = MAX_LOST) -> DataFrame:
-    """The rows of ``docs`` whose text passes; all columns stay and texts are unchanged."""
-    return docs.where(_report(text_of(text_col), max_lost)["kept"])
+    """The rows of ``docs`` whose text passes, without their failing lines; all other columns stay.
+
+    Null and empty texts are rejected. Null ids, equal texts and repeated rows are judged like others.
+    """
+    return docs.where(_report(text_of(text_col), max_lost)["kept"]).withColumn(text_col, clean_lines(F.col(text_col)))
 
 
 def op7_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -39,12 +39,14 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", tex
 
     Rows are ordered by (text hash, id), so that copies lie side by side. Keys are drawn with a chance
     in proportion to size, their quantiles bound the ranges, and exact byte sums of the ranges tell
-    where each shard begins: at the first row that starts at or past its share of the bytes, so shards
-    differ by less than the two largest documents. Ranges that hold too many rows (many copies) are subdivided by
-    the hash of the id. Slots count rows of a shard in that order, from 0.
+    where each shard begins: at the first row whose middle lies at or past its share of the bytes, so shards
+    differ by less than the two largest documents. Ranges that hold too many rows are subdivided by a hash of the
+    text, so that equal texts stay together; only a text that alone has more copies than a range may have rows is dealt by
+    the hash of the id. A smaller group of equal texts is split only where a shard ends in it. Slots count rows of a shard in that order, from 0.
 
     Null text has size 1 and the CRC of the empty string; null ids sort first. Rows that repeat
-    id and text may share a boundary in either order. An empty table gives an empty result.
+    id and text may share a boundary in either order. Texts of any length count whole; extra columns are left out. An empty
+    table gives an empty result.
     """
     text = text_of(text_col)
     slim = docs.select(
@@ -69,10 +71,13 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", tex
     counts = stored(placed.groupBy("part").agg(F.count(F.lit(1)).alias("rows")), "counts")
     fair = max(1, n // ranges)
     over = counts.where(F.col("rows") > OVERFULL * fair).select("part", F.ceil(F.col("rows") / fair).cast("int").alias("pieces"))
-    # Overfull: split by the high bits of the id's hash, whose order is then the order inside the range.
+    # Overfull: split by the high bits of a hash, of the id for texts with too many copies, of the text for all others.
     wide = placed.join(F.broadcast(over), "part", "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
-    unit = F.shiftrightunsigned(F.col("sub"), 33).cast("double") / F.lit(float(1 << 31))
-    wide = stored(wide.withColumn("piece", F.least(F.floor(unit * F.col("pieces")).cast("int"), F.col("pieces") - 1)).drop("pieces"), "placed")
+    hot = wide.where("pieces > 1").groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > OVERFULL * fair).select("key", F.lit(True).alias("hot"))
+    hot = stored(hot, "hot")  # each has more rows than a range may, so there are fewer than ranges
+    wide = wide.join(F.broadcast(hot), "key", "left")
+    unit = F.shiftrightunsigned(F.when(F.col("hot"), F.col("sub")).otherwise(F.xxhash64("key", F.lit(2))), 33).cast("double") / F.lit(float(1 << 31))
+    wide = stored(wide.withColumn("piece", F.least(F.floor(unit * F.col("pieces")).cast("int"), F.col("pieces") - 1)).drop("pieces", "hot"), "placed")
     sums = wide.groupBy("part", "piece").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("bytes"))
     # At most a few times MAX_RANGES rows: each range and each piece of an overfull one.
     before = Window.orderBy("part", "piece").rowsBetween(Window.unboundedPreceding, -1)

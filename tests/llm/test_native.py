@@ -5,13 +5,14 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from glyphlake.llm import exact_dedup, licenses, quality_rules, sharding
+from tests.llm.brute import verdict
 
 
 def lower(t):
@@ -158,6 +159,13 @@ def test_exact_matches_sql(docs, sf_dir):
     assert sorted(map(tuple, exact_dedup.exact_groups(docs).collect())) == want
 
 
+@pytest.mark.parametrize("digest", [exact_dedup.md5_bits, lambda c: F.lit(b"same")])
+def test_drop_copies_keeps_one_row_of_each_text(docs, digest):
+    rows = {r["doc_id"]: r for r in docs.collect()}
+    last = {lower(rows[i]["text"]): i for i in sorted(rows)}
+    assert {r["doc_id"]: r for r in exact_dedup.drop_copies(docs, digest=digest).collect()} == {i: rows[i] for i in last.values()}
+
+
 def test_drop_copies(edge, none):
     left = exact_dedup.drop_copies(edge)
     assert left.columns == edge.columns
@@ -194,6 +202,30 @@ def test_shards_split_a_hot_group(spark):
     check_shards(sharding.shard_by_bytes(table))
 
 
+def test_shards_keep_small_groups_beside_a_hot_one(spark):
+    text = F.when(F.col("id") % 3 == 0, "the same text").otherwise(F.concat(F.lit("t"), F.floor(F.col("id") / 6).cast("string")))
+    rows = sharding.shard_by_bytes(spark.range(60_000).select(F.col("id").alias("doc_id"), text.alias("text"))).collect()
+    of_group = defaultdict(set)
+    for r in rows:
+        if r["doc_id"] % 3:
+            of_group[r["text_crc32"]].add(r["shard"])
+    assert len(of_group) == 10_000 and sum(len(x) > 1 for x in of_group.values()) <= 7
+
+
+def test_shard_placement_is_brute_force(docs):
+    """Rows in the order of shards and slots: equal texts side by side, and each shard as its rows' middles say."""
+    rows = sorted(sharding.shard_by_bytes(docs).collect(), key=lambda r: (r["shard"], r["slot"]))
+    total, before, seen, last = sum(r["size"] for r in rows), 0, set(), None
+    copies = Counter((r["text_crc32"], r["size"]) for r in rows)
+    for r in rows:
+        assert r["shard"] == min(7, int((before + r["size"] / 2) * 8 / total))
+        before += r["size"]
+        if (r["text_crc32"], r["size"]) != last:
+            last = (r["text_crc32"], r["size"])
+            assert last not in seen or copies[last] > sharding.OVERFULL  # a hot text in so small a table
+            seen.add(last)
+
+
 # ---- quality rules
 
 
@@ -217,7 +249,13 @@ def test_rule_counts(docs, edge):
         for i, rows in collected(quality_rules.rule_report(table)).items():
             for r in rows:
                 assert tuple(r[k] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")) == rules_of(texts[i])
-                assert not (r["base_failed"] and r["kept"])
+                assert (r["n_failed_lines"], r["n_lost"], r["kept"]) == verdict(texts[i] or "", r["base_failed"])
+
+
+def test_rules_null_ids_and_repeats(edge):
+    rows = quality_rules.rule_report(edge).collect()
+    assert len(rows) == edge.count() and sum(r["doc_id"] is None for r in rows) == 2 and sum(r["doc_id"] == 4 for r in rows) == 2
+    assert [(r["n_words"], r["n_repeat_words"]) for r in rows if r["doc_id"] == 3] == [(30_003, 30_000)]
 
 
 def test_rules_follow_labels(spark, docs, sf_dir):

@@ -13,6 +13,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from glyphlake.llm import components, near_join, packing, personal_data, quality_rules
 from glyphlake.llm.common import stored, tokenizer_path
+from tests.llm.brute import line_fails
 
 
 def brute(texts: dict, width: int, percent: int) -> dict:
@@ -118,6 +119,7 @@ def test_pipeline_is_brute_force(spark, sf_dir):
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
     good = {r["doc_id"] for r in quality_rules.rule_report(documents).where("kept").collect()}
     texts = {r["doc_id"]: r["text"] for r in documents.collect() if r["doc_id"] in good}
+    texts = {i: "\n".join(x for x in t.split("\n") if not line_fails(x)) for i, t in texts.items()}
     last = {}
     for i in sorted(texts):
         last["".join(c.lower() if "A" <= c <= "Z" else c for c in texts[i])] = i
@@ -127,6 +129,7 @@ def test_pipeline_is_brute_force(spark, sf_dir):
     docs, at = documents, {}
     for name, stage in corpus_pipeline.STAGES:
         docs = at[name] = stored(stage(spark, docs, sf_dir), name)
+    assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in at["quality_rules"].collect()} == {i: (t, len(t)) for i, t in texts.items()}
     assert {r["doc_id"] for r in at["exact_dedup"].collect()} == set(unique)
     assert {r["doc_id"] for r in at["ngram_jaccard"].collect()} == set(left)
     assert all(at[n].columns == documents.columns for n, _ in corpus_pipeline.STAGES[:-1])
@@ -136,3 +139,22 @@ def test_pipeline_is_brute_force(spark, sf_dir):
     tokens = {r["doc_id"]: r["doc_tokens"] for r in at["packing"].collect()}
     assert tokens == {i: len(library.encode(t, add_special_tokens=False).ids) + 1 for i, t in clean.items()}
     assert packing.CAPACITY == 2048
+
+
+def test_pipeline_edge(spark, edge, none):
+    rng = random.Random(9)
+    good = "\n".join(" ".join(rng.choice("stone river field house cloud light paper green quiet early".split()) + str(rng.randint(1, 99)) for _ in range(14)) + "." for _ in range(12))
+    other = "\n".join(" ".join(rng.choice("night ocean metal sugar piano".split()) + str(rng.randint(1, 99)) for _ in range(14)) + "." for _ in range(12))
+    names = [c for c in edge.columns if c not in ("doc_id", "text")]
+    rows = [(20, good), (20, good), (21, good.replace("stone", "STONE")), (None, good + " And more is said of it."), (None, None), (22, other + "\nwrite to a@b.co"), (23, good + "\n| home | news | about | more |")]
+    docs = edge.unionByName(spark.createDataFrame([(*r, *names) for r in rows], edge.schema))
+    at = docs
+    for name, stage in corpus_pipeline.STAGES:
+        at, before = stored(stage(spark, at, ""), name), at
+        assert name == "packing" or at.columns == docs.columns
+    kept = {r["doc_id"]: r["text"] for r in before.collect()}
+    assert 22 in kept and "<email>" in kept[22] and not any("| home" in t for t in kept.values()) and all(t for t in kept.values())
+    assert at.count() >= len(kept)
+    for _, stage in corpus_pipeline.STAGES:
+        none = stage(spark, none, "")
+        assert none.count() == 0
