@@ -9,25 +9,29 @@ from glyphlake.llm import exact_dedup, near_join, packing, personal_data, qualit
 from glyphlake.llm.common import stored, tokenizer_path
 
 
+def _counted(docs: DataFrame) -> DataFrame:
+    """``n_chars``, if there, follows the new text; null stays with null texts."""
+    return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
+
+
 def rules(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return quality_rules.keep_good(docs)
+    """Documents that the quality rules keep, without the lines that fail; null and empty texts go."""
+    return _counted(quality_rules.keep_good(docs))
 
 
 def copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One document of each group of equal texts: the largest id, one of rows that repeat; null ids only if there is no other."""
     return exact_dedup.drop_copies(docs)
 
 
 def near_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8)."""
+    """One document of each group of near copies (five-word shingles, similarity 0.8): the smallest id; null ids stay."""
     return near_join.drop_near_copies(docs)
 
 
 def personal(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data replaced; ``n_chars`` follows the new text."""
-    clean = personal_data.redact(docs)
-    return clean.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else clean
+    """Documents with personal data replaced; null texts stay null."""
+    return _counted(personal_data.redact(docs))
 
 
 def packed(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +43,11 @@ STAGES = [("quality_rules", rules), ("exact_dedup", copies), ("ngram_jaccard", n
 
 
 def run(spark, sf_dir: str) -> DataFrame:
-    """The stages applied to ``documents``, each written as Parquet and read again by the next."""
+    """The stages applied to ``documents``, each written as Parquet and read again by the next.
+
+    All but the last keep the columns of ``documents``, extra ones under any name too. Null texts leave with the first stage, null ids are
+    kept, repeated rows become one, texts of any length are read whole, and an empty table gives an empty result.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
