@@ -57,6 +57,16 @@ def extension(c: Column) -> Column:
     return F.lower(F.regexp_extract(c, r"\.([^.]*)$", 1))
 
 
+def milliseconds(c: Column, digits: int = 2) -> Column:
+    """A duration rounded for display, halves to even."""
+    return F.bround(c, digits)
+
+
+def score(c: Column) -> Column:
+    """A confidence rounded to four digits, halves to even."""
+    return F.bround(c, 4)
+
+
 def percent(c: Column, digits: int = 1) -> Column:
     return F.round(c * 100, digits)
 

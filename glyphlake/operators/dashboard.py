@@ -72,12 +72,22 @@ def recent_activity(df: DataFrame, n: int = 8) -> DataFrame:
 
 def model_status(models: DataFrame, loaded: DataFrame) -> DataFrame:
     """Catalogue models: active if loaded, else degraded."""
-    there = loaded.select("model_id", F.lit(True).alias("there")).distinct()
+    known = loaded.join(F.broadcast(models.select("model_id")), "model_id", "left_semi")  # the catalogue: a few rows
+    there = known.select("model_id", F.lit(True).alias("there")).distinct()
     return models.join(F.broadcast(there), "model_id", "left").select("model_id", "name", F.when(F.col("there"), "active").otherwise("degraded").alias("status"))
 
 
+#: What a client says of a service that does not answer (fixed value).
+UNREACHABLE = "Could not reach the health endpoint."
+
+
 def health_rollup(status: DataFrame) -> DataFrame:
-    """Operational if any model is active."""
+    """Operational if any model is active; ``checked_at`` is the time of the query."""
     up = F.coalesce(F.bool_or(F.col("status") == "active"), F.lit(False))
-    message: Column = F.when(up, "All systems operational").otherwise("No model is loaded")
-    return status.agg(up.alias("up"), message.alias("message")).select(F.when(F.col("up"), "operational").otherwise("degraded").alias("status"), "message")
+    message: Column = F.when(up, "All systems operational").otherwise("Running in mock-inference mode — no trained model weights are loaded")
+    return status.agg(up.alias("up"), message.alias("message")).select(F.when(F.col("up"), "operational").otherwise("degraded").alias("status"), "message", F.current_timestamp().alias("checked_at"))
+
+
+def client_health(health: DataFrame, reachable: Column) -> DataFrame:
+    """The client's view: the service's own words, or ``down`` where it cannot be reached."""
+    return health.withColumn("status", F.when(reachable, F.col("status")).otherwise("down")).withColumn("message", F.when(reachable, F.col("message")).otherwise(UNREACHABLE))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 PARTS = ("train", "valid", "test")
+#: Hexadecimal digits of a hash whose prefixes part a class.
+PREFIX = 3
 
 
 def bucket(key: Column) -> Column:
@@ -19,10 +21,19 @@ def split(df: DataFrame, key: str, weights: tuple[int, int, int] = (80, 10, 10),
     if stratify is None:
         at = bucket(F.col(key))
     else:
-        ranked = Window.partitionBy(stratify).orderBy(F.md5(F.col(key).cast("string")), key)
-        total = F.count(F.lit(1)).over(Window.partitionBy(stratify))
-        at = F.floor((F.row_number().over(ranked) - 1) * 100 / total)
-    return df.withColumn("split", F.when(at < weights[0], PARTS[0]).when(at < weights[0] + weights[1], PARTS[1]).otherwise(PARTS[2]))
+        # Ranks are counted inside prefixes of the hash and along them, so that no task sees a whole class.
+        df = df.withColumn("__md5", F.md5(F.col(key).cast("string"))).withColumn("__prefix", F.substring("__md5", 1, PREFIX))
+        counts = df.groupBy(stratify, "__prefix").agg(F.count(F.lit(1)).alias("__n"))
+        along = Window.partitionBy(stratify).orderBy("__prefix")
+        before = F.coalesce(F.sum("__n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        counts = counts.select(F.col(stratify).alias("__class"), F.col("__prefix").alias("__p"), before.alias("__before"), F.sum("__n").over(Window.partitionBy(stratify)).alias("__total"))
+        df = df.join(counts.hint("merge"), F.col(stratify).eqNullSafe(F.col("__class")) & (F.col("__prefix") == F.col("__p")))
+        ranked = Window.partitionBy(stratify, "__prefix").orderBy("__md5", key)
+        df = df.withColumn("__at", F.floor((F.col("__before") + F.row_number().over(ranked) - 1) * 100 / F.col("__total")))
+        at = F.col("__at")
+        df = df.drop("__md5", "__prefix", "__class", "__p", "__before", "__total")
+    df = df.withColumn("split", F.when(at < weights[0], PARTS[0]).when(at < weights[0] + weights[1], PARTS[1]).otherwise(PARTS[2]))
+    return df.drop("__at") if stratify else df
 
 
 def check_split(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
@@ -43,11 +54,11 @@ def build_charset(df: DataFrame, label: str = "label") -> DataFrame:
 
 
 def known_labels(df: DataFrame, charset: DataFrame, label: str = "label") -> DataFrame:
-    return df.join(F.broadcast(charset.select(F.col("label").alias(label))), label, "left_semi")
+    return df.join(charset.select(F.col("label").alias(label)), label, "left_semi")
 
 
 def unknown_labels(df: DataFrame, charset: DataFrame, label: str = "label") -> DataFrame:
-    return df.join(F.broadcast(charset.select(F.col("label").alias(label))), label, "left_anti")
+    return df.join(charset.select(F.col("label").alias(label)), label, "left_anti")
 
 
 def class_balance(df: DataFrame, label: str = "label") -> DataFrame:
@@ -57,5 +68,7 @@ def class_balance(df: DataFrame, label: str = "label") -> DataFrame:
 
 
 def size_distribution(df: DataFrame, column: str, by: str) -> DataFrame:
-    return df.groupBy(by).agg(F.min(column).alias("smallest"), F.max(column).alias("largest"), F.avg(column).alias("mean"))
+    """Per group: smallest, largest and mean size, and the sizes below which half, 90 and 99 hundredths of the rows lie."""
+    shares = {"p50": 0.5, "p90": 0.9, "p99": 0.99}
+    return df.groupBy(by).agg(F.min(column).alias("smallest"), F.max(column).alias("largest"), F.avg(column).alias("mean"), *[F.percentile(column, x).alias(k) for k, x in shares.items()])
 

@@ -41,6 +41,7 @@ def matches(term: str, literal: bool = False) -> Column:
     if literal:
         low = F.lit(term.lower())
         return F.contains(F.lower("file_name"), low) | F.contains(F.lower("text"), low)
+    term = term.replace("\\", "\\\\")  # a backslash is a letter like any other, not an escape
     return F.col("file_name").ilike(f"%{term}%") | F.col("text").ilike(f"%{term}%")
 
 
@@ -80,6 +81,22 @@ def pages_per_user(df: DataFrame, page: int = 1, page_size: int = 10, sort_by: s
     return df.where("user_id IS NOT NULL").withColumn("place", F.row_number().over(at)).where(F.col("place") <= last).where(F.col("place") > last - page_size)
 
 
+def sliced_pages(df: DataFrame, page: int = 1, page_size: int = 10, sort_by: str = "date", sort_dir: str = "desc") -> DataFrame:
+    """The client's page of every user's history: a plain slice, of any size, that counts from the end where its bounds are negative."""
+    rows = df.where("user_id IS NOT NULL")
+    placed = rows.withColumn("place", F.row_number().over(Window.partitionBy("user_id").orderBy(*order_of(sort_by, sort_dir))))
+    totals = rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("total"))
+    first = (page - 1) * page_size
+    at = [F.greatest(F.col("total") + k, F.lit(0)) if k < 0 else F.lit(k) for k in (first, first + page_size)]
+    return placed.join(totals.hint("merge"), "user_id").where((F.col("place") > at[0]) & (F.col("place") <= at[1])).drop("total")
+
+
+def by_name(df: DataFrame, collation: str = "UNICODE") -> DataFrame:
+    """``place`` of each row among its user's, by file name in the order of a locale and not of bytes."""
+    name = F.collate("file_name", collation)
+    return df.where("user_id IS NOT NULL").withColumn("place", F.row_number().over(Window.partitionBy("user_id").orderBy(name, "id")))
+
+
 def page_metadata(df: DataFrame, page: int = 1, page_size: int = 10) -> DataFrame:
     """Per user: rows in all, pages, first and last row of the page."""
     total = df.where("user_id IS NOT NULL").groupBy("user_id").agg(F.count(F.lit(1)).alias("total"))

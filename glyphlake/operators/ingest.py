@@ -15,15 +15,20 @@ from glyphlake.functions.text import extension
 class Rules:
     extensions: tuple[str, ...] = ("jpg", "jpeg", "png", "bmp", "tiff", "pdf")
     max_mb: int = 20
+    #: MIME types that are accepted whatever the extension.
+    types: tuple[str, ...] = ()
 
 
-SERVER, CLIENT = Rules(), Rules(extensions=("jpg", "jpeg", "png", "pdf"))
+SERVER, CLIENT = Rules(), Rules(extensions=("jpg", "jpeg", "png", "pdf"), types=("image/jpeg", "image/png", "image/jpg", "application/pdf"))
 
 
 def checked_uploads(df: DataFrame, rules: Rules = SERVER) -> DataFrame:
-    """``df`` with ``ext`` and ``reject_reason`` (null if accepted); the extension is looked at first."""
+    """``df`` with ``ext`` and ``reject_reason`` (null if accepted); the extension, or ``mime_type`` if the rules name types, is looked at first."""
     ext = extension(F.col("name"))
-    reason = F.when(~ext.isin(*rules.extensions), "extension").when(F.col("n_bytes") > rules.max_mb * 1024**2, "size")
+    known = ext.isin(*rules.extensions)
+    if rules.types and "mime_type" in df.columns:
+        known = known | F.coalesce(F.col("mime_type").isin(*rules.types), F.lit(False))
+    reason = F.when(~known, "extension").when(F.col("n_bytes") > rules.max_mb * 1024**2, "size")
     return df.withColumn("ext", ext).withColumn("reject_reason", reason)
 
 
@@ -83,8 +88,16 @@ def coerce_model(c: Column) -> Column:
     return F.when(c.isin("crnn", "transformer"), c).otherwise("crnn")
 
 
-def with_ids(df: DataFrame, start: int, order: str, buckets: int = 64) -> DataFrame:
-    """Ids from ``start`` + 1 without gaps, counted inside hash buckets of ``order`` and along the buckets: no task sees all rows."""
+#: Rows of a hash bucket in which ids are counted.
+BUCKET_ROWS, MIN_BUCKETS = 250_000, 64
+
+
+def with_ids(df: DataFrame, start: int, order: str, buckets: int | None = None) -> DataFrame:
+    """Ids from ``start`` + 1 without gaps, counted inside hash buckets of ``order`` and along the buckets: no task sees all rows.
+
+    There are as many buckets as the rows need, unless given.
+    """
+    buckets = buckets or max(MIN_BUCKETS, df.count() // BUCKET_ROWS)
     placed = df.withColumn("__bucket", F.pmod(F.xxhash64(order), F.lit(buckets)))
     counts = placed.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -59,7 +59,7 @@ def column_ranges(rows: DataFrame) -> DataFrame:
     """Per page, ranges ``col, start_x, end_x`` between wide gaps: over 3 median positive gaps and 30 at least."""
     gaps = row_gaps(rows)
     usual = gaps.groupBy(PAGE).agg(F.median(F.when(F.col("gap") > 0, F.col("gap"))).alias("median_gap"))
-    wide = gaps.join(usual, PAGE).where(F.col("gap") > F.greatest(F.col("median_gap") * GAP_FACTOR, F.lit(LEAST_GAP)))
+    wide = gaps.join(usual.hint("merge"), PAGE).where(F.col("gap") > F.greatest(F.col("median_gap") * GAP_FACTOR, F.lit(LEAST_GAP)))
     edges = wide.select(PAGE, F.col("right").alias("edge")).distinct()
     ends = edges.unionByName(edges.select(PAGE).distinct().withColumn("edge", F.lit(LAST_EDGE)))
     along = Window.partitionBy(PAGE).orderBy("edge")
@@ -71,7 +71,7 @@ def assign_cells(rows: DataFrame, ranges: DataFrame) -> DataFrame:
     held = ranges.groupBy(PAGE).agg(F.array_sort(F.collect_list(F.struct("col", "start_x", "end_x"))).alias("ranges"))
     x = F.col("x")
     inside = F.filter("ranges", lambda r: (r["start_x"] <= x) & (x < r["end_x"]))
-    return rows.join(held, PAGE, "left").withColumn("col", F.coalesce(F.get(inside, F.lit(0))["col"], F.element_at("ranges", -1)["col"])).drop("ranges")
+    return rows.join(held.hint("merge"), PAGE, "left").withColumn("col", F.coalesce(F.get(inside, F.lit(0))["col"], F.element_at("ranges", -1)["col"])).drop("ranges")
 
 
 def cell_text(cells: DataFrame) -> DataFrame:
@@ -96,7 +96,7 @@ def two_column_pages(boxes: DataFrame, page_w: int) -> DataFrame:
 
 def detect_columns(boxes: DataFrame, page_w: int) -> DataFrame:
     """``col`` (by the box's centre on two-column pages, else 0) and ``rank`` of each box in its column by (y, x)."""
-    paged = boxes.join(two_column_pages(boxes, page_w), PAGE)
+    paged = boxes.join(two_column_pages(boxes, page_w).hint("merge"), PAGE)
     col = F.when(F.col("two_columns") & (F.col("x") + F.col("w") / 2 >= page_w / 2), 1).otherwise(0)
     placed = paged.withColumn("col", col)
     return placed.withColumn("rank", F.row_number().over(Window.partitionBy(PAGE, "col").orderBy("y", "x", "line_no")))
@@ -112,7 +112,7 @@ def lines_of_boxes(boxes: DataFrame, lines: DataFrame) -> DataFrame:
     """Boxes with the text of the line of the same geometry; of several such lines the last one counts."""
     keys = [PAGE, "x", "y", "w", "h"]
     last = lines.groupBy(*keys).agg(F.max_by("text", "line_no").alias("line_text"))
-    return boxes.join(last, keys)
+    return boxes.join(last.hint("merge"), keys)
 
 
 def text_layer(boxes: DataFrame, page_w: int) -> DataFrame:
@@ -120,6 +120,11 @@ def text_layer(boxes: DataFrame, page_w: int) -> DataFrame:
     return reading_order(boxes, page_w).where(F.regexp_like("text", F.lit(r"\S"))).select(PAGE, "place", "text", "x", "y", "w", "h")
 
 
+def flatten_lines(pages: Column) -> Column:
+    """The lines of all pages of a document as one list, in page order; a page without lines adds none."""
+    return F.flatten(F.transform(pages, lambda p: F.coalesce(p["lines"], F.array().cast("array<string>"))))
+
+
 def parse_lines(c: Column) -> Column:
     """JSON lines with boxes to an array of structs."""
     return F.from_json(c, "array<struct<box:struct<x:int,y:int,w:int,h:int>,text:string>>")

@@ -55,10 +55,14 @@ def wer(pairs: DataFrame, by: str = "system") -> DataFrame:
     return pairs.withColumn("edits", word_edits(F.col("truth"), F.col("pred"))).groupBy(by).agg(F.sum("edits").cast("long").alias("edits"), F.sum(words).cast("long").alias("words"), (F.sum("edits") / F.sum(words)).alias("wer"))
 
 
-def confusion(pairs: DataFrame, by: str = "system") -> DataFrame:
-    """How often each truth was taken for each prediction, ranked within its system; exact matches left out."""
+def confusion(pairs: DataFrame, by: str = "system", top: int | None = None) -> DataFrame:
+    """How often each truth was taken for each prediction, ranked within its system; exact matches left out.
+
+    With ``top`` each task keeps that many of a system before the shuffle, so that no task ranks all pairs.
+    """
     counts = pairs.where("truth <> pred").groupBy(by, "truth", "pred").agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("n"), "truth", "pred")))
+    ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("n"), "truth", "pred")))
+    return ranked if top is None else ranked.where(F.col("rank") <= top)
 
 
 def class_errors(pairs: DataFrame, by: str = "system") -> DataFrame:
@@ -66,9 +70,17 @@ def class_errors(pairs: DataFrame, by: str = "system") -> DataFrame:
     return pairs.groupBy(by, "truth").agg(F.count(F.lit(1)).alias("samples"), F.avg((F.col("truth") != F.col("pred")).cast("double")).alias("error_rate"))
 
 
-def compare_models(pairs: DataFrame, latencies: DataFrame, systems: list[str]) -> DataFrame:
-    """One row per metric, one column per system: accuracy, cer, latency (mean). A system without data has nulls."""
-    scores = accuracy(pairs).select("system", F.lit("accuracy").alias("metric"), F.col("accuracy").alias("value"))
-    scores = scores.unionByName(cer(pairs).select("system", F.lit("cer").alias("metric"), F.col("cer").alias("value")))
-    speed = latencies.groupBy("system").agg(F.avg("processing_time_ms").alias("value")).select("system", F.lit("latency_ms").alias("metric"), "value")
-    return scores.unionByName(speed).groupBy("metric").pivot("system", systems).agg(F.max("value"))
+def compare_models(pairs: DataFrame, latencies: DataFrame, systems: list[str], params: DataFrame | None = None) -> DataFrame:
+    """One row per metric, one column per system: accuracy, cer, wer, latency (mean, median, 95th hundredth), parameters if given.
+
+    A system without data has nulls; a single system is a comparison of one column.
+    """
+    one = lambda df, metric: df.select("system", F.lit(metric).alias("metric"), F.col(metric).alias("value"))
+    scores = one(accuracy(pairs), "accuracy").unionByName(one(cer(pairs), "cer")).unionByName(one(wer(pairs), "wer"))
+    time = F.col("processing_time_ms")
+    speed = latencies.groupBy("system").agg(F.avg(time).alias("latency_ms"), F.percentile(time, 0.5).alias("latency_p50"), F.percentile(time, 0.95).alias("latency_p95"))
+    for metric in ("latency_ms", "latency_p50", "latency_p95"):
+        scores = scores.unionByName(one(speed, metric))
+    if params is not None:
+        scores = scores.unionByName(one(params.select("system", F.col("params").cast("double").alias("params")), "params"))
+    return scores.groupBy("metric").pivot("system", systems).agg(F.max("value"))

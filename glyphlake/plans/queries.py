@@ -93,6 +93,31 @@ def o2_history_page(spark, d):
     return own.orderBy(*history.order_of("name", "asc")).limit(10).select("id", "file_name")
 
 
+SLICED = """SELECT user_id, id, place FROM (SELECT user_id, id, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id DESC)::INT AS place, count(*) OVER (PARTITION BY user_id) AS n
+FROM {recognized_texts} WHERE user_id IS NOT NULL)"""
+
+
+@query(SLICED + " WHERE place <= 1000")
+def o3_page_of_any_size(spark, d):
+    return history.sliced_pages(fx.recognized_texts(spark, d), page=1, page_size=1000).select("user_id", "id", "place")
+
+
+@query(SLICED + " WHERE place > 4 AND place <= 8")
+def o3_page_of_four(spark, d):
+    return history.sliced_pages(fx.recognized_texts(spark, d), page=2, page_size=4).select("user_id", "id", "place")
+
+
+@query(SLICED + " WHERE place > greatest(n - 6, 0) AND place <= greatest(n - 3, 0)")
+def o3_page_before_the_first(spark, d):
+    return history.sliced_pages(fx.recognized_texts(spark, d), page=-1, page_size=3).select("user_id", "id", "place")
+
+
+# In the root locale signs come before digits and digits before letters, and letters go by themselves before their case.
+@query("""SELECT user_id, id, row_number() OVER (PARTITION BY user_id ORDER BY translate(lower(file_name), '_.', chr(1) || chr(2)), id)::INT AS place FROM {recognized_texts} WHERE user_id IS NOT NULL""")
+def o7_locale_name_order(spark, d):
+    return history.by_name(fx.recognized_texts(spark, d)).select("user_id", "id", "place")
+
+
 @query("""SELECT user_id, total, greatest(1, ceil(total / 10.0))::BIGINT AS page_count, least(total, 11)::BIGINT AS from_row, least(total, 20)::BIGINT AS to_row
 FROM (SELECT user_id, count(*) AS total FROM {recognized_texts} WHERE user_id IS NOT NULL GROUP BY user_id)""")
 def o5_page_metadata(spark, d):
@@ -138,6 +163,13 @@ def p3_camel_case(spark, d):
     return history.camel_case(fx.recognized_texts(spark, d).select("id", "document_id", "file_name", "num_chars"))
 
 
+@query("""SELECT id, to_json(struct_pack("pageResults" := [struct_pack("pageNumber" := 1, "numChars" := num_chars)], "docInfo" := struct_pack("documentId" := document_id))) AS json FROM {recognized_texts}""")
+def p3_camel_case_nested(spark, d):
+    page = F.struct(F.lit(1).alias("page_number"), F.col("num_chars").alias("num_chars"))
+    nested = fx.recognized_texts(spark, d).select("id", F.array(page).alias("page_results"), F.struct("document_id").alias("doc_info"))
+    return history.camel_case(nested).select("id", F.to_json(F.struct("pageResults", "docInfo")).alias("json"))
+
+
 # ---- dashboard
 
 
@@ -195,10 +227,19 @@ def p19_model_status(spark, d):
     return dashboard.model_status(models_df(spark), loaded)
 
 
-@query("""SELECT CASE WHEN count(*) > 0 THEN 'operational' ELSE 'degraded' END AS status, CASE WHEN count(*) > 0 THEN 'All systems operational' ELSE 'No model is loaded' END AS message
+@query("""SELECT CASE WHEN count(*) > 0 THEN 'operational' ELSE 'degraded' END AS status, CASE WHEN count(*) > 0 THEN 'All systems operational' ELSE 'Running in mock-inference mode — no trained model weights are loaded' END AS message, true AS checked
 FROM {recognized_texts} WHERE NOT model_simulated AND model_used IN ('crnn', 'transformer')""")
 def a18_health(spark, d):
-    return dashboard.health_rollup(p19_model_status(spark, d))
+    return dashboard.health_rollup(p19_model_status(spark, d)).select("status", "message", (F.col("checked_at") <= F.current_timestamp()).alias("checked"))
+
+
+@query("""SELECT u.id, CASE WHEN u.id % 4 <> 0 THEN h.status ELSE 'down' END AS status, CASE WHEN u.id % 4 <> 0 THEN h.message ELSE 'Could not reach the health endpoint.' END AS message
+FROM {users} u, (SELECT CASE WHEN count(*) > 0 THEN 'operational' ELSE 'degraded' END AS status, CASE WHEN count(*) > 0 THEN 'All systems operational' ELSE 'Running in mock-inference mode — no trained model weights are loaded' END AS message
+  FROM {recognized_texts} WHERE NOT model_simulated AND model_used IN ('crnn', 'transformer')) h""")
+def a18_client_health(spark, d):
+    health = dashboard.health_rollup(p19_model_status(spark, d)).select(F.struct("status", "message").alias("h"), F.lit(1).alias("one"))
+    seen = fx.users(spark, d).select("id", F.lit(1).alias("one")).join(F.broadcast(health), "one").select("id", "h.*")  # one row
+    return dashboard.client_health(seen, F.col("id") % 4 != 0)
 
 
 # ---- uploads and sign-ups
@@ -208,10 +249,11 @@ EXT = r"lower(regexp_extract(name, '\.([^.]*)$', 1))"
 
 @query(f"""SELECT name, n_bytes, {EXT} AS ext, CASE WHEN {EXT} NOT IN ('jpg', 'jpeg', 'png', 'bmp', 'tiff', 'pdf') THEN 'extension' WHEN n_bytes > 20971520 THEN 'size' END AS reject_reason FROM {{uploads}}""")
 def p9_validated_uploads(spark, d):
-    return ingest.checked_uploads(fx.uploads(spark, d).drop("head"))
+    return ingest.checked_uploads(fx.uploads(spark, d).drop("head", "mime_type"))
 
 
-@query(f"""SELECT name, n_bytes, {EXT} AS ext FROM {{uploads}} WHERE {EXT} IN ('jpg', 'jpeg', 'png', 'pdf') AND n_bytes <= 20971520""")
+@query(f"""SELECT name, n_bytes, mime_type, {EXT} AS ext FROM {{uploads}}
+WHERE ({EXT} IN ('jpg', 'jpeg', 'png', 'pdf') OR mime_type IN ('image/jpeg', 'image/png', 'image/jpg', 'application/pdf')) AND n_bytes <= 20971520""")
 def p11_client_accepted(spark, d):
     return ingest.validate_uploads(fx.uploads(spark, d).drop("head"), ingest.CLIENT)[0]
 
@@ -221,9 +263,10 @@ def p13_pdf_sniff(spark, d):
     return fx.uploads(spark, d).select("name", ingest.is_pdf(F.col("name"), F.col("head")).alias("is_pdf"))
 
 
-@query("SELECT id, CASE WHEN role IN ('crnn', 'transformer') THEN role ELSE 'crnn' END AS model FROM {users}")
+@query("SELECT id, CASE WHEN id % 3 = 1 AND model_used = 'transformer' THEN 'transformer' ELSE 'crnn' END AS model FROM {recognized_texts}")
 def p12_coerced_model(spark, d):
-    return fx.users(spark, d).select("id", ingest.coerce_model(F.col("role")).alias("model"))
+    asked = F.when(F.col("id") % 3 == 0, F.upper("model_used")).when(F.col("id") % 3 == 1, F.col("model_used"))  # known, unknown and missing names
+    return fx.recognized_texts(spark, d).select("id", ingest.coerce_model(asked).alias("model"))
 
 
 @query("""SELECT min(id) AS id, email FROM {sign_ups} s WHERE email NOT IN (SELECT email FROM {users}) GROUP BY email""")
@@ -352,6 +395,14 @@ def s10_parsed_lines(spark, d):
     return parsed.select("page_id", F.size("lines").cast("long").alias("n_lines"), F.size(layout.boxed_lines(F.col("lines"))).cast("long").alias("n_full"))
 
 
+@query("""SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY page, line_no) - 1)::INT AS place, line
+FROM (SELECT doc_id, page, unnest(range(len(string_split(text, chr(10))))) AS line_no, unnest(string_split(text, chr(10))) AS line FROM {doc_pages} WHERE page % 3 <> 0)""")
+def u4_flattened_lines(spark, d):
+    page = F.struct("page", F.when(F.col("page") % 3 != 0, F.split("text", "\n")).alias("lines"))  # some pages have no lines
+    documents = fx.doc_pages(spark, d).groupBy("doc_id").agg(F.array_sort(F.collect_list(page)).alias("pages"))
+    return documents.select("doc_id", F.posexplode(layout.flatten_lines(F.col("pages"))).alias("place", "line"))
+
+
 # ---- roll-ups
 
 
@@ -404,6 +455,15 @@ def l12_ctc_decode(spark, d):
     return rollup.ctc_decode(fx.ctc_steps(spark, d), blank=7)
 
 
+CHARS = ("क", "ख", "ग", "घ", "ङ", "च")  # class 6 has no character
+
+
+@query(f"""SELECT sample_id, coalesce(string_agg(coalesce(list_extract([{", ".join(f"'{c}'" for c in CHARS)}], k + 1), ''), '' ORDER BY t) FILTER (k <> 7 AND k IS DISTINCT FROM before), '') AS text, avg(best::DOUBLE) AS confidence
+FROM (SELECT *, lag(k) OVER (PARTITION BY sample_id ORDER BY t) AS before FROM ({BEST})) GROUP BY sample_id""")
+def l12_ctc_decode_charset(spark, d):
+    return rollup.ctc_decode(fx.ctc_steps(spark, d), blank=7, charset=dict(enumerate(CHARS)))
+
+
 # ---- text functions and scripts
 
 
@@ -419,6 +479,12 @@ def f4_bands_and_stems(spark, d):
     return fx.recognized_texts(spark, d).select("id", text.confidence_band(F.col("confidence")).alias("band"), text.strip_ext(F.col("file_name")).alias("stem"))
 
 
+@query("SELECT id, round(processing_time_ms, 2) AS ms, round(confidence, 4) AS score, round(coalesce(confidence, 0) * 100, 0) AS percent FROM {recognized_texts}")
+def f20_rounded(spark, d):
+    c = F.col("confidence")
+    return fx.recognized_texts(spark, d).select("id", text.milliseconds(F.col("processing_time_ms")).alias("ms"), text.score(c).alias("score"), text.percent(F.coalesce(c, F.lit(0.0)), 0).alias("percent"))
+
+
 @query("SELECT doc_id, nfc_normalize(text) AS text FROM documents")
 def f1_nfc(spark, d):
     return fx.load(spark, d, "documents").select("doc_id", text.nfc(F.col("text")).alias("text"))
@@ -516,7 +582,12 @@ def a21_cer(spark, d):
     return scoring.cer(fx.eval_pairs(spark, d))
 
 
-_add("a22_wer", lambda s, d: scoring.wer(fx.eval_pairs(s, d)), None)
+# Word edits in SQL: rows of the distance table folded along the prediction's words, each row along the truth's.
+WORD_EDITS = r"""words AS (SELECT system, regexp_extract_all(truth, '\S+') AS a, regexp_extract_all(pred, '\S+') AS b FROM {eval_pairs}),
+edits AS (SELECT system, len(a) AS n, (list_reduce(list_prepend({'w': '', 'r': range(0, len(a) + 1)::INT[]}, list_transform(b, lambda w: {'w': w, 'r': []::INT[]})),
+  lambda above, x: {'w': '', 'r': list_reduce(list_prepend([above.r[1] + 1]::INT[], list_transform(range(1, len(a) + 1), lambda j: [j]::INT[])),
+    lambda row, j: list_append(row, least(above.r[j[1] + 1] + 1, row[-1] + 1, above.r[j[1]] + CASE WHEN a[j[1]] = x.w THEN 0 ELSE 1 END)::INT))})).r[-1] AS e FROM words)"""
+_add("a22_wer", lambda s, d: scoring.wer(fx.eval_pairs(s, d)), _with(WORD_EDITS, body="SELECT system, sum(e)::BIGINT AS edits, sum(n)::BIGINT AS words, sum(e)::DOUBLE / sum(n) AS wer FROM edits GROUP BY system"))
 
 
 @query("""SELECT system, truth, pred, n, row_number() OVER (PARTITION BY system ORDER BY n DESC, truth, pred)::INT AS rank
@@ -525,18 +596,34 @@ def a23_confusion(spark, d):
     return scoring.confusion(fx.eval_pairs(spark, d))
 
 
+@query("""SELECT system, truth, pred, n, rank FROM (SELECT system, truth, pred, n, row_number() OVER (PARTITION BY system ORDER BY n DESC, truth, pred)::INT AS rank
+FROM (SELECT system, truth, pred, count(*) AS n FROM {eval_pairs} WHERE truth <> pred GROUP BY ALL)) WHERE rank <= 5""")
+def a23_top_confusions(spark, d):
+    return scoring.confusion(fx.eval_pairs(spark, d), top=5)
+
+
 @query("SELECT system, truth, count(*) AS samples, avg((truth <> pred)::INT::DOUBLE) AS error_rate FROM {eval_pairs} GROUP BY ALL")
 def a23_class_errors(spark, d):
     return scoring.class_errors(fx.eval_pairs(spark, d))
 
 
-@query("""SELECT metric, max(value) FILTER (system = 'crnn') AS crnn, max(value) FILTER (system = 'transformer') AS transformer FROM (
-  SELECT system, 'accuracy' AS metric, avg((pred = truth)::INT::DOUBLE) AS value FROM {eval_pairs} GROUP BY system
+_COMPARED = """metrics AS (SELECT system, 'accuracy' AS metric, avg((pred = truth)::INT::DOUBLE) AS value FROM {eval_pairs} GROUP BY system
   UNION ALL SELECT system, 'cer', sum(levenshtein(pred, truth))::DOUBLE / sum(length(truth)) FROM {eval_pairs} GROUP BY system
-  UNION ALL SELECT model_used, 'latency_ms', avg(processing_time_ms) FROM {recognized_texts} GROUP BY model_used) GROUP BY metric""")
-def a24_model_comparison(spark, d):
-    times = fx.recognized_texts(spark, d).select(F.col("model_used").alias("system"), "processing_time_ms")
-    return scoring.compare_models(fx.eval_pairs(spark, d), times, ["crnn", "transformer"])
+  UNION ALL SELECT system, 'wer', sum(e)::DOUBLE / sum(n) FROM edits GROUP BY system
+  UNION ALL SELECT model_used, 'latency_ms', avg(processing_time_ms) FROM {recognized_texts} GROUP BY model_used
+  UNION ALL SELECT model_used, 'latency_p50', quantile_cont(processing_time_ms, 0.5) FROM {recognized_texts} GROUP BY model_used
+  UNION ALL SELECT model_used, 'latency_p95', quantile_cont(processing_time_ms, 0.95) FROM {recognized_texts} GROUP BY model_used
+  UNION ALL SELECT model_used, 'params', sum(num_chars)::DOUBLE FROM {recognized_texts} GROUP BY model_used)"""
+
+
+def _compared(spark, d, systems):
+    rows = fx.recognized_texts(spark, d)
+    sizes = rows.groupBy(F.col("model_used").alias("system")).agg(F.sum("num_chars").alias("params"))  # a stand-in that grows with the tables
+    return scoring.compare_models(fx.eval_pairs(spark, d), rows.select(F.col("model_used").alias("system"), "processing_time_ms"), systems, sizes)
+
+
+_add("a24_model_comparison", lambda s, d: _compared(s, d, ["crnn", "transformer"]), _with(WORD_EDITS, _COMPARED, body="SELECT metric, max(value) FILTER (system = 'crnn') AS crnn, max(value) FILTER (system = 'transformer') AS transformer FROM metrics GROUP BY metric"))
+_add("j9_one_model", lambda s, d: _compared(s, d, ["crnn"]), _with(WORD_EDITS, _COMPARED, body="SELECT metric, max(value) FILTER (system = 'crnn') AS crnn FROM metrics GROUP BY metric"))
 
 
 @query("SELECT t.sample_id, t.truth, p.system, p.pred FROM (SELECT DISTINCT sample_id, truth FROM {eval_pairs}) t JOIN {eval_pairs} p USING (sample_id)")
@@ -600,6 +687,6 @@ def a19_class_balance(spark, d):
     return dataset.class_balance(fx.class_samples(spark, d))
 
 
-@query("SELECT lang, min(n_chars) AS smallest, max(n_chars) AS largest, avg(n_chars) AS mean FROM documents GROUP BY lang")
+@query("""SELECT lang, min(n_chars) AS smallest, max(n_chars) AS largest, avg(n_chars) AS mean, quantile_cont(n_chars, 0.5) AS p50, quantile_cont(n_chars, 0.9) AS p90, quantile_cont(n_chars, 0.99) AS p99 FROM documents GROUP BY lang""")
 def a19_size_distribution(spark, d):
     return dataset.size_distribution(fx.load(spark, d, "documents"), "n_chars", "lang")

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PAGE_W = 1240
+#: Types that browsers name for uploads; one has none.
+MIME_TYPES = ("image/png", "application/octet-stream", "application/pdf", None, "text/plain")
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,13 +59,13 @@ def ctc_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PAIRS = """
 SELECT item_id AS sample_id, s.system, t AS truth,
   CASE WHEN s.system = 'crnn' THEN replace(t, 'th', 't') WHEN item_id % 4 = 0 THEN replace(t, ' on', ' in') ELSE t END AS pred
-FROM (SELECT item_id, {fold} AS t FROM {benchmark}) b CROSS JOIN (VALUES ('crnn'), ('transformer')) AS s(system)
+FROM (SELECT item_id, text AS t FROM {benchmark}) b CROSS JOIN (VALUES ('crnn'), ('transformer')) AS s(system)
 """
 
 
 def eval_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole benchmark texts, anything but printable ASCII as '?'; two systems with errors of their own."""
-    return spark.sql(_PAIRS.replace("{fold}", "regexp_replace(text, '[^ -~]', '?')"), benchmark=load(spark, sf_dir, "benchmark"))
+    """Whole benchmark texts; two systems with errors of their own, which are of ASCII letters, so that edits in bytes are edits in characters."""
+    return spark.sql(_PAIRS, benchmark=load(spark, sf_dir, "benchmark"))
 
 
 def doc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,8 +79,8 @@ def doc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A glyph for each character of a conversation's turns but blanks, 10 px apart and 8 px wide."""
-    c = load(spark, sf_dir, "conversations").select(F.col("conv_id").alias("page_id"), F.col("turn").cast("int").alias("line_no"), F.regexp_replace("text", r"[^!-~]", " ").alias("t"))
+    """A glyph for each character of a conversation's turns but ASCII white space, 10 px apart and 8 px wide."""
+    c = load(spark, sf_dir, "conversations").select(F.col("conv_id").alias("page_id"), F.col("turn").cast("int").alias("line_no"), F.regexp_replace("text", r"[\x00-\x20]", " ").alias("t"))
     g = c.select("page_id", "line_no", F.posexplode(F.split("t", "")).alias("glyph_no", "glyph")).where("glyph <> ' ' AND glyph <> ''")
     return g.select(
         "page_id", "line_no", "glyph_no", "glyph", (F.lit(40) + F.col("glyph_no") * 10).alias("x"), (F.col("line_no") * 48 + F.col("glyph_no") % 3).alias("y"),
@@ -89,7 +91,7 @@ def glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("k")).unionAll(load(spark, sf_dir, "pages").select((F.col("page_id") * 3 + 1).alias("k")))
     ext = F.element_at(F.array(*map(F.lit, (".png", ".JPG", ".pdf", ".tiff", ".bmp", ".exe", ""))), (F.col("k") % 7 + 1).cast("int"))
-    return d.select(F.concat(F.lit("scan"), F.col("k").cast("string"), ext).alias("name"), (F.col("k") * 1000003 % 41943040).alias("n_bytes"), F.when(F.col("k") % 11 == 0, F.lit("%PDF-1.7")).otherwise("image").cast("binary").alias("head"))
+    return d.select(F.concat(F.lit("scan"), F.col("k").cast("string"), ext).alias("name"), (F.col("k") * 1000003 % 41943040).alias("n_bytes"), F.when(F.col("k") % 11 == 0, F.lit("%PDF-1.7")).otherwise("image").cast("binary").alias("head"), F.element_at(F.array(*map(F.lit, MIME_TYPES)), (F.col("k") % 5 + 1).cast("int")).alias("mime_type"))
 
 
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,14 +117,14 @@ DUCK = {
     "document_images": "SELECT doc_id AS id, CASE WHEN doc_id % 5 <> 0 THEN concat('scan_', doc_id, '.png') END AS original_filename FROM documents WHERE doc_id % 4 <> 0",
     "line_boxes": f"SELECT {_BOX_COLUMNS} FROM (SELECT doc_id AS page_id, unnest(range(len(string_split(text, chr(10)))))::INT AS line_no, unnest(string_split(text, chr(10))) AS text FROM documents) r",
     "ctc_steps": "SELECT vec_id AS sample_id, CAST(floor(i / 8.0) AS INT) AS t, (i % 8)::INT AS k, embedding[i + 1] AS prob FROM (SELECT vec_id, embedding, unnest(range(len(embedding))) AS i FROM embeddings)",
-    "eval_pairs": _PAIRS.format(fold="regexp_replace(text, '[^ -~]', '?', 'g')", benchmark="benchmark"),
+    "eval_pairs": _PAIRS.format(benchmark="benchmark"),
     "doc_pages": """SELECT conv_id AS doc_id, (turn + 1)::INT AS page, text, CASE WHEN turn % 5 = 4 THEN 0 ELSE len(string_split(text, chr(10))) END AS num_lines,
         length(replace(text, chr(10), '')) AS num_chars, (length(replace(text, chr(10), '')) % 100)::DOUBLE / 100 AS avg_confidence,
         CASE WHEN conv_id % 2 = 0 THEN concat('word_', role) ELSE concat('char_', role) END AS engine FROM conversations""",
     "glyphs": """SELECT page_id, line_no, glyph_no, glyph, 40 + glyph_no * 10 AS x, line_no * 48 + glyph_no % 3 AS y, 8 AS w, 18 AS h, (glyph_no % 50 + 50)::DOUBLE / 100 AS confidence
-        FROM (SELECT conv_id AS page_id, turn::INT AS line_no, unnest(range(length(t)))::INT AS glyph_no, unnest(string_split(t, '')) AS glyph FROM (SELECT *, regexp_replace(text, '[^!-~]', ' ', 'g') AS t FROM conversations) WHERE t <> '') WHERE glyph <> ' '""",
-    "uploads": """SELECT concat('scan', k, list_extract(['.png', '.JPG', '.pdf', '.tiff', '.bmp', '.exe', ''], (k % 7 + 1)::INT)) AS name, k * 1000003 % 41943040 AS n_bytes,
-        CASE WHEN k % 11 = 0 THEN '%PDF-1.7' ELSE 'image' END AS head FROM (SELECT doc_id AS k FROM documents UNION ALL SELECT page_id * 3 + 1 FROM pages)""",
+        FROM (SELECT conv_id AS page_id, turn::INT AS line_no, unnest(range(length(t)))::INT AS glyph_no, unnest(string_split(t, '')) AS glyph FROM (SELECT *, regexp_replace(text, '[\x00-\x20]', ' ', 'g') AS t FROM conversations) WHERE t <> '') WHERE glyph <> ' '""",
+    "uploads": f"""SELECT concat('scan', k, list_extract(['.png', '.JPG', '.pdf', '.tiff', '.bmp', '.exe', ''], (k % 7 + 1)::INT)) AS name, k * 1000003 % 41943040 AS n_bytes,
+        CASE WHEN k % 11 = 0 THEN '%PDF-1.7' ELSE 'image' END AS head, list_extract([{", ".join("NULL" if m is None else f"'{m}'" for m in MIME_TYPES)}], (k % 5 + 1)::INT) AS mime_type FROM (SELECT doc_id AS k FROM documents UNION ALL SELECT page_id * 3 + 1 FROM pages)""",
     "users": "SELECT id, concat('User ', id) AS full_name, CASE WHEN id % 5 = 0 THEN upper(concat('user', id, '@example.com')) ELSE concat('user', id, '@example.com') END AS email, CASE WHEN id % 3 = 0 THEN 'Admin' ELSE 'Student' END AS role FROM (SELECT DISTINCT user_id AS id FROM events)",
     "sign_ups": """SELECT c_custkey::BIGINT AS id, CASE WHEN c_custkey % 19 = 0 THEN 'X' ELSE c_name END AS full_name,
         CASE WHEN c_custkey % 17 = 0 THEN concat('user', c_custkey % 997) ELSE concat('user', c_custkey % 997, '@example.com') END AS email,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +23,10 @@ RECOGNITIONS = schema(
 DOCUMENTS = schema("id bigint, original_filename string, saved_path string, uploaded_at timestamp_ntz")
 USERS = schema("id bigint, full_name string, email string, password_hash string, university string, role string, avatar_url string, created_at timestamp_ntz")
 LINE_BOXES = schema("page_id bigint, line_no int, text string, x int, y int, w int, h int")
+#: Unknown labels that a warning names.
+NAMED = 20
+#: Lines of a bucket of a text layer.
+LAYER_ROWS = 2_000_000
 #: The models that the library knows (fixed values).
 MODELS = (("crnn", "CRNN"), ("transformer", "Transformer OCR"))
 
@@ -45,10 +51,15 @@ def read_uploads(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_class_dirs(spark: SparkSession, root: str, charset: DataFrame | None = None) -> DataFrame:
-    """PNG files below ``root``, labelled by their folder; labels outside ``charset`` are left out."""
+    """PNG files below ``root``, labelled by their folder; labels outside ``charset`` are left out, and named in a warning."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.png").option("recursiveFileLookup", "true").load(root)
     rows = files.select(F.element_at(F.split("path", "/"), -2).alias("label"), F.element_at(F.split("path", "/"), -1).alias("name"), "path", "content")
-    return rows if charset is None else rows.join(F.broadcast(charset.select("label")), "label", "left_semi")  # one row a class
+    if charset is None:
+        return rows
+    unknown = [r["label"] for r in rows.select("label").distinct().join(charset.select("label"), "label", "left_anti").orderBy("label").limit(NAMED).collect()]
+    if unknown:
+        warnings.warn(f"labels outside the charset are left out: {', '.join(unknown)}", stacklevel=2)
+    return rows.join(charset.select("label"), "label", "left_semi")
 
 
 def models_df(spark: SparkSession) -> DataFrame:
@@ -56,8 +67,8 @@ def models_df(spark: SparkSession) -> DataFrame:
 
 
 def write_recognitions(df: DataFrame, path: str) -> None:
-    """Append rows, laid out by day and sorted by user, so that a user's page reads few row groups."""
-    df.withColumn("day", F.to_date("created_at")).repartition("day").sortWithinPartitions("day", "user_id").write.mode("append").partitionBy("day").parquet(path)
+    """Append rows, laid out by day and sorted by user, so that a user's page reads few row groups; a day of many rows is cut by user."""
+    df.withColumn("day", F.to_date("created_at")).repartitionByRange("day", "user_id").sortWithinPartitions("day", "user_id").write.mode("append").partitionBy("day").parquet(path)
 
 
 def write_text(df: DataFrame, path: str, column: str = "text", bom: bool = False) -> None:
@@ -70,6 +81,7 @@ def write_cells(grid: DataFrame, path: str) -> None:
     grid.write.mode("overwrite").parquet(path)
 
 
-def write_text_layer(layer: DataFrame, path: str, by: str = "page_id", buckets: int = 32) -> None:
-    """Lines with their geometry; a document's lines lie in one bucket, in order."""
+def write_text_layer(layer: DataFrame, path: str, by: str = "page_id", buckets: int | None = None) -> None:
+    """Lines with their geometry; a document's lines lie in one bucket, in order. There are as many buckets as the rows need, unless given."""
+    buckets = buckets or max(8, layer.count() // LAYER_ROWS)
     layer.withColumn("bucket", F.pmod(F.xxhash64(by), F.lit(buckets))).repartition("bucket").sortWithinPartitions("bucket", by, "place").write.mode("overwrite").partitionBy("bucket").parquet(path)
