@@ -32,7 +32,8 @@ MODELS = (("crnn", "CRNN"), ("transformer", "Transformer OCR"))
 
 
 def read_recognitions(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(RECOGNITIONS).parquet(path)
+    """Recognitions without the column of their layout by day, if they have one."""
+    return spark.read.schema(RECOGNITIONS).parquet(path).select([f.name for f in RECOGNITIONS])
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:

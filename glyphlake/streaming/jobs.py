@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupStateTimeout
 from pyspark.sql.window import Window
 
 from glyphlake.operators.ingest import SERVER, Rules, checked_uploads
@@ -43,14 +46,38 @@ def latest(df: DataFrame, n: int = 8) -> DataFrame:
     return df.withColumn("__place", F.row_number().over(at)).where(F.col("__place") <= n).drop("__place")
 
 
-def stream_recent(stream: DataFrame, state: str, checkpoint: str, n: int = 8) -> StreamingQuery:
-    """Keep each user's latest ``n`` rows under ``state/v=<batch>``: the state of the batch before and the new rows, ranked again."""
+RECENT = "user_id long, place int, id long, file_name string, confidence double, at long"
+
+
+def recent_updates(stream: DataFrame, n: int = 8) -> DataFrame:
+    """Each user's latest ``n`` rows, given anew whenever they change. A user's state is those rows alone, kept by Spark under the user's key."""
+
+    def merge(key, batches, state):
+        import pandas as pd
+
+        held = {r[0]: r for r in json.loads(state.get[0])} if state.exists else {}
+        for batch in batches:
+            for row in batch[["id", "file_name", "confidence", "at"]].astype(object).where(batch.notna(), None).itertuples(index=False):
+                held[int(row[0])] = (int(row[0]), row[1], None if row[2] is None else float(row[2]), int(row[3]))
+        latest_rows = sorted(held.values(), key=lambda r: (-r[3], -r[0]))[:n]
+        state.update((json.dumps(latest_rows),))
+        yield pd.DataFrame([(key[0], k, *r) for k, r in enumerate(latest_rows, 1)], columns=["user_id", "place", "id", "file_name", "confidence", "at"])
+
+    rows = stream.where("user_id IS NOT NULL").select("user_id", "id", "file_name", "confidence", F.unix_micros(F.col("created_at").cast("timestamp")).alias("at"))
+    return rows.groupBy("user_id").applyInPandasWithState(merge, RECENT, "rows string", "update", GroupStateTimeout.NoTimeout)
+
+
+def stream_recent(stream: DataFrame, out: str, checkpoint: str, n: int = 8) -> StreamingQuery:
+    """Write each batch's changes of the users' latest rows under ``out/batch=<number>``: users without new rows cost nothing, a repeated batch replaces itself."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return recent_updates(stream, n).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = batch
-        if number > 0:
-            rows = rows.unionByName(spark.read.schema(batch.schema).parquet(f"{state}/v={number - 1}"))
-        latest(rows.dropDuplicates(["id"]), n).write.mode("overwrite").parquet(f"{state}/v={number}")
 
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def read_recent(spark: SparkSession, out: str) -> DataFrame:
+    """The newest rows of each user that ``stream_recent`` wrote."""
+    changes = spark.read.schema(RECENT + ", batch long").option("basePath", out).parquet(out)
+    newest = changes.groupBy("user_id").agg(F.max("batch").alias("batch"))
+    return changes.join(newest.hint("merge"), ["user_id", "batch"]).drop("batch")

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import runpy
+import time
+from datetime import datetime
+from pathlib import Path
+
+import pytest
 from pyspark.sql import functions as F
 
-from glyphlake.operators import dashboard, history, ingest, recognise
+from glyphlake.operators import dashboard, history, ingest, layout, recognise
 from glyphlake.sources import fixtures, tables
 from glyphlake.streaming import jobs
 
@@ -101,10 +107,83 @@ def test_stream_trend_matches_batch(spark, sf_dir, tmp_path):
 def test_stream_recent_matches_batch(spark, sf_dir, tmp_path):
     rows, path = stream_input(spark, sf_dir, tmp_path)
     q = jobs.stream_recent(jobs.stream_recognitions(spark, path, max_files=1), str(tmp_path / "s"), str(tmp_path / "c"))
-    q.awaitTermination(120)
-    last = max(int(p.name.split("=")[1]) for p in (tmp_path / "s").iterdir())
-    got = {r["id"] for r in spark.read.parquet(str(tmp_path / "s" / f"v={last}")).collect()}
-    assert got == {r["id"] for r in jobs.latest(rows).collect()}
+    q.awaitTermination(240)
+    assert q.exception() is None
+    got = sorted((r["user_id"], r["place"], r["id"]) for r in jobs.read_recent(spark, str(tmp_path / "s")).collect())
+    want = sorted((r["user_id"], r["place"], int(r["activity_id"].split("_")[1])) for r in dashboard.recent_activity(rows).collect())
+    assert got == want
+
+
+def test_stream_trend_amends_and_drops_late_rows(spark, tmp_path):
+    batches = [[(1, "2024-01-01 10:00", 0.2)], [(2, "2024-01-10 10:00", 0.4)], [(3, "2024-01-10 02:00", 0.6)], [(4, "2024-01-02 10:00", 0.9)], [(5, "2024-01-11 01:00", 1.0)]]
+    empty = dict.fromkeys(f.name for f in tables.RECOGNITIONS)
+    for k, rows in enumerate(batches):
+        full = [tuple((empty | {"id": i, "user_id": 7, "status": "completed", "confidence": c, "created_at": datetime.fromisoformat(at)}).values()) for i, at, c in rows]
+        spark.createDataFrame(full, tables.RECOGNITIONS).coalesce(1).write.parquet(str(tmp_path / "in" / f"b{k}"))
+        time.sleep(1.1)  # files are read in the order of their times
+    seen = {}
+
+    def note(batch, number):
+        seen.update({str(r["day"]): (r["documents"], round(r["value"], 6)) for r in batch.collect()})
+
+    trend = jobs.stream_daily_trend(jobs.stream_recognitions(spark, str(tmp_path / "in" / "*"), max_files=1), "1 day")
+    trend.writeStream.foreachBatch(note).outputMode("update").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start().awaitTermination(120)
+    # The row of the 2nd came after the 10th and is dropped; that of the same day amends it.
+    assert seen == {"2024-01-01": (1, 20.0), "2024-01-10": (2, 50.0), "2024-01-11": (1, 100.0)}
+
+
+def test_readers_and_recognition_sink(spark, sf_dir, tmp_path):
+    rows = fixtures.recognized_texts(spark, sf_dir).withColumn("num_lines", F.lit(1)).select([f.name for f in tables.RECOGNITIONS])
+    tables.write_recognitions(rows, str(tmp_path / "r"))
+    back = tables.read_recognitions(spark, str(tmp_path / "r"))
+    assert back.schema.fieldNames() == rows.schema.fieldNames()
+    assert sorted(map(str, history.history_items(back).collect())) == sorted(map(str, history.history_items(rows).collect()))
+    docs = fixtures.document_images(spark, sf_dir).withColumn("saved_path", F.lit("p")).withColumn("uploaded_at", F.lit(datetime(2024, 1, 1)).cast("timestamp_ntz"))
+    docs.write.parquet(str(tmp_path / "d"))
+    assert tables.read_documents(spark, str(tmp_path / "d")).count() == docs.count()
+    users = spark.createDataFrame([(1, "A", "a@b.co", "hash", "u", "Admin", None, datetime(2024, 1, 1))], tables.USERS)
+    users.write.parquet(str(tmp_path / "u"))
+    assert "password_hash" not in tables.read_users(spark, str(tmp_path / "u")).columns and tables.read_users(spark, str(tmp_path / "u")).first()["email"] == "a@b.co"
+
+
+def test_layout_sinks(spark, sf_dir, tmp_path):
+    boxes = fixtures.line_boxes(spark, sf_dir)
+    lines = layout.text_layer(boxes, fixtures.PAGE_W)
+    tables.write_text_layer(lines, str(tmp_path / "l"))
+    back = spark.read.parquet(str(tmp_path / "l"))
+    assert back.count() == lines.count() and back.groupBy("page_id").agg(F.countDistinct("bucket").alias("n")).where("n > 1").isEmpty()
+    cells = layout.rows_anchored(boxes)
+    grid = layout.cell_grid(layout.assign_cells(cells, layout.column_ranges(cells)), 3)
+    tables.write_cells(grid, str(tmp_path / "g"))
+    assert sorted(map(str, spark.read.parquet(str(tmp_path / "g")).collect())) == sorted(map(str, grid.collect()))
+
+
+def test_unknown_labels_are_named(spark, tmp_path):
+    (tmp_path / "other").mkdir()
+    (tmp_path / "other" / "x.png").write_bytes(b"1")
+    with pytest.warns(UserWarning, match="other"):
+        assert tables.read_class_dirs(spark, str(tmp_path), spark.createDataFrame([("digit_1",)], "label string")).count() == 0
+
+
+def test_search_takes_a_backslash_as_a_letter(spark):
+    rows = spark.createDataFrame([(1, 1, "C:\\new", "x"), (2, 1, "a", "50%_off"), (3, 1, "b", "plain")], "id int, user_id int, file_name string, text string")
+    found = lambda term: [r["id"] for r in history.filtered(rows, search=term).orderBy("id").collect()]
+    assert found("C:\\NEW") == [1] and found("\\") == [1] and found("0%o") == [2] and found("pl_in") == [3]
+
+
+def test_an_unrelated_missing_package_is_seen(monkeypatch):
+    import builtins
+
+    real = builtins.__import__
+
+    def blocked(name, *args, **kw):
+        if name in ("corpus_pipeline", "xxhash_missing"):
+            raise ModuleNotFoundError("No module named 'numpy'", name="numpy")
+        return real(name, *args, **kw)
+
+    monkeypatch.setattr(builtins, "__import__", blocked)
+    with pytest.raises(ModuleNotFoundError):
+        runpy.run_path(str(Path(__file__).resolve().parent.parent / "__spark_entry__.py"))
 
 
 def test_stream_ingest_splits(spark, tmp_path):
