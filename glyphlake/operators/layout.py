@@ -32,18 +32,22 @@ def rows_drifting(boxes: DataFrame) -> DataFrame:
 def rows_anchored(boxes: DataFrame, tolerance: int = ANCHOR_TOLERANCE) -> DataFrame:
     """``row_no``: a new row begins where y is further than ``tolerance`` from the first box of the row.
 
-    The first box of a row depends on all before it, so a page's boxes are folded in order.
+    The first box of a row depends on all before it, so a page's boxes are folded in order; the fold keeps where rows start.
     """
     boxes_of = F.array_sort(F.collect_list(F.struct("y", "x", "line_no", "text", "w", "h")))
 
     def fold(acc: Column, b: Column) -> Column:
         new = acc["anchor"].isNull() | (F.abs(b["y"] - acc["anchor"]) > tolerance)
-        row = F.when(acc["anchor"].isNull(), 0).otherwise(acc["row"] + F.when(new, 1).otherwise(0))
-        return F.struct(F.when(new, b["y"]).otherwise(acc["anchor"]).alias("anchor"), row.alias("row"), F.concat(acc["rows"], F.array(row)).alias("rows"))
+        starts = F.when(new, F.concat(acc["starts"], F.array(acc["i"]))).otherwise(acc["starts"])
+        return F.struct(F.when(new, b["y"]).otherwise(acc["anchor"]).alias("anchor"), (acc["i"] + 1).alias("i"), starts.alias("starts"))
 
-    start = F.struct(F.lit(None).cast("int").alias("anchor"), F.lit(0).alias("row"), F.array().cast("array<int>").alias("rows"))
+    def row_of_each(starts: Column, n: Column) -> Column:
+        return F.flatten(F.transform(starts, lambda s, row: F.array_repeat(row, F.coalesce(F.get(starts, row + 1), n) - s)))
+
+    start = F.struct(F.lit(None).cast("int").alias("anchor"), F.lit(0).alias("i"), F.array().cast("array<int>").alias("starts"))
     pages = boxes.groupBy(PAGE).agg(boxes_of.alias("boxes"))
-    folded = pages.select(PAGE, "boxes", F.aggregate("boxes", start, fold, lambda a: a["rows"]).alias("rows"))
+    starts = pages.select(PAGE, "boxes", F.aggregate("boxes", start, fold, lambda a: a["starts"]).alias("starts"))
+    folded = starts.select(PAGE, "boxes", row_of_each(F.col("starts"), F.size("boxes")).alias("rows"))
     flat = folded.select(PAGE, F.explode(F.arrays_zip("boxes", "rows")).alias("b"))
     return flat.select(PAGE, F.col("b.boxes.line_no").alias("line_no"), F.col("b.boxes.text").alias("text"), *[F.col(f"b.boxes.{c}").alias(c) for c in ("x", "y", "w", "h")], F.col("b.rows").alias("row_no"))
 
