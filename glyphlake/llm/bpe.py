@@ -167,8 +167,9 @@ def loaded(path: str) -> Bpe:
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Encode and decode each text: ``doc_id, n_tokens, ids_sha256, decoded_sha256`` (``ids, decoded`` if asked for).
 
-    Null text counts as empty: no tokens. Repeated rows and null ids stay rows of their own. Extra
-    columns are left out. Memory in a worker is bounded by one batch and REMEMBERED words.
+    Null text counts as empty: no tokens. Texts of any length are encoded whole. Repeated rows, equal texts and null ids stay rows of
+    their own. Extra columns are left out. An empty table gives an empty result. Memory in a worker is bounded by one batch and
+    REMEMBERED words of LONGEST characters at most.
     """
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<long>, decoded string" if with_ids else "")
 

@@ -392,7 +392,8 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
 def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each component, the one with its smallest id; all columns stay.
 
-    Rows with a null id stay, as nothing tells them apart.
+    Rows with a null id stay, as nothing tells them apart, and so do rows that repeat the smallest id. Null and empty texts are components of
+    their own. Texts of any length are read whole; an empty table gives an empty result.
     """
     found, other = near_components(docs, width, percent, id_col, text_col), fresh("other")
     others = stored(found.where("doc_id <> component_id").select(F.col("doc_id").alias(other)).distinct(), "others")

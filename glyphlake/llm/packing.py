@@ -207,8 +207,8 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     counted by length class (a histogram of ``capacity / grid`` rows), the linear program makes patterns of classes, and
     the documents of a class, ranked by hash bucket and id, fill the places of their class in turn.
 
-    Null or empty text is the end id alone. Null ids are packed like others. Rows that repeat are each
-    packed. An empty table gives an empty result.
+    Null or empty text is the end id alone. Texts of any length are encoded whole. Null ids are packed like others. Rows that repeat, and
+    equal texts, are each packed. Extra columns are left out. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     slim = stored(token_lengths(docs, path, id_col, text_col, capacity), "lengths")
