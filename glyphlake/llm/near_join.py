@@ -25,7 +25,8 @@ MIN_ID_BITS, MAX_ID_BITS, SALTS = 20, 30, 16
 PIVOTS, KEY_CLASSES = 3, 8
 #: Documents for each range of tokens when counting; tokens that a task counts at once.
 RANGE_DOCS, COUNT_AT_ONCE = 500, 2_000_000
-REMEMBERED = 400_000
+#: Words that a worker remembers before it starts afresh, and the longest (in bytes) that it remembers.
+REMEMBERED, LONGEST = 400_000, 64
 MIX = np.uint64(0x9E3779B97F4A7C15)
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -37,9 +38,11 @@ class _Words(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = value
         return value
 
 
