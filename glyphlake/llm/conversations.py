@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphlake.llm.common import stored
+from glyphlake.llm.common import crc32_sql, stored
 
 #: States: nothing yet, after the system turn, after a user's, after an assistant's; END accepts the first and the last.
 EMPTY, SYSTEM, USER, ASSISTANT = range(4)
@@ -400,12 +400,6 @@ def repair(conversations: DataFrame) -> DataFrame:
     return found.select(F.col("conv").cast(rows.schema["conv_id"].dataType).alias("conv_id"), *[f.split()[0] for f in FIELDS.split(", ")])
 
 
-def crc32_sql(ascii_text: str) -> str:
-    """DuckDB SQL for the CRC-32 of a text of ASCII characters: each byte takes eight steps, of which the first one adds it."""
-    steps = f"list_prepend(4294967295::BIGINT, flatten(list_transform(string_split({ascii_text}, ''), lambda x: [ascii(x)::BIGINT, 0, 0, 0, 0, 0, 0, 0])))"
-    return f"xor(list_reduce({steps}, lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295)"
-
-
 def _edit(state: str, letter: str, cost: str, line: str = "''") -> str:
     return f"CASE WHEN {state} IS NOT NULL THEN {{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 't': {state}.t || {line}}} END"
 

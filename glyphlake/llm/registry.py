@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from glyphlake.llm import bpe, conversations, exact_dedup, html_text, licenses, near_join, packing, personal_data, quality_model, quality_rules, sharding
+from glyphlake.llm import bpe, conversations, exact_dedup, html_text, licenses, manifest, near_join, packing, personal_data, quality_model, quality_rules, sharding
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -16,5 +16,6 @@ QUERIES = {
     "op9_html_extraction": html_text.op9_html_extraction,
     "op10_bpe": bpe.op10_bpe,
     "op11_conversation_repair": conversations.op11_conversation_repair,
+    "op12_merkle_manifest": manifest.op12_merkle_manifest,
 }
-ORACLES = {"op2_exact_dedup": exact_dedup.ORACLE, "op11_conversation_repair": conversations.ORACLE}
+ORACLES = {"op2_exact_dedup": exact_dedup.ORACLE, "op11_conversation_repair": conversations.ORACLE, "op12_merkle_manifest": manifest.ORACLE}

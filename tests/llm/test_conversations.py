@@ -14,6 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from glyphlake.llm import conversations
+from glyphlake.llm.common import crc32_sql
 from tests.llm.conftest import LONG
 
 ROW = "conv_id long, turn long, role string, text string"
@@ -149,4 +150,4 @@ def test_query_matches_sql(spark, sf_dir):
 
 @pytest.mark.parametrize("text", ["0:0", "123:4", " : ", "-5:12345"])
 def test_crc32_in_sql(text):
-    assert duckdb.execute(f"SELECT {conversations.crc32_sql(chr(39) + text + chr(39))}").fetchone()[0] == zlib.crc32(text.encode())
+    assert duckdb.execute(f"SELECT {crc32_sql(chr(39) + text + chr(39))}").fetchone()[0] == zlib.crc32(text.encode())
