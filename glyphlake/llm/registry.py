@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from glyphlake.llm import bpe, conversations, exact_dedup, html_text, licenses, manifest, near_join, packing, personal_data, quality_model, quality_rules, sharding
+from glyphlake.llm import bpe, conversations, exact_dedup, html_text, licenses, manifest, near_join, packing, personal_data, quality_model, quality_rules, secret_scan, sharding
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -17,5 +17,6 @@ QUERIES = {
     "op10_bpe": bpe.op10_bpe,
     "op11_conversation_repair": conversations.op11_conversation_repair,
     "op12_merkle_manifest": manifest.op12_merkle_manifest,
+    "op13_secret_scan": secret_scan.op13_secret_scan,
 }
 ORACLES = {"op2_exact_dedup": exact_dedup.ORACLE, "op11_conversation_repair": conversations.ORACLE, "op12_merkle_manifest": manifest.ORACLE}
