@@ -51,10 +51,16 @@ def with_empty_point(trend: DataFrame, users: DataFrame) -> DataFrame:
 
 
 def monthly_delta(df: DataFrame) -> DataFrame:
-    """Per user and month: documents, and their change in percent from the user's month before."""
-    by = df.where("user_id IS NOT NULL").groupBy("user_id", F.date_format("created_at", "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("documents"))
+    """Per user and calendar month from the first to the last with rows: documents, and their change in percent from the month before.
+
+    Months without rows count 0; the change is null in a user's first month and after a month without rows.
+    """
+    by = df.where("user_id IS NOT NULL AND created_at IS NOT NULL").groupBy("user_id", F.trunc("created_at", "month").alias("month")).agg(F.count(F.lit(1)).alias("documents"))
+    ends = by.groupBy("user_id").agg(F.min("month").alias("lo"), F.max("month").alias("hi"))
+    months = ends.select("user_id", F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 1 MONTH"))).alias("month"))
+    every = months.join(by.hint("merge"), ["user_id", "month"], "left").select("user_id", "month", F.coalesce("documents", F.lit(0)).alias("documents"))
     before = F.lag("documents").over(Window.partitionBy("user_id").orderBy("month"))
-    return by.withColumn("delta_percent", (F.col("documents") - before) * 100.0 / before)
+    return every.select("user_id", F.date_format("month", "yyyy-MM").alias("month"), "documents", ((F.col("documents") - before) * 100.0 / F.nullif(before, F.lit(0))).alias("delta_percent"))
 
 
 def recent_activity(df: DataFrame, n: int = 8) -> DataFrame:

@@ -13,29 +13,41 @@ PARTS = ("train", "valid", "test")
 PREFIX = 3
 
 
-def bucket(key: Column) -> Column:
-    """0 to 99 from the MD5 of a key; the same on every engine."""
-    return F.pmod(F.conv(F.substring(F.md5(key.cast("string")), 1, 15), 16, 10).cast("long"), F.lit(100))
-
-
-def split(df: DataFrame, key: str, weights: tuple[int, int, int] = (80, 10, 10), stratify: str | None = None) -> DataFrame:
-    """``df`` with ``split``: by the hash of the key, or by rank of the hash inside each class, so that each class is cut alike."""
-    if stratify is None:
-        at = bucket(F.col(key))
-    else:
-        # Ranks are counted inside prefixes of the hash and along them, so that no task sees a whole class.
-        df = df.withColumn("__md5", F.md5(F.col(key).cast("string"))).withColumn("__prefix", F.substring("__md5", 1, PREFIX))
-        counts = df.groupBy(stratify, "__prefix").agg(F.count(F.lit(1)).alias("__n"))
-        along = Window.partitionBy(stratify).orderBy("__prefix")
-        before = F.coalesce(F.sum("__n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        counts = counts.select(F.col(stratify).alias("__class"), F.col("__prefix").alias("__p"), before.alias("__before"), F.sum("__n").over(Window.partitionBy(stratify)).alias("__total"))
-        df = df.join(counts.hint("merge"), F.col(stratify).eqNullSafe(F.col("__class")) & (F.col("__prefix") == F.col("__p")))
-        ranked = Window.partitionBy(stratify, "__prefix").orderBy("__md5", key)
-        df = df.withColumn("__at", F.floor((F.col("__before") + F.row_number().over(ranked) - 1) * 100 / F.col("__total")))
-        at = F.col("__at")
-        df = df.drop("__md5", "__prefix", "__class", "__p", "__before", "__total")
-    df = df.withColumn("split", F.when(at < weights[0], PARTS[0]).when(at < weights[0] + weights[1], PARTS[1]).otherwise(PARTS[2]))
-    return df.drop("__at") if stratify else df
+def seeded(key: Column, seed: int | None = None) -> Column:
+    """The MD5 of a key, or of a seed and the key; the same on every engine."""
+    key = key.cast("string")
+    return F.md5(key if seed is None else F.concat(F.lit(f"{seed}:"), key))
+
+
+def bucket(key: Column, seed: int | None = None) -> Column:
+    """0 to 99 from the hash of a key."""
+    return F.pmod(F.conv(F.substring(seeded(key, seed), 1, 15), 16, 10).cast("long"), F.lit(100))
+
+
+def split(df: DataFrame, key: str, weights: tuple[int, int, int] = (80, 10, 10), stratify: str | None = None, seed: int | None = None, exact: bool = False) -> DataFrame:
+    """``df`` with ``split``: by the hash of the key and a seed, or by rank of the hash, so that the parts have the sizes that the weights say.
+
+    Ranks are counted inside each class of ``stratify``, so that each class is cut alike, or over all rows if ``exact``.
+    """
+    if stratify is None and not exact:
+        at = bucket(F.col(key), seed)
+        return df.withColumn("split", _part(at, weights))
+    # Ranks are counted inside prefixes of the hash and along them, so that no task sees a whole class.
+    of = [stratify] if stratify else []
+    df = df.withColumn("__md5", seeded(F.col(key), seed)).withColumn("__prefix", F.substring("__md5", 1, PREFIX))
+    counts = df.groupBy(*of, "__prefix").agg(F.count(F.lit(1)).alias("__n"))
+    along = Window.partitionBy(*of).orderBy("__prefix")  # without a class, over the prefixes alone: 16 ** PREFIX rows
+    before = F.coalesce(F.sum("__n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(*[F.col(c).alias("__class") for c in of], F.col("__prefix").alias("__p"), before.alias("__before"), F.sum("__n").over(Window.partitionBy(*of)).alias("__total"))
+    same = F.col("__prefix").eqNullSafe(F.col("__p"))
+    df = df.join(counts.hint("merge"), same & F.col(stratify).eqNullSafe(F.col("__class")) if stratify else same)
+    place = F.col("__before") + F.row_number().over(Window.partitionBy(*of, "__prefix").orderBy("__md5", key)) - 1
+    df = df.withColumn("__at", F.floor(place * 100 / F.col("__total"))).drop("__md5", "__prefix", "__class", "__p", "__before", "__total")
+    return df.withColumn("split", _part(F.col("__at"), weights)).drop("__at")
+
+
+def _part(at: Column, weights: tuple[int, int, int]) -> Column:
+    return F.when(at < weights[0], PARTS[0]).when(at < weights[0] + weights[1], PARTS[1]).otherwise(PARTS[2])
 
 
 def check_split(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

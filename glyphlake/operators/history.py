@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from glyphlake.operators.ranking import ranged, runs_of
+from glyphlake.sources.shared import stored
+
 MODELS, FILE_TYPES, STATUSES = ("crnn", "transformer"), ("image", "pdf"), ("completed", "failed")
 SORT_COLUMNS = {"date": "created_at", "confidence": "confidence", "name": "file_name"}
 MAX_PAGE = 100
@@ -61,11 +64,56 @@ def order_of(sort_by: str = "date", sort_dir: str = "desc") -> list[Column]:
     return [c.asc(), F.col("id").asc()] if sort_dir == "asc" else [c.desc(), F.col("id").desc()]
 
 
-def history(df: DataFrame, user_id: int, search: str = "", model: str = "all", status: str = "all", sort_by: str = "date", sort_dir: str = "desc", page: int = 1, page_size: int = 10, literal: bool = False) -> DataFrame:
-    """One page of a user's history."""
+def history(
+    df: DataFrame, user_id: int | None, search: str = "", model: str = "all", status: str = "all", sort_by: str = "date", sort_dir: str = "desc",
+    page: int = 1, page_size: int = 10, literal: bool = False, after: tuple | None = None,
+) -> DataFrame:
+    """One page of a user's history, or of all users'.
+
+    ``after`` is the last row of the page before, as (sort value, id): the page is then sought behind it, so that each task keeps
+    a page of rows however deep it lies, and ``page`` is not used. Without it all rows up to the page pass through one task.
+    """
+    page, page_size = max(1, page), min(MAX_PAGE, max(1, page_size))
+    rows = filtered(df, user_id, search, model, status, literal)
+    if after is not None:
+        return rows.where(behind(after, sort_by, sort_dir)).orderBy(*order_of(sort_by, sort_dir)).limit(page_size)
+    return rows.orderBy(*order_of(sort_by, sort_dir)).offset((page - 1) * page_size).limit(page_size)
+
+
+def behind(cursor: tuple, sort_by: str = "date", sort_dir: str = "desc") -> Column:
+    """Whether a row stands behind a cursor (sort value, id) in the order of ``order_of``, where null is the smallest value."""
+    name, (value, last) = SORT_COLUMNS.get(sort_by, "created_at"), cursor
+    c, own = F.col(name), F.col("id")
+    up = sort_dir == "asc"
+    next_id = own > last if up else own < last
+    if value is None:
+        return (c.isNotNull() | next_id) if up else (c.isNull() & next_id)
+    value = F.lit(value)
+    further = c > value if up else (c < value) | c.isNull()
+    return further | ((c == value) & next_id)
+
+
+def page_table(df: DataFrame, sort_by: str = "date", sort_dir: str = "desc", by: tuple[str, ...] = ("user_id",)) -> tuple[DataFrame, DataFrame]:
+    """(rows, runs) for pages of any depth: rows written in the order of their users and of the sort, and how many of each user each range has."""
+    rows = ranged(df, list(by), order_of(sort_by, sort_dir), "pages")
+    return rows, stored(runs_of(rows, list(by)), "page_runs")
+
+
+def page_of(table: tuple[DataFrame, DataFrame], page: int = 1, page_size: int = 10, **group) -> DataFrame:
+    """One page from a ``page_table``, without counting or skipping rows: the counts of ranges say where it lies, and a filter on that
+    place, which prunes files and row groups, reads it."""
+    rows, runs = table
     page, page_size = max(1, page), min(MAX_PAGE, max(1, page_size))
-    rows = filtered(df, user_id, search, model, status, literal).orderBy(*order_of(sort_by, sort_dir))
-    return rows.offset((page - 1) * page_size).limit(page_size)
+    first = (page - 1) * page_size
+    for c, value in group.items():
+        rows, runs = rows.where(F.col(c).eqNullSafe(F.lit(value))), runs.where(F.col(c).eqNullSafe(F.lit(value)))
+    # Of the ranges that hold some row of the page: as many as a page has rows, at most.
+    held = runs.where((F.col("before") < first + page_size) & (F.col("before") + F.col("n") > first)).select("first", "before", "n").collect()
+    place = F.lit(False)
+    for r in held:
+        low = r["first"] + max(0, first - r["before"])
+        place = place | F.col("__at").between(low, r["first"] + min(r["n"], first + page_size - r["before"]) - 1)
+    return rows.where(place).orderBy("__at").drop("__at", "__part")
 
 
 def history_count(df: DataFrame, user_id: int, **filters) -> DataFrame:
@@ -109,6 +157,12 @@ def page_metadata(df: DataFrame, page: int = 1, page_size: int = 10) -> DataFram
     )
 
 
+def with_users(df: DataFrame, users: DataFrame, required: bool = False) -> DataFrame:
+    """Rows with ``full_name`` and ``role`` of their user: null without one or, if a user is ``required``, without the row."""
+    known = users.select(F.col("id").alias("user_id"), "full_name", "role")
+    return df.join(known, "user_id", "inner" if required else "left")
+
+
 def results_by_id(df: DataFrame, docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """Rows asked for by (id, user_id), with the name of their document; a document's name wins even if null."""
     found = df.join(wanted, ["id", "user_id"])

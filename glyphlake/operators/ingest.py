@@ -106,9 +106,17 @@ def with_ids(df: DataFrame, start: int, order: str, buckets: int | None = None)
     return placed.join(starts, "__bucket").withColumn("id", F.lit(start) + F.col("__before") + within).drop("__bucket", "__before")
 
 
-def append_recognitions(uploads: DataFrame, results: DataFrame, documents_path: str, recognitions_path: str, key: str = "landing_name") -> None:
-    """One document and one recognition row for each upload, tied by a key that needs no counter."""
+def append_recognitions(uploads: DataFrame, results: DataFrame, documents_path: str, recognitions_path: str, key: str = "landing_name", batch: int | str | None = None) -> None:
+    """One document and one recognition row for each upload, tied by a key that needs no counter.
+
+    With ``batch`` both tables get the rows under that number in place of what it held, so a batch that is repeated, after a failure
+    between the two writes too, adds nothing twice; documents and recognitions of a number belong together.
+    """
     keyed = uploads.withColumn("id", F.xxhash64(key))
-    keyed.select("id", F.col("name").alias("original_filename"), F.col(key).alias("saved_path"), "uploaded_at").write.mode("append").parquet(documents_path)
-    rows = results.join(keyed.select(key, F.col("id").alias("document_id")), key).drop(key).withColumn("id", F.col("document_id"))
-    rows.write.mode("append").parquet(recognitions_path)
+    documents = keyed.select("id", F.col("name").alias("original_filename"), F.col(key).alias("saved_path"), "uploaded_at")
+    rows = results.join(keyed.select(key, F.col("id").alias("document_id")).hint("merge"), key).drop(key).withColumn("id", F.col("document_id"))
+    for table, path in ((documents, documents_path), (rows, recognitions_path)):
+        if batch is None:
+            table.write.mode("append").parquet(path)
+        else:
+            table.write.mode("overwrite").parquet(f"{path}/batch={batch}")

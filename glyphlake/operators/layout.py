@@ -85,8 +85,10 @@ def cell_text(cells: DataFrame) -> DataFrame:
 
 
 def cell_grid(cells: DataFrame, columns: int) -> DataFrame:
-    """Cells as one row per table row, columns ``c0`` to ``c{columns - 1}``."""
-    return cell_text(cells).groupBy(PAGE, "row_no").pivot("col", list(range(columns))).agg(F.max("cell")).select(PAGE, "row_no", *[F.col(str(k)).alias(f"c{k}") for k in range(columns)])
+    """Cells as one row per table row: columns ``c0`` to ``c{columns - 1}``, and ``more`` with the cells beyond, in order (null if there are none)."""
+    texts = cell_text(cells)
+    beyond = F.transform(F.array_sort(F.collect_list(F.when(F.col("col") >= columns, F.struct("col", "cell")))), lambda x: x["cell"])
+    return texts.groupBy(PAGE, "row_no").agg(*[F.max(F.when(F.col("col") == k, F.col("cell"))).alias(f"c{k}") for k in range(columns)], F.when(F.max("col") >= columns, beyond).alias("more"))
 
 
 def two_column_pages(boxes: DataFrame, page_w: int) -> DataFrame:

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from glyphlake.functions import script, text
-from glyphlake.operators import dashboard, dataset, history, ingest, layout, quantiles, rollup, scoring
+from glyphlake.operators import dashboard, dataset, history, ingest, layout, quantiles, rollup, scoring, search_index
 from glyphlake.sources import fixtures as fx
-from glyphlake.sources.tables import models_df
+from glyphlake.sources import rewrites
+from glyphlake.sources.shared import shared_dir
+from glyphlake.sources.tables import RECOGNITIONS, models_df, read_recognitions, write_recognitions
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -25,6 +30,21 @@ def query(sql: str | None = None):
     return add
 
 
+def _with(*parts: str, body: str) -> str:
+    """Parts and fixtures in one WITH."""
+    own = ", ".join(parts)
+    names = [n for n in fx.DUCK if f"{{{n}}}" in " ".join(parts) + body]
+    for n in names:
+        own, body = own.replace(f"{{{n}}}", n), body.replace(f"{{{n}}}", n)
+    return "WITH " + ", ".join([*(f"{n} AS ({fx.DUCK[n]})" for n in names), own]) + "\n" + body
+
+
+def _add(name: str, f, sql: str | None) -> None:
+    QUERIES[name] = f
+    if sql:
+        ORACLES[name] = sql
+
+
 # ---- history
 
 ITEM = """id::VARCHAR AS id, user_id, coalesce(text, '') AS text, coalesce(confidence, 0.0) AS confidence, coalesce(nullif(file_name, ''), 'unknown') AS file_name,
@@ -85,12 +105,45 @@ def o1_page_by_confidence(spark, d):
     return history.pages_per_user(fx.recognized_texts(spark, d), sort_by="confidence", sort_dir="asc").select("user_id", "id", "place")
 
 
-@query("""SELECT id, file_name FROM {recognized_texts} WHERE user_id = (SELECT min(user_id) FROM {recognized_texts}) ORDER BY file_name, id LIMIT 10 OFFSET 0""")
+OWN = "SELECT id, file_name FROM {recognized_texts} WHERE user_id = (SELECT min(user_id) FROM {recognized_texts})"
+
+
+def _first_user(rows):
+    return rows.agg(F.min("user_id")).first()[0]
+
+
+@query(f"{OWN} ORDER BY file_name, id LIMIT 3 OFFSET 3")
 def o2_history_page(spark, d):
+    """The second page; bounds out of range are clamped by ``history``."""
     rows = fx.recognized_texts(spark, d)
-    first = rows.agg(F.min("user_id").alias("user_id"))
-    own = rows.join(F.broadcast(first), "user_id", "left_semi")  # one row
-    return own.orderBy(*history.order_of("name", "asc")).limit(10).select("id", "file_name")
+    return history.history(rows, _first_user(rows), sort_by="name", sort_dir="asc", page=2, page_size=3).select("id", "file_name")
+
+
+@query(f"{OWN} ORDER BY created_at DESC, id DESC LIMIT 1")
+def o2_clamped_page(spark, d):
+    rows = fx.recognized_texts(spark, d)
+    return history.history(rows, _first_user(rows), page=-4, page_size=0).select("id", "file_name")
+
+
+@query("SELECT id, confidence FROM {recognized_texts} ORDER BY confidence ASC NULLS FIRST, id LIMIT 50 OFFSET 100")
+def o2_sought_page(spark, d):
+    """The third page of fifty of all users: sought behind the last row of the second, which is sought behind that of the first."""
+    rows, last = fx.recognized_texts(spark, d), None
+    for _ in range(2):
+        page = history.history(rows, None, sort_by="confidence", sort_dir="asc", page_size=50, after=last)
+        last = page.select(F.max(F.struct(F.col("confidence").isNotNull(), "confidence", "id")).alias("x")).select("x.confidence", "x.id").first()
+        last = None if last["id"] is None else tuple(last)
+    return history.history(rows, None, sort_by="confidence", sort_dir="asc", page_size=50, after=last).select("id", "confidence")
+
+
+@query("SELECT id, user_id FROM {recognized_texts} WHERE user_id IS NOT NULL ORDER BY user_id, created_at DESC, id DESC LIMIT 20 OFFSET 140")
+def o2_deep_page(spark, d):
+    """Page 8 of all users' rows by user, read at its place in the sorted table."""
+    rows = fx.recognized_texts(spark, d).where("user_id IS NOT NULL").select("id", "user_id", "created_at").withColumn("all", F.lit(1))
+    rows, runs = history.page_table(rows, by=("all", "user_id"))
+    whole = runs.groupBy("all", "part").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("all").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a range
+    return history.page_of((rows, whole.withColumn("before", before)), page=8, page_size=20).select("id", "user_id")
 
 
 SLICED = """SELECT user_id, id, place FROM (SELECT user_id, id, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id DESC)::INT AS place, count(*) OVER (PARTITION BY user_id) AS n
@@ -152,6 +205,44 @@ def u3_delete_users(spark, d):
     return history.delete_users(rows, rows.where("user_id % 2 = 0").select("user_id").distinct()).select("id", "user_id")
 
 
+def _written(spark, d) -> str:
+    """Recognitions written as the library lays them out; the folder."""
+    path = f"{shared_dir(spark)}/glyphlake/{uuid.uuid4().hex}/recognitions"
+    write_recognitions(fx.recognized_texts(spark, d).withColumn("num_lines", F.lit(1)).select([f.name for f in RECOGNITIONS]), path)
+    return path
+
+
+@query("SELECT id, user_id, status FROM {recognized_texts} WHERE NOT (status = 'failed' AND id % 2 = 0)")
+def u2_deleted_from_storage(spark, d):
+    path = _written(spark, d)
+    rewrites.delete_stored(spark, path, read_recognitions(spark, path).where("status = 'failed' AND id % 2 = 0").select("id", "user_id"))
+    return read_recognitions(spark, path).select("id", "user_id", "status")
+
+
+@query("SELECT id, user_id FROM {recognized_texts} WHERE user_id % 5 <> 0")
+def u3_users_deleted_from_storage(spark, d):
+    path = _written(spark, d)
+    rewrites.delete_stored_users(spark, path, fx.users(spark, d).where("id % 5 = 0").select(F.col("id").alias("user_id")))
+    return read_recognitions(spark, path).select("id", "user_id")
+
+
+@query("SELECT id, CASE WHEN id % 9 = 0 THEN 'renamed.png' ELSE file_name END AS file_name, status FROM {recognized_texts}")
+def p17_patched_storage(spark, d):
+    path = _written(spark, d)
+    rewrites.patch_stored(spark, path, read_recognitions(spark, path).where("id % 9 = 0").select("id", F.lit("renamed.png").alias("file_name")))
+    return read_recognitions(spark, path).select("id", "file_name", "status")
+
+
+def _searched(spark, d, term, literal=False):
+    path = _written(spark, d)
+    search_index.write_index(spark, path, f"{path}_index")
+    return search_index.indexed_search(spark, path, f"{path}_index", term, literal)[0].select("id", "user_id")
+
+
+_add("p5_indexed_search", lambda s, d: _searched(s, d, " SRC1%_4"), fx.duck("SELECT id, user_id FROM {recognized_texts} WHERE lower(file_name) LIKE '%src1%_4%' OR lower(text) LIKE '%src1%_4%'"))
+_add("p6_indexed_literal_search", lambda s, d: _searched(s, d, "src1_1", True), fx.duck("SELECT id, user_id FROM {recognized_texts} WHERE contains(lower(file_name), 'src1_1') OR contains(lower(text), 'src1_1')"))
+
+
 @query("SELECT user_id, count(*) AS n FROM (SELECT * FROM {recognized_texts} UNION ALL SELECT * FROM {recognized_texts} WHERE status = 'failed') GROUP BY user_id")
 def u1_append_history(spark, d):
     rows = fx.recognized_texts(spark, d)
@@ -205,11 +296,13 @@ def a7_trend_of_all_users(spark, d):
     return dashboard.with_empty_point(dashboard.confidence_trend(fx.recognized_texts(spark, d), compat=True), fx.users(spark, d).select(F.col("id").alias("user_id")))
 
 
-@query("""SELECT user_id, month, documents, (documents - before) * 100.0::DOUBLE / before AS delta_percent FROM (
+MONTHS = """WITH counted AS (SELECT user_id, date_trunc('month', created_at)::DATE AS month, count(*) AS documents FROM {0} WHERE user_id IS NOT NULL GROUP BY ALL),
+every AS (SELECT user_id, unnest(generate_series(min(month), max(month), INTERVAL 1 MONTH))::DATE AS month FROM counted GROUP BY user_id)
+SELECT user_id, strftime(month, '%Y-%m') AS month, documents, (documents - before) * 100.0::DOUBLE / nullif(before, 0) AS delta_percent FROM (
   SELECT user_id, month, documents, lag(documents) OVER (PARTITION BY user_id ORDER BY month) AS before FROM (
-    SELECT user_id, strftime(created_at, '%Y-%m') AS month, count(*) AS documents FROM {recognized_texts} WHERE user_id IS NOT NULL GROUP BY ALL))""")
-def a8_monthly_delta(spark, d):
-    return dashboard.monthly_delta(fx.recognized_texts(spark, d))
+    SELECT user_id, month, coalesce(documents, 0) AS documents FROM every LEFT JOIN counted USING (user_id, month)))"""
+_add("a8_monthly_delta", lambda s, d: dashboard.monthly_delta(fx.recognized_texts(s, d)), MONTHS.format(f"({fx.DUCK['recognized_texts']})"))
+_add("a8_monthly_delta_with_gaps", lambda s, d: dashboard.monthly_delta(fx.order_history(s, d)), MONTHS.format(f"({fx.DUCK['order_history']})"))
 
 
 @query("""SELECT user_id, place, concat('activity_', id) AS activity_id,
@@ -292,10 +385,17 @@ def p17_patched_profiles(spark, d):
     return ingest.patch(u, patches, "id")
 
 
-@query("SELECT r.id, u.full_name, u.role FROM {recognized_texts} r LEFT JOIN {users} u ON u.id = r.user_id")
+WITH_USER = "SELECT r.id, u.full_name, u.role FROM {recognized_texts} r %s JOIN (SELECT * FROM {users} WHERE id %% 4 <> 1) u ON u.id = r.user_id"
+
+
+@query(WITH_USER % "LEFT")
 def j2_recognitions_with_user(spark, d):
-    u = fx.users(spark, d).select(F.col("id").alias("user_id"), "full_name", "role")
-    return fx.recognized_texts(spark, d).join(u, "user_id", "left").select("id", "full_name", "role")
+    return history.with_users(fx.recognized_texts(spark, d), fx.users(spark, d).where("id % 4 <> 1")).select("id", "full_name", "role")
+
+
+@query(WITH_USER % "INNER")
+def j2_recognitions_of_known_users(spark, d):
+    return history.with_users(fx.recognized_texts(spark, d), fx.users(spark, d).where("id % 4 <> 1"), required=True).select("id", "full_name", "role")
 
 
 @query("SELECT count(*) AS n, min(id) AS lo, max(id) AS hi, count(DISTINCT id) AS n_ids FROM (SELECT row_number() OVER () + 1000 AS id FROM {sign_ups})")
@@ -311,21 +411,6 @@ DRIFTING = """drifting AS (SELECT *, sum(step) OVER (PARTITION BY page_id ORDER
   FROM (SELECT *, median(h) OVER (PARTITION BY page_id) AS median_h FROM {line_boxes})))"""
 
 
-def _with(*parts: str, body: str) -> str:
-    """Parts and fixtures in one WITH."""
-    own = ", ".join(parts)
-    names = [n for n in fx.DUCK if f"{{{n}}}" in " ".join(parts) + body]
-    for n in names:
-        own, body = own.replace(f"{{{n}}}", n), body.replace(f"{{{n}}}", n)
-    return "WITH " + ", ".join([*(f"{n} AS ({fx.DUCK[n]})" for n in names), own]) + "\n" + body
-
-
-def _add(name: str, f, sql: str | None) -> None:
-    QUERIES[name] = f
-    if sql:
-        ORACLES[name] = sql
-
-
 _add("l1_rows_drifting", lambda s, d: layout.rows_drifting(fx.line_boxes(s, d)).select("page_id", "line_no", "row_no"), _with(DRIFTING, body="SELECT page_id, line_no, row_no FROM drifting"))
 
 # A row's first box decides, so the SQL folds a page's sorted y values as well.
@@ -356,8 +441,8 @@ _add("l4_column_ranges", lambda s, d: layout.column_ranges(_rows(s, d)), _with(F
 _add("j7_boxes_in_columns", lambda s, d: _cells(s, d).select("page_id", "line_no", F.col("col").cast("double").alias("col")), _with(FOLDED, RANGES, CELLS, body="SELECT page_id, line_no, col::DOUBLE AS col FROM cells"))
 _add("l10_cell_text", lambda s, d: layout.cell_text(_cells(s, d)), _with(FOLDED, RANGES, CELLS, body="SELECT page_id, row_no, coalesce(col, 0) AS col, string_agg(text, ' ' ORDER BY x, line_no) AS cell FROM cells GROUP BY ALL"))
 _add(
-    "s8_cell_grid", lambda s, d: layout.cell_grid(_cells(s, d), 3),
-    _with(FOLDED, RANGES, CELLS, body="""SELECT page_id, row_no, max(cell) FILTER (col = 0) AS c0, max(cell) FILTER (col = 1) AS c1, max(cell) FILTER (col = 2) AS c2
+    "s8_cell_grid", lambda s, d: layout.cell_grid(_cells(s, d), 3).withColumn("more", F.array_join("more", "|")),
+    _with(FOLDED, RANGES, CELLS, body="""SELECT page_id, row_no, max(cell) FILTER (col = 0) AS c0, max(cell) FILTER (col = 1) AS c1, max(cell) FILTER (col = 2) AS c2, string_agg(cell, '|' ORDER BY col) FILTER (col > 2) AS more
 FROM (SELECT page_id, row_no, coalesce(col, 0) AS col, string_agg(text, ' ' ORDER BY x, line_no) AS cell FROM cells GROUP BY ALL) GROUP BY ALL"""),
 )
 _add("a16_page_medians", lambda s, d: layout.page_medians(fx.line_boxes(s, d)), fx.duck("SELECT page_id, median(w) AS median_w, median(h) AS median_h FROM {line_boxes} GROUP BY page_id"))
@@ -673,6 +758,21 @@ def m1_split(spark, d):
     return dataset.split(fx.class_samples(spark, d), "sample_id")
 
 
+def _exact(key: str) -> str:
+    return f"""SELECT sample_id, label, CASE WHEN place < 80 THEN 'train' WHEN place < 90 THEN 'valid' ELSE 'test' END AS split FROM (SELECT sample_id, label,
+  floor((row_number() OVER (ORDER BY md5({key}), sample_id) - 1) * 100 / count(*) OVER ()) AS place FROM {{class_samples}})"""
+
+
+@query(_exact("concat('7:', sample_id)"))
+def m1_seeded_exact_split(spark, d):
+    return dataset.split(fx.class_samples(spark, d), "sample_id", seed=7, exact=True)
+
+
+@query(f"SELECT split, count(*) AS n FROM ({_exact('sample_id::VARCHAR')}) GROUP BY split")
+def m1_exact_counts(spark, d):
+    return dataset.split(fx.class_samples(spark, d), "sample_id", exact=True).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+
+
 STRATIFIED = """SELECT sample_id, label, CASE WHEN place < 80 THEN 'train' WHEN place < 90 THEN 'valid' ELSE 'test' END AS split FROM (SELECT sample_id, label,
   floor((row_number() OVER (PARTITION BY label ORDER BY md5(sample_id::VARCHAR), sample_id) - 1) * 100 / count(*) OVER (PARTITION BY label)) AS place FROM {class_samples})"""
 

@@ -107,6 +107,11 @@ def sign_ups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("id", F.when(F.col("id") % 19 == 0, "X").otherwise(F.col("c_name")).alias("full_name"), mail.alias("email"), (F.col("id") % 13).cast("int").alias("password_len"), F.when(F.col("id") % 23 == 0, 0).otherwise(F.col("id") % 13).cast("int").alias("confirm_len"), (F.col("id") % 29 != 0).alias("terms"))
 
 
+def order_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as uploads of their customers: several years, and months without any."""
+    return load(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("id"), F.col("o_custkey").cast("long").alias("user_id"), F.col("o_orderdate").cast("timestamp_ntz").alias("created_at"))
+
+
 def class_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("sample_id"), F.col("label").cast("string").alias("label"))
 
@@ -129,6 +134,7 @@ DUCK = {
     "sign_ups": """SELECT c_custkey::BIGINT AS id, CASE WHEN c_custkey % 19 = 0 THEN 'X' ELSE c_name END AS full_name,
         CASE WHEN c_custkey % 17 = 0 THEN concat('user', c_custkey % 997) ELSE concat('user', c_custkey % 997, '@example.com') END AS email,
         (c_custkey % 13)::INT AS password_len, CASE WHEN c_custkey % 23 = 0 THEN 0 ELSE c_custkey % 13 END::INT AS confirm_len, c_custkey % 29 <> 0 AS terms FROM customer""",
+    "order_history": "SELECT o_orderkey::BIGINT AS id, o_custkey::BIGINT AS user_id, o_orderdate::TIMESTAMP AS created_at FROM orders",
     "class_samples": "SELECT vec_id AS sample_id, label::VARCHAR AS label FROM embeddings",
 }
 
