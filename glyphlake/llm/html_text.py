@@ -1,4 +1,4 @@
-"""HTML extraction by tag-path ratios: text and punctuation per tag path, smoothed, fused and thresholded."""
+"""HTML extraction by tag-path ratios: text and punctuation per tag path, smoothed, fused and thresholded; containers of good paths stay whole."""
 
 from __future__ import annotations
 
@@ -15,6 +15,7 @@ from glyphlake.llm.common import text_of
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?/][^>]*>|[^<]+|<""", re.S)
 TAIL = re.compile(r"<!--.*|<!\[CDATA\[.*|[^<]+|<", re.S)
+ID = re.compile(r"\sid\s*=", re.I)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 #: Fixed lists of HTML: elements without content, with raw text, and those that stand in a line of text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -33,17 +34,28 @@ SIDE_ROLES = frozenset("navigation banner contentinfo complementary search form
 SIDE_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert alerts popup modal overlay "
     "newsletter subscribe subscription signup sidebar sidebars widget widgets related recommended recommendations share sharing social comment comments reply replies respond discussion disqus "
-    "breadcrumb breadcrumbs menu menus nav navbar navigation footer header masthead toolbar pagination pager login search skip copyright legal".split()
+    "breadcrumb breadcrumbs menu menus nav navbar navigation footer header masthead toolbar pagination pager login skip copyright".split()
 )
+#: Elements of running text: their names say nothing, and they belong to the container that they stand in.
+TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 hgroup ul ol li dl dt dd blockquote pre table caption colgroup thead tbody tfoot tr td th figure figcaption address details summary center ruby".split())
+LISTS = frozenset(("ul", "ol"))
+#: A cell that holds one of these is a part of the page's layout, and a container.
+IN_LAYOUT = frozenset("p h1 h2 h3 h4 h5 h6 div section article main ul ol table".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 MAIN_TAGS = frozenset(("article", "main"))
 MARKS = re.compile(r"[.,;:!?…。、，！？；：]")
 #: Neighbours on each side whose ratios smooth a block's own.
 REACH = 2
-#: A block is content if its fused ratio, times its prior, is at least this share of the page's mean.
+#: A path is good if its fused ratio, times its prior, is at least this share of the page's mean.
 SHARE = 0.35
+#: A container stays if this share of its text lies on good paths, and its kind has this share of the text of the largest kind.
+GOOD, MASS = 0.5, 0.1
+#: Beside a named article, a kind of containers stays if it has so many times the article's text: the name stands on teasers then.
+RIVAL = 4
 #: Priors of blocks inside and outside of the article that a page names (1 on other pages), and of those under a doubtful name.
 INSIDE, OUTSIDE, DOUBT = 8.0, 0.125, 0.5
+#: Links alone are a menu if they have fewer words than this each, or if a list has this many of them, without a mark.
+MENU_WORDS, MENU_ITEMS = 3, 4
 #: How a class or id speaks of an element: not at all, by a part of a name, by a whole one; OUT takes the element out whatever its names.
 PLAIN, PART, WHOLE, OUT = range(4)
 
@@ -54,12 +66,13 @@ class Block:
     parent: int
     main: bool
     around: Element | None
+    element: Element | None
     parts: list = field(default_factory=list)
     linked: int = 0
     text: str = ""
 
 
-@dataclass
+@dataclass(eq=False)
 class Element:
     """An element: its tag, what its names say, the number of its tag path, and the next one around it whose names say something."""
 
@@ -67,11 +80,18 @@ class Element:
     side: int
     path: int
     around: Element | None
+    outer: Element | None = None
+    #: Whether text in it is decided on together, unless a container lies in between; whether it has an id, as parts of a text that are linked to.
+    container: bool = False
+    anchor: bool = False
     #: Whether it is or holds an ``article`` or ``main``; whether it or one around it takes its text out, or makes it doubtful.
     named: bool = False
     out: bool = False
     doubtful: bool = False
 
+    def doubtful_names(self) -> bool:
+        return self.side != PLAIN or bool(self.around and self.around.doubtful)
+
 
 def _side(tag: str, attributes: str) -> int:
     if tag in SIDE_TAGS:
@@ -79,11 +99,12 @@ def _side(tag: str, attributes: str) -> int:
     if not attributes or tag in ("html", "body") or tag in IN_LINE:
         return PLAIN
     found = PLAIN
+    named = tag not in TEXT_TAGS or tag in LISTS or tag == "table"
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "role" and value in SIDE_ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
             return OUT
-        if name in ("class", "id"):
+        if named and name in ("class", "id"):
             if not SIDE_NAMES.isdisjoint(value.split()):
                 found = WHOLE
             elif not SIDE_NAMES.isdisjoint(re.split(r"[^a-z0-9]+", value)):
@@ -102,6 +123,7 @@ def blocks_of(page: str) -> list[Block]:
     """Blocks of text outside page furniture, in order, with their root-to-leaf tag paths."""
     blocks: list[Block] = []
     stack: list[Element] = []
+    elements: list[Element] = []  # in the order of their tags, so outer ones come first
     around: list[Element] = []  # those of the stack whose names say something
     said: list[Element] = []  # all such elements of the page, outer ones first
     open_: Counter = Counter()  # how many of each tag are open
@@ -141,7 +163,7 @@ def blocks_of(page: str) -> list[Block]:
                 if not text.strip():
                     continue
                 path = stack[-1].path if stack else 0
-                current = Block(path, parents[path], main > 0, around[-1] if around else None)
+                current = Block(path, parents[path], main > 0, around[-1] if around else None, stack[-1] if stack else None)
                 blocks.append(current)
             current.parts.append(text)
             if links:
@@ -182,8 +204,13 @@ def blocks_of(page: str) -> list[Block]:
             path = paths.setdefault((path, tag), len(parents))
             if path == len(parents):
                 parents.append(stack[-1].path if stack else 0)
-        own = Element(tag, _side(tag, attributes), path, around[-1] if around else None)
+        own = Element(tag, _side(tag, attributes), path, around[-1] if around else None, stack[-1] if stack else None)
+        own.container = tag not in TEXT_TAGS and tag not in IN_LINE
+        own.anchor = own.container and bool(ID.search(attributes))
+        if tag in IN_LAYOUT and stack and stack[-1].tag in ("td", "th"):
+            stack[-1].container = True
         stack.append(own)
+        elements.append(own)
         open_[tag] += 1
         side += own.side == OUT
         if own.side:
@@ -198,32 +225,74 @@ def blocks_of(page: str) -> list[Block]:
                 e.named = True
     for e in said:
         _judge(e)
+    for e in elements:  # where e is no container, its own one
+        e.outer = e.outer if e.outer is None or e.outer.container else e.outer.outer
     for b in blocks:
         b.text = " ".join(html.unescape("".join(b.parts)).split())
     return [b for b in blocks if b.text and not (b.around and b.around.out)]
 
 
-def content_of(page: str | None) -> str:
-    """Main text of a page: content blocks joined by line feeds; '' if there is none."""
-    blocks = [b for b in blocks_of(page or "") if not _is_menu(b)]
-    if not blocks:
-        return ""
-    named = any(b.main for b in blocks)
+def container_of(b: Block) -> Element | None:
+    e = b.element
+    return e if e is None or e.container else e.outer
+
+
+def fused_ratios(blocks: list[Block]) -> list[float]:
+    """For each block the mean text and marks of its tag path, links left out, smoothed along its neighbours and fused."""
     totals: dict[int, list[int]] = {}
     for b in blocks:
         t = totals.setdefault(b.path, [0, 0, 0])
-        t[0] += len(b.text)
-        t[1] += len(MARKS.findall(b.text))
+        t[0] += len(b.text) * (0 if _only_links(b) else 1)
+        t[1] += len(MARKS.findall(b.text)) * (0 if _only_links(b) else 1)
         t[2] += 1
     text_ratio = [totals[b.path][0] / totals[b.path][2] for b in blocks]
     mark_ratio = [totals[b.path][1] / totals[b.path][2] for b in blocks]
-    fused = [a * (1 + p) for a, p in zip(_smooth(blocks, text_ratio), _smooth(blocks, mark_ratio), strict=True)]
+    return [a * (1 + p) for a, p in zip(_smooth(blocks, text_ratio), _smooth(blocks, mark_ratio), strict=True)]
+
+
+def good_paths(blocks: list[Block]) -> list[bool]:
+    """Whether each block lies on a good path: its ratio, times its prior, against the mean of the page, or of the article that it names."""
+    fused = fused_ratios(blocks)
+    named = any(b.main for b in blocks)
     doubt = [DOUBT if b.around and b.around.doubtful else 1.0 for b in blocks]
     own = [x * d for b, x, d in zip(blocks, fused, doubt, strict=True) if b.main or not named]
     least = SHARE * sum(own) / len(own)
     # A doubtful block has no gain from the article that it lies in.
     prior = [d * (OUTSIDE if named and not b.main else INSIDE if named and d == 1.0 else 1.0) for b, d in zip(blocks, doubt, strict=True)]
-    return "\n".join(b.text for b, x, w in zip(blocks, fused, prior, strict=True) if x * w >= least)
+    return [x * w >= least for x, w in zip(fused, prior, strict=True)]
+
+
+def content_of(page: str | None) -> str:
+    """Main text of a page: content blocks joined by line feeds; '' if there is none.
+
+    Good paths decide on containers: one whose text lies on good paths for the most part stays whole, with its short items, cells and
+    references, and one whose text does not goes whole. A container in one that stays is kept too if it has a sentence's marks or an id.
+    """
+    blocks = blocks_of(page or "")
+    if not blocks:
+        return ""
+    good = good_paths(blocks)
+    # Text of each container, and the part of it on good paths; text of all containers with one tag path.
+    texts: dict[Element | None, list[int]] = {}
+    kinds: Counter = Counter()
+    for b, g in zip(blocks, good, strict=True):
+        t = texts.setdefault(container_of(b), [0, 0, 0])
+        t[0] += len(b.text)
+        t[1] += len(b.text) * g
+        t[2] += len(MARKS.findall(b.text)) * (not _only_links(b))
+        kinds[_kind(container_of(b))] += len(b.text) * g
+    inside = {container_of(b) for b in blocks if b.main}
+    article = sum(len(b.text) for b in blocks if b.main)
+    largest = max(kinds.values())
+    least = {e: MASS * largest if e in inside else max(MASS * largest, RIVAL * article) for e in texts}
+    stays = {e: seen[1] > 0 and seen[1] >= GOOD * seen[0] and kinds[_kind(e)] >= least[e] for e, seen in texts.items()}
+    helped = {e for e, seen in texts.items() if e and not stays[e] and stays.get(e.outer) and (seen[2] or e.anchor) and not e.doubtful_names()}
+    menus = _menus(blocks)
+    return "\n".join(b.text for i, b in enumerate(blocks) if (stays[container_of(b)] or container_of(b) in helped) and i not in menus)
+
+
+def _kind(e: Element | None) -> int:
+    return -1 if e is None else e.path
 
 
 def _smooth(blocks: list[Block], ratios: list[float]) -> list[float]:
@@ -236,8 +305,16 @@ def _smooth(blocks: list[Block], ratios: list[float]) -> list[float]:
     return out
 
 
-def _is_menu(b: Block) -> bool:
-    return b.linked * 10 > 8 * sum(map(len, b.parts)) and not re.search(r"[.!?…]\s*$", b.text)
+def _only_links(b: Block) -> bool:
+    return b.linked * 10 > 8 * sum(map(len, b.parts))
+
+
+def _menus(blocks: list[Block]) -> set[int]:
+    """Blocks that are links alone without a mark: of a word or two, or items of a list of such links."""
+    found = {i for i, b in enumerate(blocks) if _only_links(b) and not MARKS.search(b.text)}
+    lists = Counter((container_of(blocks[i]), blocks[i].path) for i in found if blocks[i].text)
+    every = Counter((container_of(b), b.path) for b in blocks)
+    return {i for i in found if len(blocks[i].text.split()) < MENU_WORDS or lists[k := (container_of(blocks[i]), blocks[i].path)] >= MENU_ITEMS and lists[k] == every[k]}
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
