@@ -24,7 +24,7 @@ def trigrams(c: Column) -> Column:
         ends = F.sequence(F.lit(GRAM), F.size(chars))
         return F.when(F.size(chars) >= GRAM, F.array_distinct(F.transform(ends, lambda i: F.array_join(F.slice(chars, i - GRAM + 1, GRAM), "")))).otherwise(F.array().cast("array<string>"))
 
-    return let(F.split(F.lower(F.coalesce(c, F.lit(""))), ""), lambda chars: runs(F.filter(chars, lambda x: x != "")))
+    return let(F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), ""), lambda x: x != ""), runs)
 
 
 def postings(table: DataFrame, columns: tuple[str, ...] = COLUMNS) -> DataFrame:

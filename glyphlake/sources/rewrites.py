@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphlake.operators import history, ingest
-from glyphlake.sources.shared import stored
+from glyphlake.sources.shared import remove, stored
 
 #: The column of the layout, as in ``write_recognitions``; rows without a date lie under Hive's name for null.
 DAY, NO_DAY = "day", "__HIVE_DEFAULT_PARTITION__"
@@ -36,15 +36,10 @@ def _rewrite(spark: SparkSession, path: str, hit: Callable[[DataFrame], DataFram
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(DAY).parquet(path)
     left = {r[DAY] for r in new.select(DAY).distinct().collect()}
     for day in (d for d in days if d not in left):
-        _remove(spark, f"{path}/{DAY}={NO_DAY if day is None else day}")
+        remove(spark, f"{path}/{DAY}={NO_DAY if day is None else day}")
     return sorted(NO_DAY if d is None else str(d) for d in days)
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-
-
 def delete_stored(spark: SparkSession, path: str, ids: DataFrame) -> list[str]:
     """Delete the rows named by (id, user_id) from the table at ``path``; another user's rows stay. The days that were rewritten."""
     wanted = ids.select("id", "user_id").distinct()

@@ -21,3 +21,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/glyphlake/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _place(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the table's own file system, if it is there."""
+    system, place = _place(spark, path)
+    system.delete(place, True)
+
+
+def numbered(spark: SparkSession, path: str, name: str) -> list[int]:
+    """The numbers of the finished folders ``name=<number>`` in ``path``, in order."""
+    system, place = _place(spark, path)
+    if not system.exists(place):
+        return []
+    found = [x.getPath() for x in system.listStatus(place)]
+    done = [x.getName().split("=")[1] for x in found if x.getName().startswith(f"{name}=") and system.exists(spark._jvm.org.apache.hadoop.fs.Path(x, "_SUCCESS"))]
+    return sorted(map(int, done))
