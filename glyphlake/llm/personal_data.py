@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import json
 import math
 import re
 from collections import defaultdict
@@ -12,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphlake.llm.common import fresh, stored, text_of
+from glyphlake.llm.common import fresh, stored, text_of, tokenizer_path
 
 #: Kinds in the order in which spans with one start are listed; the first four are always kept.
 KINDS = ("email", "ip", "card", "phone", "secret", "iban", "national_id", "person")
@@ -26,6 +28,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 # Candidates of the other kinds.
 #: Any long run of token characters: keys and passwords, but digests, names of files and long words too, which the votes tell apart.
 TOKEN_RUN = re.compile(r"[A-Za-z0-9_+/-]{16,}")
+LETTERS = re.compile(r"[^\W\d_]+")
 #: Plain words, and forms that digests and identifiers have.
 WORD, DIGEST = re.compile(r"[A-Z]?[a-z]+|[A-Z]+"), re.compile(r"[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}", re.I)
 ASSIGN = r"(?:passw(?:or)?d|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)\s*[=:]\s*[\"']?"
@@ -67,10 +70,24 @@ PREFIXED = re.compile("(?<![A-Za-z0-9_+/-])(?:" + "|".join(map(re.escape, KEY_PR
 AGAINST = ("version", "isbn", "commit", "sha1", "sha256", "md5", "checksum", "digest", "uuid", "etag", "revision", "section", "page", "figure", "doi", "http", "chapter", "saint", "street")
 #: Yes, no, nothing to say.
 YES, NO, ABSTAIN = "1", "2", "0"
-LABELERS, FEATURES = 5, 9
+LABELERS = ("form", "gazetteer", "context", "shape", "counter", "lexicon", "assigned")
+FEATURES = 12
 THRESHOLD = 0.5
-#: How often a labeler is held to be right, with how much weight for each vote that it cast, and the prior of a candidate.
-RIGHT, TRUST, PRIOR = 0.8, 0.3, 0.4
+#: What is held of a labeler before any vote is seen, with the weight of so many spans: how often it is right when it speaks; and the
+#: prior of a candidate. The weight is fixed, so the votes of a corpus outweigh it.
+RIGHT, PRIOR, WEIGHT = 0.8, 0.4, 20.0
+#: The most that a labeler's silence may say, as a log ratio.
+SILENCE = 1.0
+VOCABULARY = "byte_bpe_50k.json"
+
+
+@functools.cache
+def lexicon(path: str) -> tuple[frozenset[str], frozenset[str]]:
+    """(words, names) of a public vocabulary: its entries of letters at a word's start in small letters, and those that it has with a capital only."""
+    with open(path, encoding="utf-8") as f:
+        entries = [x[1:] for x in json.load(f)["model"]["vocab"] if x.startswith("\u0120") and x[1:].isalpha() and len(x) > 3]
+    words = frozenset(x for x in entries if x.islower())
+    return words, frozenset(x.lower() for x in entries if x.istitle() and x.lower() not in words)
 
 
 def luhn(digits: str) -> bool:
@@ -130,31 +147,49 @@ def _iban_sum(value: str) -> bool:
     return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
 
 
-def votes_of(kind: int, value: str, before: str) -> str:
-    """One vote per labeler: form, gazetteer, context, shape, counter-context."""
+def covered(value: str, words: frozenset[str]) -> float:
+    """The share of a value's letters that lie in words of the vocabulary, taken from the left, the longest first."""
+    letters = inside = 0
+    for run in LETTERS.findall(value):
+        letters += len(run)
+        low, at = run.lower(), 0
+        while at < len(low):
+            end = next((e for e in range(min(len(low), at + 14), at + 3, -1) if low[at:e] in words), None)
+            inside += (end or at) - at
+            at = end or at + 1
+    return inside / letters if letters else 0.0
+
+
+def votes_of(kind: int, value: str, before: str, words: frozenset[str], names: frozenset[str]) -> str:
+    """One vote of each labeler. They look at overlapping things and may well disagree; none is trusted as it stands."""
     name = KINDS[kind]
     digits, letters = sum(c.isdigit() for c in value), sum(c.isalpha() for c in value)
-    form = gazetteer = ABSTAIN
+    form = gazetteer = lexical = assigned = ABSTAIN
     shape = YES if len(set(value)) >= 8 else NO
     if name == "secret":
         prefix = next((p for p in KEY_PREFIXES if value.startswith(p)), "")
         rest = value[len(prefix) :]
         plain = bool(JOINED.fullmatch(rest)) or (len(rest) < KEY_REST if prefix else bool(WORD.fullmatch(value)))
         cases = any(c.islower() for c in value) + any(c.isupper() for c in value) + (digits > 0)
-        form = NO if plain or not letters else ABSTAIN if DIGEST.fullmatch(value) else YES if prefix or cases == 3 and len(value) >= 20 else ABSTAIN
+        assigned = YES if ASSIGNS.search(before) else ABSTAIN
+        form = NO if plain or not letters or DIGEST.fullmatch(value) else YES if prefix or cases == 3 and len(value) >= 20 else ABSTAIN
         gazetteer = YES if prefix and not plain else ABSTAIN
-        shape = NO if plain or not letters or len(set(value)) < 8 else YES if digits >= 3 and letters >= 3 and not DIGEST.fullmatch(value) else ABSTAIN
-        if ASSIGNS.search(before):
-            form, shape = YES, ABSTAIN if shape == NO else shape
+        shape = NO if letters < 3 or len(set(value)) < 8 else YES if digits >= 3 else NO if not digits else ABSTAIN
+        share = covered(value, words) if letters else 0.0
+        lexical = NO if share >= 0.6 or bool(WORD.fullmatch(value)) or not letters else YES if share < 0.3 and letters >= 3 else ABSTAIN
+        if assigned == YES:  # a password may look like anything
+            form, shape = ABSTAIN if form == NO else form, ABSTAIN if shape == NO else shape
     elif name == "iban":
         form = YES if _iban_sum(value) else NO
         gazetteer = NO if value[:2] not in IBAN_COUNTRIES else YES if form == YES else ABSTAIN
-        shape = ABSTAIN
+        shape = YES if len(value.replace(" ", "")) >= 15 else NO
     elif name == "national_id":
         form = NO if value[:3] in ("000", "666") or value[0] == "9" or value[4:6] == "00" or value[7:] == "0000" else YES
         shape = ABSTAIN
     elif name == "person":
-        gazetteer = YES if value.split()[0].lower() in GIVEN_NAMES else NO
+        parts = [w.lower() for w in value.split()]
+        gazetteer = YES if parts[0] in GIVEN_NAMES else NO
+        lexical = NO if any(w in words for w in parts) or len(set(parts)) < len(parts) else YES if all(w in names for w in parts) else ABSTAIN
         form = YES if TITLED.search(before) else ABSTAIN
         # Capitals at the start of a sentence say little; in the midst of one they speak for a name.
         shape = ABSTAIN if " " in value and before.rstrip()[-1:].isalnum() else NO
@@ -165,47 +200,68 @@ def votes_of(kind: int, value: str, before: str) -> str:
     low = before.lower()
     context = YES if any(c in low for c in CUES[name]) else ABSTAIN
     against = NO if any(c in low for c in AGAINST) else ABSTAIN
-    return form + gazetteer + context + shape + against
+    return form + gazetteer + context + shape + against + lexical + assigned
 
 
-def features_of(kind: int, value: str, before: str, votes: str) -> str:
-    """Binned features of a span for the final classifier: of its letters, of what stands before it, and its form and gazetteer votes."""
+def features_of(kind: int, value: str, before: str, words: frozenset[str], names: frozenset[str]) -> str:
+    """Binned measures of a span for the final classifier: of its letters, and of what stands before it. No vote is among them."""
     n = len(value)
-    low = before.lower()
+    low, letters = before.lower(), [c for c in value.lower() if c.isalpha()]
+    share = lambda x: min(3, 4 * x // n)
+    sort = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.isalpha() else "-" for c in value]
+    last = before.split()[-1] if before.split() else ""
+    if KINDS[kind] == "person":
+        own = [w.lower() for w in value.split()]
+        known = 3 if all(w in names for w in own) else 2 if own[0] in names else 1 if not any(w in words for w in own) else 0
+    elif KINDS[kind] == "iban":
+        known = int(_iban_sum(value))
+    else:
+        known = min(3, int(4 * covered(value, words)))
     return "".join(
         map(
             str,
             (
                 min(3, n // 12),
-                min(3, 4 * sum(c.isdigit() for c in value) // n),
-                min(3, 4 * len(set(value)) // n),
-                min(3, 4 * sum(c.isupper() for c in value) // n),
-                int(before[-1:] in "=\"':"),
+                share(sum(k == "d" for k in sort)),
+                share(len(set(value))),
+                share(sum(k == "u" for k in sort)),
+                share(sum(k == "-" for k in sort) * 4),
+                share(sum(x != y for x, y in zip(sort, sort[1:], strict=False)) * 2),
+                min(3, 6 * sum(c in "aeiouyäöüéèêáíóú" for c in letters) // len(letters)) if letters else 0,
+                known,
+                # The word before: its end, if it is a sign, or whether it is a short one with a capital, as titles are.
+                2 if last[-1:] == ":" else 1 if before[-1:] in "=\"'" else 3 if last[:1].isupper() and len(last) <= 5 else 0,
                 int(any(c in low for c in CUES[KINDS[kind]])),
                 int(any(c in low for c in AGAINST)),
+                int(before.rstrip()[-1:].isalnum()),
             ),
         )
-    ) + votes[:2]
+    )
 
 
-def candidates(text: str | None) -> list[tuple[int, int, int, str, str]]:
+def candidates(text: str | None, vocabulary: str | None = None) -> list[tuple[int, int, int, str, str]]:
     """(kind, start, end, votes, features) of all candidates, by start and kind."""
     text = text or ""
+    words, names = lexicon(vocabulary or tokenizer_path(VOCABULARY))
     out = []
     for kind, start, end in sorted({*base_spans(text), *other_spans(text)}, key=lambda s: (s[1], s[0], s[2])):
         value, before = text[start:end], text[max(0, start - 32) : start]
-        votes = votes_of(kind, value, before)
-        out.append((kind, start, end, votes, features_of(kind, value, before, votes)))
+        if kind < BASE:  # these stay whatever is said of them
+            out.append((kind, start, end, ABSTAIN * len(LABELERS), "0" * FEATURES))
+        else:
+            out.append((kind, start, end, votes_of(kind, value, before, words, names), features_of(kind, value, before, words, names)))
     return out
 
 
 SPAN = "array<struct<kind:int,start:int,end:int,votes:string,features:string>>"
 
 
-def candidate_column(text: Column) -> Column:
+def candidate_column(text: Column, vocabulary: str | None = None) -> Column:
+    vocabulary = vocabulary or tokenizer_path(VOCABULARY)
+
     @F.pandas_udf(SPAN)
     def find(texts: pd.Series) -> pd.Series:
-        return pd.Series([[dict(zip(("kind", "start", "end", "votes", "features"), c, strict=True)) for c in candidates(t)] for t in texts])
+        return pd.Series([[dict(zip(("kind", "start", "end", "votes", "features"), c, strict=True)) for c in candidates(t, vocabulary)] for t in texts])
 
     return find(text)
 
@@ -213,41 +269,76 @@ def candidate_column(text: Column) -> Column:
 # ---- label model and classifier: both learn from counts of all candidates
 
 
-def reliabilities(counts: dict[tuple[int, str], int], rounds: int = 40) -> dict[tuple[int, str], float]:
-    """EM over vote patterns of each kind: the chance that a pattern's spans are personal data.
+def majority(votes: str) -> bool:
+    """What a plain count of votes says."""
+    return votes.count(YES) > votes.count(NO)
+
 
-    A labeler has, for each class, a chance of saying yes when it speaks; silence says nothing. Rounds alternate between
-    these chances and the posteriors, starting from the share of yes among votes cast. Each labeler is held to be right more
-    often than not by TRUST votes for each that it cast, which also tells the two classes apart where labelers
-    of a kind all say the same. The prior is fixed, as the share of personal data among candidates depends on how wide their patterns are.
+def label_model(counts: dict[tuple[int, str], int], rounds: int = 60) -> tuple[dict[tuple[int, str], float], dict[tuple[int, str], tuple[float, float]]]:
+    """EM over vote patterns of each kind: (the chance that a pattern's spans are personal data, each labeler's reliability).
+
+    A labeler has, for each class, a chance of yes, no and silence. Rounds alternate between these chances and the posteriors, which
+    start from the share of yes among votes cast. What is held beforehand weighs as much as WEIGHT spans of each class: in a
+    corpus the agreement of labelers decides, and one that others contradict loses its say. One that would speak against what it says
+    is given none. A reliability is the chance that a yes is said rather of personal data, and a no rather of other spans, both classes
+    being equally common (0.5: it says nothing).
     """
     out: dict[tuple[int, str], float] = {}
+    trusted: dict[tuple[int, str], tuple[float, float]] = {}
     for kind in sorted({k for k, _ in counts}):
         rows = sorted((v, n) for (k, v), n in counts.items() if k == kind)
         weight = np.array([n for _, n in rows], float)
         votes = np.array([[int(c) for c in v] for v, _ in rows])
-        yes, no = votes == 1, votes == 2
+        said = np.stack([votes == c for c in (0, 1, 2)], axis=2).astype(float)  # row, labeler, outcome
+        yes, no = said[:, :, 1], said[:, :, 2]
         post = (yes.sum(1) + 0.5) / (yes.sum(1) + no.sum(1) + 1.0)
+        silent = (weight[:, None] * said[:, :, 0]).sum(0) / weight.sum()
+        held = [np.stack([silent, (1 - silent) * r, (1 - silent) * (1 - r)], axis=1) * WEIGHT + 0.02 for r in (RIGHT, 1 - RIGHT)]
         for _ in range(rounds):
-            score = np.full(len(rows), math.log(PRIOR / (1 - PRIOR)))
-            for j in range(LABELERS):
-                said, agreed = yes[:, j] | no[:, j], yes[:, j]
-                trust = 1.0 + TRUST * float((weight * said).sum())
-                good = (trust * RIGHT + (weight * post * agreed).sum()) / (trust + (weight * post * said).sum())
-                bad = (trust * (1 - RIGHT) + (weight * (1 - post) * agreed).sum()) / (trust + (weight * (1 - post) * said).sum())
-                score += agreed * math.log(good / bad) + no[:, j] * math.log((1 - good) / (1 - bad))
+            rates = []
+            for prior, mass in zip(held, (post, 1 - post), strict=True):
+                seen = prior + ((weight * mass)[:, None, None] * said).sum(0)
+                rates.append(seen / seen.sum(1, keepdims=True))
+            ratio = np.log(rates[0] / rates[1])
+            ratio[:, 0] = np.clip(ratio[:, 0], -SILENCE, SILENCE)
+            ratio[:, 1], ratio[:, 2] = np.maximum(ratio[:, 1], 0), np.minimum(ratio[:, 2], 0)
+            share = (WEIGHT * PRIOR + (weight * post).sum()) / (WEIGHT + weight.sum())
+            score = math.log(share / (1 - share)) + (said * ratio).sum((1, 2))
             post = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
         out |= {(kind, v): float(p) for (v, _), p in zip(rows, post, strict=True)}
-    return out
+        right = 1 / (1 + np.exp(-np.abs(ratio[:, 1:])))
+        trusted |= {(kind, name): (float(right[j, 0]), float(right[j, 1])) for j, name in enumerate(LABELERS)}
+    return out, trusted
+
+
+def reliabilities(counts: dict[tuple[int, str], int]) -> dict[tuple[int, str], float]:
+    return label_model(counts)[0]
+
+
+class Classifier(dict):
+    """Chances by (kind, features), also of those that it was not fitted on."""
+
+    def __init__(self, theta: np.ndarray | None = None) -> None:
+        super().__init__()
+        self.theta = theta
+
+    def __missing__(self, key: tuple[int, str]) -> float:
+        score = 0.0 if self.theta is None else float(self.theta[_one_hot(*key)].sum())
+        self[key] = 0.0 if self.theta is None else 1 / (1 + math.exp(-max(-30.0, min(30.0, score))))
+        return self[key]
+
+    def __reduce__(self):
+        return Classifier, (self.theta,)
 
 
 def _one_hot(kind: int, features: str) -> list[int]:
-    own = [4 * i + int(c) for i, c in enumerate(features)]
-    return [kind, *(len(KINDS) + x for x in own)]
+    """Weights of a span: one of its kind, and one of each bin, which every kind has for itself."""
+    first = kind * (1 + 4 * FEATURES)
+    return [first, *(first + 1 + 4 * i + int(c) for i, c in enumerate(features))]
 
 
-def fit(counts: dict[tuple[int, str, str], int], rounds: int = 400) -> dict[tuple[int, str], float]:
-    """Logistic regression on soft labels: the chance of each (kind, features) seen in the counts."""
+def fit(counts: dict[tuple[int, str, str], int], rounds: int = 400) -> Classifier:
+    """Logistic regression of the label model's chances on the features of spans, for all kinds at once."""
     by_votes: dict[tuple[int, str], int] = defaultdict(int)
     for (kind, votes, _), n in counts.items():
         by_votes[kind, votes] += n
@@ -258,9 +349,9 @@ def fit(counts: dict[tuple[int, str, str], int], rounds: int = 400) -> dict[tupl
         row[0] += n
         row[1] += n * soft[kind, votes]
     if not rows:
-        return {}
+        return Classifier()
     keys = sorted(rows)
-    x = np.zeros((len(keys), len(KINDS) + 4 * FEATURES))
+    x = np.zeros((len(keys), len(KINDS) * (1 + 4 * FEATURES)))
     for i, key in enumerate(keys):
         x[i, _one_hot(*key)] = 1
     # Counts weigh by their root, so that a common form does not drown the rare ones.
@@ -276,18 +367,18 @@ def fit(counts: dict[tuple[int, str, str], int], rounds: int = 400) -> dict[tupl
         theta -= step
         if np.abs(step).max() < 1e-6:
             break
-    return {k: float(p) for k, p in zip(keys, 1 / (1 + np.exp(-x @ theta)), strict=True)}
+    return Classifier(theta)
 
 
-def learn(found: DataFrame, column: str = "spans") -> dict[tuple[int, str], float]:
+def learn(found: DataFrame, column: str = "spans") -> Classifier:
     """Fit on the candidates in ``column`` of all rows. What reaches the driver are counts of votes and binned features, bounded by the bins."""
-    spans = found.select(F.explode(column).alias("s")).groupBy("s.kind", "s.votes", "s.features").agg(F.count(F.lit(1)).alias("n"))
+    spans = found.select(F.explode(column).alias("s")).where(F.col("s.kind") >= BASE).groupBy("s.kind", "s.votes", "s.features").agg(F.count(F.lit(1)).alias("n"))
     return fit({(r["kind"], r["votes"], r["features"]): r["n"] for r in spans.collect()})
 
 
-def kept(spans, chance: dict[tuple[int, str], float]) -> list[tuple[int, int, int]]:
+def kept(spans, chance: Classifier) -> list[tuple[int, int, int]]:
     """Spans that stay: base kinds, and those that the classifier takes for personal data."""
-    return [(k, s, e) for k, s, e, _, f in spans if k < BASE or chance.get((k, f), 0.0) >= THRESHOLD]
+    return [(k, s, e) for k, s, e, _, f in spans if k < BASE or chance[k, f] >= THRESHOLD]
 
 
 def listed(spans) -> str:
