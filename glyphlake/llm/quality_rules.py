@@ -8,12 +8,18 @@ from pyspark.sql import functions as F
 from glyphlake.llm.common import let, text_of
 
 SYMBOLS = "#*$%&|<>"
-#: Phrases of page furniture; a short line that holds one is boilerplate.
+#: Phrases of page furniture in four languages; a short line that holds one is boilerplate.
 BOILERPLATE = (
     "cookie policy", "accept cookies", "privacy policy", "terms of use", "terms of service", "all rights reserved",
     "click here", "read more", "sign up", "log in", "subscribe to", "enable javascript", "lorem ipsum", "share this",
     "skip to content", "back to top", "related articles", "powered by",
+    "alle rechte vorbehalten", "cookies akzeptieren", "datenschutzerklärung", "allgemeine geschäftsbedingungen", "weiterlesen", "zum seitenanfang", "newsletter abonnieren",
+    "tous droits réservés", "accepter les cookies", "politique de confidentialité", "mentions légales", "lire la suite", "haut de page", "abonnez-vous",
+    "todos los derechos reservados", "aceptar cookies", "política de privacidad", "aviso legal", "leer más", "volver arriba", "suscríbete",
 )
+#: A bare line has at most so many words and characters and no mark at its end; so many in a row, blank lines aside, are navigation.
+BARE_WORDS, BARE_CHARS, BARE_RUN = 4, 40, 5
+END_MARK = r"[.!?…:;,。！？：；，、)\]\"'»”’]\s*$"
 #: Characters that a text may lose to the line rules, in hundredths.
 MAX_LOST = 40
 
@@ -62,7 +68,7 @@ def without(c: Column, pattern: str) -> Column:
 
 
 def line_fails(line: Column) -> Column:
-    """Whether a line is no prose: symbols, navigation, shouting, stuttering, loose fragments, boilerplate.
+    """Whether a line is no prose by itself: symbols, navigation, shouting, stuttering, loose fragments, boilerplate.
 
     Words are counted by single blanks; each rule first makes a cheap test that most lines don't pass.
     """
@@ -81,6 +87,25 @@ def _fails(line: Column, n: Column, chars: Column) -> Column:
     return symbols | bars | shout | loose | furniture | stutter
 
 
+def is_bare(line: Column) -> Column:
+    """Whether a line is a few words without an end, as items of menus and lists of links are."""
+    return (F.length(line) <= BARE_CHARS) & ~F.regexp_like(line, F.lit(END_MARK)) & (F.size(F.split(F.trim(line), r"\s+")) <= BARE_WORDS)
+
+
+def bare_runs(full: Column) -> Column:
+    """For each line '2' if it lies in a run of BARE_RUN bare lines or more; null if there is no such run.
+
+    One letter a line, and a pattern that looks at the letters around one: a line is judged by its neighbours in one pass.
+    """
+    ways = "|".join(f"(?<=1{{{k}}})1(?=1{{{BARE_RUN - 1 - k}}})" for k in range(BARE_RUN))
+    marks = F.array_join(F.transform(full, lambda x: F.when(is_bare(x), "1").otherwise("0")), "")
+    return let(marks, lambda m: F.when(F.contains(m, F.lit("1" * BARE_RUN)), F.split(F.regexp_replace(m, ways, "2"), "")))
+
+
+def _good(full: Column, runs: Column) -> Column:
+    return F.filter(full, lambda x, i: ~line_fails(x) & ~F.coalesce(F.get(runs, i) == "2", F.lit(False)))
+
+
 def rule_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_lost: int = MAX_LOST) -> DataFrame:
     """One row per row of ``docs``: counts, ``base_failed``, ``kept``, ``n_lost`` and ``n_failed_lines``.
 
@@ -95,7 +120,7 @@ def rule_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def _report(text: Column, max_lost: int) -> Column:
     def fields(lines: Column, words: Column) -> Column:
         def with_good(full: Column) -> Column:
-            return let(F.filter(full, lambda x: ~line_fails(x)), lambda good: out(full, good))
+            return let(bare_runs(full), lambda runs: let(_good(full, runs), lambda good: out(full, good)))
 
         def out(full: Column, good: Column) -> Column:
             return let(
@@ -129,7 +154,16 @@ def _length(strings: Column) -> Column:
 
 def clean_lines(text: Column) -> Column:
     """``text`` without its failing lines; the other lines, blank ones too, stay in order."""
-    return F.array_join(F.filter(F.split(text, "\n"), lambda x: ~line_fails(x)), "\n")
+    placed = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("i"), x.alias("x")))
+
+    def clean(every: Column) -> Column:
+        return let(F.filter(every, lambda p: F.regexp_like(p["x"], F.lit(r"[^\x20\x09-\x0D]"))), lambda full: let(bare_runs(F.transform(full, lambda p: p["x"])), lambda runs: left(every, full, runs)))
+
+    def left(every: Column, full: Column, runs: Column) -> Column:
+        failing = F.filter(full, lambda p, k: line_fails(p["x"]) | F.coalesce(F.get(runs, k) == "2", F.lit(False)))
+        return F.array_join(F.transform(F.array_except(every, failing), lambda p: p["x"]), "\n")
+
+    return let(placed, clean)
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_lost: int = MAX_LOST) -> DataFrame:

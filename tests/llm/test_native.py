@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -12,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glyphlake.llm import exact_dedup, licenses, quality_rules, sharding
-from tests.llm.brute import verdict
+from tests.llm.brute import clean, verdict
 
 
 def lower(t):
@@ -271,6 +272,31 @@ def test_line_rules(spark):
     assert df.first()[0].split("\n") == (good + good)[: len(bad)]
 
 
+MENU = ["Home", "Contact", *[f"Category number {i}" for i in range(7, 48)], "Impressum", "Mentions légales", "Log", "About us", "Map"]
+VERSE = "\n".join(f"The road{i} went {i} miles,\nand we{i} went{i} along{i} it\nuntil day{i} was{i} done." for i in range(80))
+
+
+def test_a_menu_page_is_rejected_and_short_prose_is_not(spark):
+    wrapped = "\n".join(f"we{i} walked along{i} the river{i} and\ntalked{i} of what{i} we{i} had{i} seen{i} there{i}" for i in range(30))
+    texts = ["\n".join(MENU), "\n\n".join(MENU), VERSE, wrapped, "\n".join(MENU[:4]) + "\n" + VERSE, "\n".join(MENU) + "\n" + VERSE]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    report = {r["doc_id"]: r for r in quality_rules.rule_report(df).collect()}
+    assert [(report[i]["n_failed_lines"], report[i]["kept"]) for i in range(6)] == [(48, False), (48, False), (0, True), (0, True), (0, True), (48, True)]
+    left = {r["doc_id"]: r["text"] for r in quality_rules.keep_good(df).collect()}
+    assert sorted(left) == [2, 3, 4, 5] and left[5] == VERSE and left[4] == texts[4]
+
+
+def test_line_rules_are_those_of_the_plain_version(spark):
+    draw = random.Random(6)
+    parts = ["Home", "About us", "", "  ", "A plain line of prose, with a mark.", "one two three four five", "Read more", "x | y | z", "Tous droits réservés 2024", "Say:", "東京", "東京。", "a  b", " pad ", "Menu\t", "end”"]
+    texts = ["\n".join(draw.choices(parts, k=draw.randint(0, 30))) for _ in range(600)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["t"] for r in df.select("doc_id", quality_rules.clean_lines(F.col("text")).alias("t")).collect()}
+    assert [got[i] for i in range(len(texts))] == [clean(t) for t in texts]
+    for r in quality_rules.rule_report(df).collect():
+        assert (r["n_failed_lines"], r["n_lost"], r["kept"]) == verdict(texts[r["doc_id"]], r["base_failed"])
+
+
 def test_rules_keep_columns(edge, none):
     assert quality_rules.keep_good(edge).columns == edge.columns
     assert quality_rules.keep_good(none).count() == 0 and quality_rules.rule_report(none).count() == 0

@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from glyphlake.llm import components, near_join, packing, personal_data, quality_rules
 from glyphlake.llm.common import stored, tokenizer_path
-from tests.llm.brute import line_fails
+from tests.llm.brute import clean
 
 
 def brute(texts: dict, width: int, percent: int) -> dict:
@@ -119,7 +119,7 @@ def test_pipeline_is_brute_force(spark, sf_dir):
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
     good = {r["doc_id"] for r in quality_rules.rule_report(documents).where("kept").collect()}
     texts = {r["doc_id"]: r["text"] for r in documents.collect() if r["doc_id"] in good}
-    texts = {i: "\n".join(x for x in t.split("\n") if not line_fails(x)) for i, t in texts.items()}
+    texts = {i: clean(t) for i, t in texts.items()}
     last = {}
     for i in sorted(texts):
         last["".join(c.lower() if "A" <= c <= "Z" else c for c in texts[i])] = i
