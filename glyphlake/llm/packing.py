@@ -242,12 +242,18 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
         "doc_id", (F.col("k") * F.lit(capacity).cast("long")).alias("start"), F.lit(capacity).cast("long").alias("length"), "ids_crc32", "doc_tokens",
         (F.lit(sequences).cast("long") + F.col("rank") + F.col("k")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"),
     )
-    # Places: as many rows as the patterns have classes, bounded by the grid and not by the documents.
-    table = spark.createDataFrame(places, "class int, from_rank long, to_rank long, pieces long, first_sequence long")
-    at = F.col("rank") - F.col("from_rank")
-    placed = ranked.where("class > 0").join(F.broadcast(table), "class").where("rank >= from_rank AND rank < to_rank").select(
+    # Places: as many as the patterns have classes, bounded by the grid and not by the documents; those of a class are one array, in the
+    # order of their ranks, in which a row looks up its own.
+    by_size: dict[int, list[tuple]] = {}
+    for size, *place in places:
+        by_size.setdefault(size, []).append(tuple(place))
+    table = spark.createDataFrame(sorted(by_size.items()), "class int, places array<struct<from_rank:long,to_rank:long,pieces:long,first_sequence:long>>")
+    mine = F.element_at("places", F.size(F.filter("places", lambda x: x["from_rank"] <= F.col("rank"))))
+    found = ranked.where("class > 0").join(F.broadcast(table), "class").withColumn("place", mine).drop("places")
+    at, pieces = F.col("rank") - F.col("place.from_rank"), F.col("place.pieces")
+    placed = found.select(
         "doc_id", (F.col("doc_tokens") - rest).alias("start"), rest.cast("long").alias("length"), F.element_at("crcs", -1).alias("ids_crc32"), "doc_tokens",
-        (F.col("first_sequence") + F.floor(at / F.col("pieces"))).alias("sequence_id"), "class", F.pmod(at, F.col("pieces")).alias("turn"),
+        (F.col("place.first_sequence") + F.floor(at / pieces)).alias("sequence_id"), "class", F.pmod(at, pieces).alias("turn"),
     )
     along = Window.partitionBy("sequence_id").orderBy(F.desc("class"), "turn").rowsBetween(Window.unboundedPreceding, -1)
     mixed = placed.withColumn("offset", F.coalesce(F.sum("length").over(along), F.lit(0))).drop("class", "turn")
