@@ -20,7 +20,7 @@ FILTER_BITS, CLASS_BITS, PARITY_WORDS = 26, 40, 8
 #: Tokens by which an extended prefix is longer than COMBINED prefixes, so that no rounding of sizes breaks all of its runs.
 SLACK = 2
 #: Bits of the filter of rows whose sets are fetched; parts that the rows of a large component are dealt to.
-MIN_ID_BITS, MAX_ID_BITS, SALTS = 20, 30, 16
+MIN_ID_BITS, MAX_ID_BITS, SALTS = 20, 24, 16
 #: Draws of a pivot for each key; classes of keys whose smallest ones are kept.
 PIVOTS, KEY_CLASSES = 3, 8
 #: Documents for each range of tokens when counting; tokens that a task counts at once.
@@ -292,10 +292,18 @@ def _some_ids(ids: DataFrame, bits: int) -> np.ndarray:
 def _fetch(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """Whole sets of the ``wanted`` classes (``c, doc_id, s, s2``): a filter on ids, sized by their number, passes few other rows, and a join on
     the sets' names drops those. Rows with a null id, which may be all that a class has, pass the filter.
+
+    The filter is held by the driver and by each task, so it has MAX_ID_BITS at most; more ids are joined with the rows instead, which
+    shuffles the texts once.
     """
     ids = wanted.where("doc_id IS NOT NULL")
-    bits = min(MAX_ID_BITS, max(MIN_ID_BITS, (8 * ids.count()).bit_length()))
-    held = _some_ids(ids, bits)
+    bits = max(MIN_ID_BITS, (8 * ids.count()).bit_length())
+    if bits > MAX_ID_BITS:
+        named = ids.select("doc_id").distinct()
+        texts = texts.where("doc_id IS NULL").unionByName(texts.join(named.hint("merge"), "doc_id", "left_semi"))
+        bits, held = 6, np.full(1, -1, np.int64)  # passes all
+    else:
+        held = _some_ids(ids, bits)
 
     def run(batches):
         import pandas as pd
