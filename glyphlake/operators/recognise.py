@@ -12,31 +12,63 @@ from pyspark.sql import functions as F
 FALLBACK_TEXT, FALLBACK_CONFIDENCE = "नमूना पाठ", 0.95
 
 
-def recognise(df: DataFrame, load: Callable[[], Callable] | None, column: str = "content", fallback: str = FALLBACK_TEXT) -> DataFrame:
+#: Values that a recogniser gets at once.
+BATCH = 64
+FOUND = ["text", "confidence", "model_simulated", "error"]
+
+
+def _answer(found: dict) -> tuple:
+    return found["text"], float(found["confidence"]), False, None
+
+
+def _answers(predict, values: list, fallback: str) -> list[tuple]:
+    """An answer for each value. A batch that fails, or has another number of answers, is tried again value by value."""
+    if predict is None:
+        return [(fallback, FALLBACK_CONFIDENCE, True, None)] * len(values)
+    many = getattr(predict, "predict_batch", None)
+    if many is not None:
+        try:
+            found = [_answer(x) for x in many(values)]
+            if len(found) == len(values):
+                return found
+        except Exception:  # noqa: BLE001, S110  which value it was is found out below
+            pass
+    out = []
+    for value in values:
+        try:
+            found = predict(value) if callable(predict) else many([value])[0]
+            out.append(_answer(found))
+        except Exception as e:  # noqa: BLE001  a page's error is data
+            out.append((fallback, 0.0, False, f"{type(e).__name__}: {e}"))
+    return out
+
+
+def recognise(df: DataFrame, load: Callable[[], Callable] | None, column: str = "content", fallback: str = FALLBACK_TEXT, batch_size: int = BATCH, profile=None) -> DataFrame:
     """``df`` with ``text, confidence, model_simulated, error``.
 
-    ``load()`` gives ``predict(value) -> {"text", "confidence"}`` and is called once a task. Without a loader the
-    fallback answers with confidence 0.95 and is marked simulated; a page that fails gets
-    the fallback with confidence 0 and its error, and the job goes on.
+    ``load()`` gives ``predict(value) -> {"text", "confidence"}``, or an object whose ``predict_batch(values)`` gives a list of these
+    for ``batch_size`` values, and is called once a task. Without a loader the fallback answers with confidence 0.95 and is marked
+    simulated; a page that fails gets the fallback with confidence 0 and its error, and the job goes on. ``profile`` is
+    the resource profile of the stage (an accelerator for each task, say).
     """
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields] + ["text string", "confidence double", "model_simulated boolean", "error string"])
+    return _run(df, [(None, load)], column, fallback, batch_size, profile)
+
+
+def _run(df: DataFrame, models: list[tuple[str | None, Callable | None]], column: str, fallback: str, batch_size: int, profile) -> DataFrame:
+    named = models[0][0] is not None
+    added = ["text string", "confidence double", "model_simulated boolean", "error string", *(["model string"] if named else [])]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields] + added)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        predict = load() if load is not None else None
+        loaded = [(name, load() if load is not None else None) for name, load in models]
         for batch in batches:
-            out = []
-            for value in batch[column]:
-                if predict is None:
-                    out.append((fallback, FALLBACK_CONFIDENCE, True, None))
-                    continue
-                try:
-                    found = predict(value)
-                    out.append((found["text"], float(found["confidence"]), False, None))
-                except Exception as e:  # noqa: BLE001  a page's error is data
-                    out.append((fallback, 0.0, False, f"{type(e).__name__}: {e}"))
-            yield pd.concat([batch.reset_index(drop=True), pd.DataFrame(out, columns=["text", "confidence", "model_simulated", "error"])], axis=1)
+            for at in range(0, len(batch), batch_size):
+                part = batch.iloc[at : at + batch_size].reset_index(drop=True)
+                for name, predict in loaded:
+                    found = pd.DataFrame(_answers(predict, list(part[column]), fallback), columns=FOUND)
+                    yield pd.concat([part, found.assign(model=name) if named else found], axis=1)
 
-    return df.mapInPandas(run, schema)
+    return df.mapInPandas(run, schema, profile=profile)
 
 
 def choose_engine(word_level: Callable | None, char_level: Callable | None) -> Callable | None:
@@ -44,16 +76,32 @@ def choose_engine(word_level: Callable | None, char_level: Callable | None) -> C
     return word_level if word_level is not None else char_level
 
 
+#: Bytes and pages after which pages of a file go on as a batch.
+PAGE_BYTES, PAGE_ROWS = 16 << 20, 1024
+
+
+def page_batches(files: Iterator[tuple], splitter: Callable, most_bytes: int = PAGE_BYTES, most_rows: int = PAGE_ROWS) -> Iterator[list[tuple]]:
+    """Lists of (key, number, page) of (key, file) in order: a splitter that yields its pages is asked for no more than a list holds."""
+    held, size = [], 0
+    for key, value in files:
+        for number, page in enumerate(splitter(value), 1):
+            held.append((key, number, page))
+            size += len(page) if hasattr(page, "__len__") else 64
+            if size >= most_bytes or len(held) >= most_rows:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
 def fan_out_pages(df: DataFrame, splitter: Callable, key: str, column: str = "content") -> DataFrame:
-    """One row per page, numbered from 1: ``splitter(value)`` yields the pages of a file."""
+    """One row per page, numbered from 1: ``splitter(value)`` yields the pages of a file, of which a task holds some megabytes at a time."""
     key_type = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for k, value in zip(batch[key], batch[column], strict=True):
-                pages = [(k, i, p) for i, p in enumerate(splitter(value), 1)]
-                if pages:
-                    yield pd.DataFrame(pages, columns=[key, "page", "content"])
+        files = ((k, value) for batch in batches for k, value in zip(batch[key], batch[column], strict=True))
+        for pages in page_batches(files, splitter):
+            yield pd.DataFrame(pages, columns=[key, "page", "content"])
 
     return df.select(key, column).mapInPandas(run, f"`{key}` {key_type}, page int, content {df.schema[column].dataType.simpleString()}")
 
@@ -63,13 +111,9 @@ def text_pages(df: DataFrame, key: str, column: str = "text", separator: str = "
     return df.select(key, F.posexplode(F.split(column, separator)).alias("at", "content")).select(key, (F.col("at") + 1).alias("page"), "content")
 
 
-def run_models(df: DataFrame, loaders: dict[str, Callable | None], column: str = "content") -> DataFrame:
-    """Every model over the same input, one row for each."""
-    parts = [recognise(df, load, column).withColumn("model", F.lit(name)) for name, load in loaders.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def run_models(df: DataFrame, loaders: dict[str, Callable | None], column: str = "content", batch_size: int = BATCH, profile=None) -> DataFrame:
+    """Every model over the same input, one row for each: the input is read once, and each batch goes through all models."""
+    return _run(df, list(loaders.items()), column, FALLBACK_TEXT, batch_size, profile)
 
 
 def map_directory(files: DataFrame, kernel: Callable[[bytes], bytes]) -> DataFrame:
