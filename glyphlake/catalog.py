@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from glyphlake.operators.dashboard import confidence_trend
-from glyphlake.plans import queries
+from glyphlake.plans import job_queries
 from glyphlake.sources.fixtures import recognized_texts
 
-QUERIES = queries.QUERIES
-ORACLES = queries.ORACLES
+QUERIES = job_queries.QUERIES
+ORACLES = job_queries.ORACLES
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

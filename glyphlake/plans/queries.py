@@ -205,7 +205,7 @@ def u3_delete_users(spark, d):
     return history.delete_users(rows, rows.where("user_id % 2 = 0").select("user_id").distinct()).select("id", "user_id")
 
 
-def _written(spark, d) -> str:
+def written(spark, d) -> str:
     """Recognitions written as the library lays them out; the folder."""
     path = f"{shared_dir(spark)}/glyphlake/{uuid.uuid4().hex}/recognitions"
     write_recognitions(fx.recognized_texts(spark, d).withColumn("num_lines", F.lit(1)).select([f.name for f in RECOGNITIONS]), path)
@@ -214,27 +214,27 @@ def _written(spark, d) -> str:
 
 @query("SELECT id, user_id, status FROM {recognized_texts} WHERE NOT (status = 'failed' AND id % 2 = 0)")
 def u2_deleted_from_storage(spark, d):
-    path = _written(spark, d)
+    path = written(spark, d)
     rewrites.delete_stored(spark, path, read_recognitions(spark, path).where("status = 'failed' AND id % 2 = 0").select("id", "user_id"))
     return read_recognitions(spark, path).select("id", "user_id", "status")
 
 
 @query("SELECT id, user_id FROM {recognized_texts} WHERE user_id % 5 <> 0")
 def u3_users_deleted_from_storage(spark, d):
-    path = _written(spark, d)
+    path = written(spark, d)
     rewrites.delete_stored_users(spark, path, fx.users(spark, d).where("id % 5 = 0").select(F.col("id").alias("user_id")))
     return read_recognitions(spark, path).select("id", "user_id")
 
 
 @query("SELECT id, CASE WHEN id % 9 = 0 THEN 'renamed.png' ELSE file_name END AS file_name, status FROM {recognized_texts}")
 def p17_patched_storage(spark, d):
-    path = _written(spark, d)
+    path = written(spark, d)
     rewrites.patch_stored(spark, path, read_recognitions(spark, path).where("id % 9 = 0").select("id", F.lit("renamed.png").alias("file_name")))
     return read_recognitions(spark, path).select("id", "file_name", "status")
 
 
 def _searched(spark, d, term, literal=False):
-    path = _written(spark, d)
+    path = written(spark, d)
     search_index.write_index(spark, path, f"{path}_index")
     return search_index.indexed_search(spark, path, f"{path}_index", term, literal)[0].select("id", "user_id")
 
