@@ -95,3 +95,27 @@ def test_word_edits(spark):
     df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, truth string, pred string")
     got = [r[0] for r in df.orderBy("i").select(scoring.word_edits(F.col("truth"), F.col("pred"))).collect()]
     assert got == [word_distance(*p) for p in pairs]
+
+
+# Keys of whole letters, of half ones and of signs, as a typist knows them; none of the converter's patterns is used below.
+WHOLE = {"s": "क", "v": "ख", "u": "ग", "r": "च", "h": "ज", "t": "त", "y": "थ", "b": "द", "w": "ध", "g": "न", "k": "प", "a": "ब", "d": "म", "o": "य", "n": "ल", "j": "व", "z": "श", ";": "स", "x": "ह"}
+HALF = {"S": "क्", "V": "ख्", "U": "ग्", "R": "च्", "H": "ज्", "T": "त्", "Y": "थ्", "W": "ध्", "G": "न्", "K": "प्", "A": "ब्", "D": "म्", "N": "ल्", "J": "व्", "Z": "श्", ":": "स्", "X": "ह्"}
+SIGN = {"f": "ा", "L": "ी", "'": "ु", '"': "ू", "[": "ृ", "]": "े", "}": "ै", "f]": "ो", "f}": "ौ"}
+NASAL = {"+": "ं", "F": "ँ"}
+syllables = st.tuples(
+    st.lists(st.sampled_from(sorted(HALF)), max_size=2), st.sampled_from(sorted(WHOLE)), st.sampled_from(["", "l", *sorted(SIGN)]), st.sampled_from(["", "", "+", "F"]), st.booleans()
+)
+
+
+def typed_and_read(halves, letter, sign, nasal, reph):
+    """A syllable as it is typed (short i first, reph last) and as it is read (reph first, short i behind its letters)."""
+    keys = ("l" if sign == "l" else "") + "".join(halves) + letter + ("" if sign == "l" else sign) + nasal + ("{" if reph else "")
+    text = ("र्" if reph else "") + "".join(HALF[h] for h in halves) + WHOLE[letter] + ("ि" if sign == "l" else SIGN.get(sign, "")) + NASAL.get(nasal, "")
+    return keys, text
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.lists(syllables, min_size=1, max_size=5), min_size=1, max_size=20))
+def test_typed_syllables_are_read(spark, words):
+    pairs = [tuple("".join(part) for part in zip(*(typed_and_read(*s) for s in word), strict=True)) for word in words]
+    assert run(spark, script.preeti_to_unicode, [k for k, _ in pairs]) == [t for _, t in pairs]
