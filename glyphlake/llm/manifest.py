@@ -95,9 +95,13 @@ def leaves(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), leaf_of().alias("leaf"), F.when(hit, leaf_of(n_chars=F.col("n_chars") + 1)).alias("tampered"))
 
 
-def _ordered(df: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """``df`` sorted over all, with ``part`` (its range) and ``at`` (rising in order, without gaps inside a range)."""
-    by_range = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("at", F.monotonically_increasing_id())
+def _ordered(df: DataFrame, ranges: list[str], order: list[str], name: str) -> DataFrame:
+    """``df`` sorted by ``order`` over all, with ``part`` (its range) and ``at`` (rising in order, without gaps inside a range).
+
+    ``ranges`` are short columns in the same order, as the driver gets a sample of them; rows that tie in all of them are dealt too.
+    """
+    placed = df.withColumn("place", F.monotonically_increasing_id()).repartitionByRange(*ranges, "place")
+    by_range = placed.sortWithinPartitions(*order, "place").drop("place").withColumn("at", F.monotonically_increasing_id())
     return stored(by_range.withColumn("part", F.shiftright("at", 33)), name)
 
 
@@ -106,10 +110,11 @@ def placed(rows: DataFrame) -> tuple[DataFrame, int]:
 
     Places come from counts of each language in each range, so no task sees a whole language.
     """
-    rows = _ordered(rows, ["lang", "doc_id", "leaf", "tampered"], "leaves")
+    head = F.conv(F.substring("leaf", 1, 15), 16, 10).cast("long")
+    rows = _ordered(rows.withColumn("head", head), ["lang", "doc_id", "head"], ["lang", "doc_id", "leaf"], "leaves")
     runs = rows.groupBy("part", "lang").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
     langs = runs.groupBy("lang").agg(F.sum("n").alias("total"))
-    langs = _ordered(langs, ["lang"], "languages")
+    langs = _ordered(langs, ["lang"], ["lang"], "languages")
     ranges = langs.groupBy("part").agg(F.count(F.lit(1)).alias("m"), F.min("at").alias("start"))
     before = F.coalesce(F.sum("m").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a range
     ranges = F.broadcast(ranges.select("part", "start", before.alias("before")))
