@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from glyphlake.operators.quantiles import exact, quantiles, sketches
+from glyphlake.operators.quantiles import exact, refined, sketches
 
 PARTS = ("train", "valid", "test")
 #: Hexadecimal digits of a hash whose prefixes part a class.
@@ -87,11 +87,11 @@ SHARES = {"p50": 0.5, "p90": 0.9, "p99": 0.99}
 def size_distribution(df: DataFrame, column: str, by: str, small: bool = False) -> DataFrame:
     """Per group: smallest, largest and mean size, and the sizes below which half, 90 and 99 hundredths of the rows lie.
 
-    The last ones come from sketches; ``small`` holds a group's sizes in memory for exact, interpolated values. A group without sizes
-    has nulls.
+    The last ones are exact values of rows, found through sketches; ``small`` holds a group's sizes in memory for interpolated values.
+    A group without sizes has nulls.
     """
     whole = df.groupBy(by).agg(F.min(column).alias("smallest"), F.max(column).alias("largest"), F.avg(column).alias("mean"), *(exact(column, SHARES) if small else []))
     if small:
         return whole
-    parts = quantiles(sketches(df, [by], column), SHARES).drop("n").withColumnRenamed(by, "__by")
+    parts = refined(df, [by], column, SHARES, sketches(df, [by], column)).drop("n").withColumnRenamed(by, "__by")
     return whole.join(parts.hint("merge"), F.col(by).eqNullSafe(F.col("__by")), "left").drop("__by")

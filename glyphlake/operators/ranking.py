@@ -34,3 +34,16 @@ def ranked(df: DataFrame, by: list[str], order: list[Column], name: str = "rank"
     for i, c in enumerate(by):
         same = same & F.col(c).eqNullSafe(F.col(f"__own{i}"))
     return rows.join(runs.hint("merge"), same).select(*df.columns, (F.col("__at") + F.col("shift") + 1).cast("long").alias(name))
+
+
+def summed(df: DataFrame, by: list[str], order: list[Column], weight: str, name: str) -> DataFrame:
+    """``df`` with ``name``: the sum of ``weight`` up to and with each row in the order of ``order`` within ``by``, counted as ``ranked`` counts."""
+    rows = ranged(df, by, order)
+    parts = rows.groupBy(F.col("__part").alias("part"), *by).agg(F.sum(weight).alias("sum"))
+    before = F.coalesce(F.sum("sum").over(Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a range
+    runs = stored(parts.select("part", *[F.col(c).alias(f"__own{i}") for i, c in enumerate(by)], before.alias("before")), "runs")
+    same = F.col("__part") == F.col("part")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"__own{i}"))
+    inside = F.sum(weight).over(Window.partitionBy("__part", *by).orderBy("__at").rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("__inside", inside).join(runs.hint("merge"), same).select(*df.columns, (F.col("__inside") + F.col("before")).alias(name))

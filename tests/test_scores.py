@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from glyphlake.operators import alignment, quantiles, ranking, scoring
+from glyphlake.operators import alignment, dataset, quantiles, ranking, scoring
 
 
 def plain(a, b):
@@ -118,3 +118,31 @@ def test_ranks_along_ranges(spark, by):
         own = sorted((r for r in got if not by or r["g"] == g), key=lambda r: r["place"])
         assert [r["place"] for r in own] == list(range(1, len(own) + 1))
         assert [(-r["v"], r["id"]) for r in own] == sorted((-r["v"], r["id"]) for r in own)
+
+
+def _ranked_values(values, shares):
+    """The smallest value whose rank is at least each share: a percentage, so that no rounding is left."""
+    own = sorted(values)
+    return [own[max(1, -(-len(own) * share // 100)) - 1] for share in shares]
+
+
+def _many(spark):
+    return spark.range(90_000).select((F.col("id") % 3).alias("g"), (F.col("id") % 30).alias("day"), (F.pmod(F.xxhash64("id"), F.lit(10**6)) * (F.col("id") % 3 + 1)).cast("double").alias("v"))
+
+
+def test_sizes_of_large_groups_are_exact(spark):
+    df = _many(spark)
+    got = {r["g"]: [r["p50"], r["p90"], r["p99"]] for r in dataset.size_distribution(df, "v", "g").collect()}
+    assert got == {g: _ranked_values([r["v"] for r in df.where(f"g = {g}").collect()], (50, 90, 99)) for g in range(3)}
+
+
+def test_refined_values_are_exact_wherever_the_sketch_points(spark):
+    """Few distinct values, null groups, small groups and bounds that miss the value at first."""
+    df = _many(spark).select(F.when(F.col("g") > 0, F.col("g")).alias("g"), F.floor(F.col("v") / 1000).alias("v")).unionByName(spark.createDataFrame([(9, 5), (9, None), (8, None)], "g long, v long"))
+    held = {}
+    for r in df.where("v IS NOT NULL").collect():
+        held.setdefault(r["g"], []).append(float(r["v"]))
+    want = {g: (len(v), _ranked_values(v, (1, 50, 100))) for g, v in held.items()}
+    for margin in (1e-9, 0.004, 1.0):
+        got = quantiles.refined(df, ["g"], "v", {"a": 0.01, "b": 0.5, "c": 1.0}, quantiles.sketches(df, ["g"], "v", k=8), margin)
+        assert {r["g"]: (r["n"], [r["a"], r["b"], r["c"]]) for r in got.collect()} == want
