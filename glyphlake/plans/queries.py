@@ -730,16 +730,17 @@ _add("a24_model_comparison", lambda s, d: _compared(s, d, ["crnn", "transformer"
 _add("j9_one_model", lambda s, d: _compared(s, d, ["crnn"]), _with(WORD_EDITS, _COMPARED, body="SELECT metric, max(value) FILTER (system = 'crnn') AS crnn FROM metrics GROUP BY metric"))
 
 
-_SKETCHED = _COMPARED.replace("quantile_cont", "quantile_disc")  # at these sizes a sketch holds every value
+_SKETCHED = _COMPARED.replace("quantile_cont", "quantile_disc")
 _add("a24_model_comparison_sketched", lambda s, d: _compared(s, d, ["crnn", "transformer"], small=False), _with(WORD_EDITS, _SKETCHED, body="SELECT metric, max(value) FILTER (system = 'crnn') AS crnn, max(value) FILTER (system = 'transformer') AS transformer FROM metrics GROUP BY metric"))
 
 
 @query("""SELECT model_used, count(*) AS n, quantile_disc(processing_time_ms, 0.5) AS p50, quantile_disc(processing_time_ms, 0.9) AS p90, quantile_disc(processing_time_ms, 0.99) AS p99
 FROM {recognized_texts} GROUP BY model_used""")
 def a24_latency_by_days(spark, d):
-    """Sketches of each day, merged into one of each model."""
-    days = quantiles.sketches(fx.recognized_texts(spark, d), ["model_used"], "processing_time_ms", F.to_date("created_at"))
-    return quantiles.quantiles(quantiles.merged(days, ["model_used"]), dataset.SHARES)
+    """Sketches of each day, merged into one of each model, which tells where the exact values are."""
+    rows = fx.recognized_texts(spark, d)
+    days = quantiles.sketches(rows, ["model_used"], "processing_time_ms", F.to_date("created_at"))
+    return quantiles.refined(rows, ["model_used"], "processing_time_ms", dataset.SHARES, quantiles.merged(days, ["model_used"]))
 
 
 @query("SELECT t.sample_id, t.truth, p.system, p.pred FROM (SELECT DISTINCT sample_id, truth FROM {eval_pairs}) t JOIN {eval_pairs} p USING (sample_id)")
