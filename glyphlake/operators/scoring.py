@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from glyphlake.operators.alignment import edit_counts, pair_counts
-from glyphlake.operators.quantiles import exact, quantiles, sketches
+from glyphlake.operators.quantiles import exact, refined, sketches
 from glyphlake.operators.ranking import ranked
 
 
@@ -107,14 +107,14 @@ LATENCIES = {"latency_p50": 0.5, "latency_p95": 0.95}
 def compare_models(pairs: DataFrame, latencies: DataFrame, systems: list[str], params: DataFrame | None = None, small: bool = False) -> DataFrame:
     """One row per metric, one column per system: accuracy, cer, wer, latency (mean, median, 95th hundredth), parameters if given.
 
-    Latencies of any number of rows go through sketches; ``small`` holds them in memory for exact, interpolated values. A system
+    Quantiles of latencies are exact values of rows, found through sketches; ``small`` holds them in memory for interpolated values. A system
     without data has nulls; a single system is a comparison of one column.
     """
     one = lambda df, metric: df.select("system", F.lit(metric).alias("metric"), F.col(metric).alias("value"))
     scores = one(accuracy(pairs), "accuracy").unionByName(one(cer(pairs), "cer")).unionByName(one(wer(pairs), "wer"))
     time = "processing_time_ms"
     scores = scores.unionByName(one(latencies.groupBy("system").agg(F.avg(time).alias("latency_ms")), "latency_ms"))
-    speed = latencies.groupBy("system").agg(*exact(time, LATENCIES)) if small else quantiles(sketches(latencies, ["system"], time), LATENCIES)
+    speed = latencies.groupBy("system").agg(*exact(time, LATENCIES)) if small else refined(latencies, ["system"], time, LATENCIES, sketches(latencies, ["system"], time))
     for metric in LATENCIES:
         scores = scores.unionByName(one(speed, metric))
     if params is not None:

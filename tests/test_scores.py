@@ -146,3 +146,11 @@ def test_refined_values_are_exact_wherever_the_sketch_points(spark):
     for margin in (1e-9, 0.004, 1.0):
         got = quantiles.refined(df, ["g"], "v", {"a": 0.01, "b": 0.5, "c": 1.0}, quantiles.sketches(df, ["g"], "v", k=8), margin)
         assert {r["g"]: (r["n"], [r["a"], r["b"], r["c"]]) for r in got.collect()} == want
+
+
+def test_compared_latencies_of_many_rows_are_exact(spark):
+    df = _many(spark).select(F.concat(F.lit("s"), (F.col("g") % 2).cast("string")).alias("system"), F.col("v").alias("processing_time_ms"))
+    pairs = spark.createDataFrame([("s0", 1, "a b", "a b"), ("s1", 1, "a b", "a c")], "system string, sample_id long, truth string, pred string")
+    got = {r["metric"]: [r["s0"], r["s1"]] for r in scoring.compare_models(pairs, df, ["s0", "s1"]).collect()}
+    want = [_ranked_values([r[0] for r in df.where(f"system = '{s}'").select("processing_time_ms").collect()], (50, 95)) for s in ("s0", "s1")]
+    assert [got["latency_p50"], got["latency_p95"]] == [list(x) for x in zip(*want, strict=True)]
