@@ -119,3 +119,20 @@ def typed_and_read(halves, letter, sign, nasal, reph):
 def test_typed_syllables_are_read(spark, words):
     pairs = [tuple("".join(part) for part in zip(*(typed_and_read(*s) for s in word), strict=True)) for word in words]
     assert run(spark, script.preeti_to_unicode, [k for k, _ in pairs]) == [t for _, t in pairs]
+
+
+def test_conversion_time_is_small_and_words_are_forgotten(spark):
+    """Conversions run on whole texts outside of interpreted expressions, and remember a bounded number of bounded words."""
+    for convert in (script.preeti_to_unicode, script.unicode_to_preeti, script.roman_to_devanagari, script.roman_runs):
+        plan = spark.createDataFrame([("ka [\n] ",)], "t string").select(convert(F.col("t")).alias("c"))._jdf.queryExecution().executedPlan().toString()
+        assert "ArrowEvalPython" in plan and "lambda" not in plan and "regexp" not in plan
+    known = script.Remembered(str.upper)
+    for i in range(script.MOST_WORDS + 5):
+        assert known[f"w{i}"] == f"W{i}"
+    assert len(known) == 5 and known["x" * 100] == "X" * 100 and len(known) == 5
+
+
+def test_what_is_no_letter_stays(spark):
+    typed = ["[\n] ^_` ka\r\n", "shri chhkri MMM riri", "\U0010f100k\U0010f103", None, ""]
+    assert run(spark, script.roman_to_devanagari, typed) == ["[\n] ^_` क\r\n", "श्रि छ्कृ ँंरिरि", "\U0010f100क\U0010f103", None, ""]
+    assert run(spark, script.roman_runs, ["x" * 50_000, "[\n] ka.ka ka"]) == ["x" * 50_000, "[\n] ka.ka ka"]
