@@ -134,5 +134,12 @@ def test_conversion_time_is_small_and_words_are_forgotten(spark):
 
 def test_what_is_no_letter_stays(spark):
     typed = ["[\n] ^_` ka\r\n", "shri chhkri MMM riri", "\U0010f100k\U0010f103", None, ""]
-    assert run(spark, script.roman_to_devanagari, typed) == ["[\n] ^_` क\r\n", "श्रि छ्कृ ँंरिरि", "\U0010f100क\U0010f103", None, ""]
-    assert run(spark, script.roman_runs, ["x" * 50_000, "[\n] ka.ka ka"]) == ["x" * 50_000, "[\n] ka.ka ka"]
+    assert run(spark, script.roman_to_devanagari, typed) == ["[\n] ^_` क\r\n", "श्रि छ्कृ ँं रिरि", "\U0010f100क\U0010f103", None, ""]
+    assert run(spark, script.roman_runs, ["x" * 50_000, "[\n] ka.ka ka"]) == ["x" * 50_000, "[\n] ka.क ka"]
+
+
+def test_report_counts_in_one_pass(spark):
+    df = spark.createDataFrame([("a", "g]kfn"), ("a", "ab \n["), ("a", None), ("b", None)], "lang string, t string")
+    report = script.conversion_report(df, "t", "lang")
+    assert report._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython [") == 1
+    assert [tuple(r) for r in report.orderBy("lang").collect()] == [("a", 3, 2, 2, 10), ("b", 1, 0, None, None)]
