@@ -3,34 +3,81 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from urllib.parse import unquote
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphlake.functions.text import let
 from glyphlake.operators.history import matches
 
 COLUMNS = ("file_name", "text")
 #: Files beyond which a list of them is no gain: the whole table is read then.
 MOST_FILES = 20_000
 GRAM = 3
+#: Texts that a task turns into Python strings at once, and trigrams that it gathers of a file before they go on.
+TEXTS, MOST_GRAMS = 64, 200_000
 
 
 def trigrams(c: Column) -> Column:
     """The distinct runs of three characters of a lower-cased text; none for a shorter or null one."""
+    return F.arrow_udf(_trigrams, "array<string>")(F.lower(F.coalesce(c, F.lit(""))))
 
-    def runs(chars: Column) -> Column:
-        ends = F.sequence(F.lit(GRAM), F.size(chars))
-        return F.when(F.size(chars) >= GRAM, F.array_distinct(F.transform(ends, lambda i: F.array_join(F.slice(chars, i - GRAM + 1, GRAM), "")))).otherwise(F.array().cast("array<string>"))
 
-    return let(F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), ""), lambda x: x != ""), runs)
+def _grams(texts: list[str]) -> np.ndarray:
+    """The distinct runs of three characters inside texts, each as a number of three code points of 21 bits."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64)
+    inside = np.ones(len(codes), bool)
+    ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
+    for back in (1, 2):
+        inside[(ends - back)[ends >= back]] = False
+    keys = codes[:-2] << 42 | codes[1:-1] << 21 | codes[2:]
+    return np.unique(keys[inside[: len(keys)]])
+
+
+def _spelt(keys: np.ndarray) -> list[str]:
+    codes = np.stack([keys >> 42, keys >> 21 & 0x1FFFFF, keys & 0x1FFFFF], axis=1).astype(np.uint32).tobytes().decode("utf-32-le")
+    return [codes[at : at + GRAM] for at in range(0, len(codes), GRAM)]
+
+
+def _trigrams(texts: pa.Array) -> pa.Array:
+    parts = [pa.array([_spelt(_grams([t])) for t in texts.slice(at, TEXTS).to_pylist()], pa.list_(pa.string())) for at in range(0, len(texts), TEXTS)]
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.string()))
 
 
 def postings(table: DataFrame, columns: tuple[str, ...] = COLUMNS) -> DataFrame:
-    """``trigram, column, file``: each once for every file, so that the index grows with the files and not with the rows."""
-    texts = table.select(F.col("_metadata.file_path").alias("file"), F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("t")) for c in columns])).alias("x"))
-    return texts.select("file", "x.column", F.explode(trigrams(F.col("x.t"))).alias("trigram")).distinct()
+    """``trigram, column, file``: each once for every file, so that the index grows with the files and not with the rows.
+
+    A task tells each trigram of a file once for some thousands of texts, as most of them recur from text to text.
+    """
+    texts = table.select(F.col("_metadata.file_path").alias("file"), *[F.lower(F.col(c).cast("string")).alias(c) for c in columns])
+    return texts.mapInArrow(_gathered, "file string, column string, trigram string").distinct()
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        files = batch.column(0)
+        for name, texts in zip(batch.schema.names[1:], batch.columns[1:], strict=True):
+            found: dict[str, np.ndarray] = {}
+            for at in range(0, len(batch), TEXTS):
+                own: dict[str, list[str]] = {}
+                for file, t in zip(files.slice(at, TEXTS).to_pylist(), texts.slice(at, TEXTS).to_pylist(), strict=True):
+                    own.setdefault(file, []).append(t or "")
+                for file, some in own.items():
+                    grams = np.union1d(found.get(file, np.empty(0, np.int64)), _grams(some))
+                    if len(grams) > MOST_GRAMS:
+                        yield _postings(file, name, grams)
+                        grams = np.empty(0, np.int64)
+                    found[file] = grams
+            for file, grams in found.items():
+                yield _postings(file, name, grams)
+
+
+def _postings(file: str, column: str, grams: np.ndarray) -> pa.RecordBatch:
+    same = [pa.array([x], pa.string()).take(pa.array([0] * len(grams), pa.int32())) for x in (file, column)]
+    return pa.RecordBatch.from_arrays([*same, pa.array(_spelt(grams), pa.string())], ["file", "column", "trigram"])
 
 
 def write_index(spark: SparkSession, path: str, index: str, columns: tuple[str, ...] = COLUMNS) -> int:

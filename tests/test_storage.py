@@ -184,3 +184,22 @@ def test_cells_beyond_the_grid_are_kept(spark):
     cells = spark.createDataFrame([(1, 0, c, f"t{c}", 10 * c, c) for c in range(5)] + [(1, 1, 0, "a", 0, 0), (2, 0, None, "whole", 0, 0)], "page_id long, row_no int, col int, text string, x int, line_no int")
     got = {(r["page_id"], r["row_no"]): (r["c0"], r["c1"], r["more"]) for r in layout.cell_grid(cells, 2).collect()}
     assert got == {(1, 0): ("t0", "t1", ["t2", "t3", "t4"]), (1, 1): ("a", None, None), (2, 0): ("whole", None, None)}
+
+
+def test_trigrams_are_those_inside_each_text():
+    from glyphlake.operators import search_index
+
+    texts = ["abcab", "", "x", "yz", "कखग😀क", "\x00\x00\x00", "abc"]
+    want = {t[i : i + 3] for t in texts for i in range(len(t) - 2)}
+    found = search_index._spelt(search_index._grams(texts))
+    assert set(found) == want and len(found) == len(want)
+    assert all(search_index._spelt(search_index._grams([t])) == [] for t in ("", "x", "yz"))
+
+
+def test_postings_tell_a_trigram_of_a_file_once_before_the_shuffle(spark, tmp_path):
+    from glyphlake.operators import search_index
+
+    spark.createDataFrame([(f"F{i % 3}.PNG", "same text" if i % 2 else None) for i in range(400)], "file_name string, text string").coalesce(1).write.parquet(str(tmp_path / "t"))
+    found = search_index.postings(spark.read.parquet(str(tmp_path / "t")))
+    assert {(r["column"], r["trigram"]) for r in found.collect()} == {("file_name", g) for n in range(3) for g in (f"f{n}.", f"{n}.p", ".pn", "png")} | {("text", "same text"[i : i + 3]) for i in range(7)}
+    assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString() and "Generate" not in found._jdf.queryExecution().executedPlan().toString()
