@@ -23,20 +23,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _place(spark: SparkSession, path: str):
+def place_of(spark: SparkSession, path: str):
+    """The file system of a path, and the path in it."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of the table's own file system, if it is there."""
-    system, place = _place(spark, path)
+    system, place = place_of(spark, path)
     system.delete(place, True)
 
 
 def numbered(spark: SparkSession, path: str, name: str) -> list[int]:
     """The numbers of the finished folders ``name=<number>`` in ``path``, in order."""
-    system, place = _place(spark, path)
+    system, place = place_of(spark, path)
     if not system.exists(place):
         return []
     found = [x.getPath() for x in system.listStatus(place)]

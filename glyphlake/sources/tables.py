@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from glyphlake.sources.folders import paths_below, read_folder
+
 KINDS = {"bigint": T.LongType(), "int": T.IntegerType(), "string": T.StringType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "timestamp_ntz": T.TimestampNTZType()}
 
 
@@ -47,17 +49,16 @@ def read_users(spark: SparkSession, path: str) -> DataFrame:
 
 def read_uploads(spark: SparkSession, path: str) -> DataFrame:
     """Files as rows: name, path, bytes, size, time."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "path", "content", F.col("length").alias("n_bytes"), F.col("modificationTime").alias("uploaded_at"))
+    return read_folder(spark, path).select(F.element_at(F.split("path", "/"), -1).alias("name"), "path", "content", F.col("length").alias("n_bytes"), F.col("modificationTime").alias("uploaded_at"))
 
 
 def read_class_dirs(spark: SparkSession, root: str, charset: DataFrame | None = None) -> DataFrame:
     """PNG files below ``root``, labelled by their folder; labels outside ``charset`` are left out, and named in a warning."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.png").option("recursiveFileLookup", "true").load(root)
-    rows = files.select(F.element_at(F.split("path", "/"), -2).alias("label"), F.element_at(F.split("path", "/"), -1).alias("name"), "path", "content")
+    label = F.element_at(F.split("path", "/"), -2).alias("label")
+    rows = read_folder(spark, root, True, ".png").select(label, F.element_at(F.split("path", "/"), -1).alias("name"), "path", "content")
     if charset is None:
         return rows
-    unknown = [r["label"] for r in rows.select("label").distinct().join(charset.select("label"), "label", "left_anti").orderBy("label").limit(NAMED).collect()]
+    unknown = [r["label"] for r in paths_below(spark, root, ".png").select(label).distinct().join(charset.select("label"), "label", "left_anti").orderBy("label").limit(NAMED).collect()]
     if unknown:
         warnings.warn(f"labels outside the charset are left out: {', '.join(unknown)}", stacklevel=2)
     return rows.join(charset.select("label"), "label", "left_semi")
