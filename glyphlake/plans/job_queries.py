@@ -10,7 +10,7 @@ from glyphlake.operators import ingest, recognise
 from glyphlake.plans.queries import EXT, ORACLES, QUERIES, query, written
 from glyphlake.sources import files, tables
 from glyphlake.sources import fixtures as fx
-from glyphlake.sources.shared import shared_dir
+from glyphlake.sources.shared import shared_dir, stored
 from glyphlake.streaming import jobs
 
 __all__ = ["ORACLES", "QUERIES"]  # those of the other module, with the ones below added
@@ -218,7 +218,7 @@ def x5_mapped_images(spark, d):
             raise ValueError("blank")
         return content[::-1]
 
-    done = recognise.map_directory(tables.read_class_dirs(spark, _class_dirs(spark, d)), kernel)
+    done = stored(recognise.map_directory(tables.read_class_dirs(spark, _class_dirs(spark, d)), kernel), "mapped")  # read again for names, failures and files
     path = _folder(spark)
     files.write_class_dirs(done, path)
     made = tables.read_class_dirs(spark, path).select("label", "name", F.col("content").cast("string").alias("content"), F.lit(None).cast("string").alias("error"))

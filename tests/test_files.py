@@ -145,3 +145,11 @@ def test_folders_are_read_by_tasks_as_binary_files_are(spark, tmp_path):
         folders.read_folder(spark, str(tmp_path / "missing"))
     assert folders.read_folder(spark, str(root / "c*"), True, ".txt").count() == 1
     assert folders.paths_below(spark, str(root), ".txt").count() == 2
+
+
+def test_a_mapped_folder_is_mapped_once(spark, sf_dir):
+    """Names, failures and files are taken from what the kernel made once, so what is left to run has no kernel in it."""
+    from glyphlake.plans import job_queries
+
+    plan = job_queries.QUERIES["x5_mapped_images"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "mapped" in plan and "map_directory" not in plan and "MapInPandas" not in plan
