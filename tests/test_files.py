@@ -153,3 +153,9 @@ def test_a_mapped_folder_is_mapped_once(spark, sf_dir):
 
     plan = job_queries.QUERIES["x5_mapped_images"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "mapped" in plan and "map_directory" not in plan and "MapInPandas" not in plan
+
+
+def test_every_upload_comes_back_with_an_empty_one(spark, tmp_path):
+    df = spark.createDataFrame([("a.png", b"x"), ("b.png", None), ("c.png", b"")], "name string, content binary")
+    files.write_files(df, str(tmp_path / "t"), F.col("name"), F.col("content"))
+    assert {(r["name"], r["n_bytes"], bytes(r["content"])) for r in tables.read_uploads(spark, str(tmp_path / "t")).collect()} == {("a.png", 1, b"x"), ("b.png", 0, b""), ("c.png", 0, b"")}
