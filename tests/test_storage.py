@@ -73,6 +73,43 @@ def test_users_and_patches(spark, stored):
         rewrites.patch_stored(spark, stored, spark.createDataFrame([(1, datetime(2024, 1, 1))], "id long, created_at timestamp_ntz"))
 
 
+def test_a_change_shuffles_whole_rows_once(spark, tmp_path):
+    """Texts that do not compress: what a change writes and shuffles is twice their size, where a join and a copy beside the table made it four times."""
+    path, n = str(tmp_path / "w"), 4000
+    text = F.concat(*[F.sha2(F.concat("id", F.lit(f"-{k}")), 512) for k in range(16)])
+    rows = spark.range(n).select("id", (F.col("id") % 50).alias("user_id"), text.alias("text"), F.timestamp_seconds(F.floor(F.col("id") / 200) % 4 * 86400).cast("timestamp_ntz").alias("created_at"))
+    tables.write_recognitions(rows, path)
+    size = sum(p.stat().st_size for p in Path(path).rglob("*.parquet"))
+    store, none = spark.sparkContext._jsc.sc().statusStore(), spark._jvm.java.util.ArrayList()
+
+    def written():
+        stages = store.stageList(none, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), none)
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() + s.outputBytes() for s in (stages.apply(i) for i in range(stages.size()))}
+
+    for change in (
+        lambda: rewrites.delete_stored(spark, path, rows.where("id % 100 = 0").select("id", "user_id")),
+        lambda: rewrites.delete_stored_users(spark, path, spark.createDataFrame([(7,)], "user_id long")),
+        lambda: rewrites.patch_stored(spark, path, rows.where("id % 9 = 0").select("id", F.lit("new").alias("text"))),
+    ):
+        before = written()
+        assert len(change()) == 4
+        assert sum(v for k, v in written().items() if k not in before) < 3 * size
+    want = {r["id"]: "new" if r["id"] % 9 == 0 else r["text"] for r in rows.where("id % 100 <> 0 AND user_id <> 7").collect()}
+    assert {r["id"]: r["text"] for r in spark.read.parquet(path).collect()} == want
+
+
+def test_patches_by_other_keys_and_of_users(spark, tmp_path):
+    """A key that many rows share, rows that share an id, and a patch that moves rows to another user."""
+    path = str(tmp_path / "k")
+    rows = [(i % 40, i % 5 if i % 7 else None, "ab"[i % 2], f"f{i % 3}", datetime(2024, 1, 1 + i % 4)) for i in range(120)]
+    names = "id long, user_id long, status string, file_name string, created_at timestamp_ntz"
+    tables.write_recognitions(spark.createDataFrame(rows, names), path)
+    assert len(rewrites.patch_stored(spark, path, spark.createDataFrame([("f1", 9, None), ("f2", None, "c")], "file_name string, user_id long, status string"), "file_name")) == 4
+    want = [(i, 9 if f == "f1" else u, "c" if f == "f2" else s, f, c) for i, u, s, f, c in rows]
+    assert sorted(map(tuple, spark.read.parquet(path).select("id", "user_id", "status", "file_name", "created_at").collect()), key=str) == sorted(want, key=str)
+    assert rewrites.patch_stored(spark, path, spark.createDataFrame([("f1", 9)], "file_name string, user_id long"), "file_name") == []
+
+
 def test_rows_without_a_date(spark, tmp_path):
     rows = [(i, 1, None if i < 3 else datetime(2024, 1, i)) for i in range(1, 6)]
     path = str(tmp_path / "n")
