@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: What a recogniser that is not there answers (fixed values).
@@ -23,8 +23,6 @@ def _answer(found: dict) -> tuple:
 
 def _answers(predict, values: list, fallback: str) -> list[tuple]:
     """An answer for each value. A batch that fails, or has another number of answers, is tried again value by value."""
-    if predict is None:
-        return [(fallback, FALLBACK_CONFIDENCE, True, None)] * len(values)
     many = getattr(predict, "predict_batch", None)
     if many is not None:
         try:
@@ -55,12 +53,18 @@ def recognise(df: DataFrame, load: Callable[[], Callable] | None, column: str =
 
 
 def _run(df: DataFrame, models: list[tuple[str | None, Callable | None]], column: str, fallback: str, batch_size: int, profile) -> DataFrame:
+    """Pages go through Python for models with a loader alone; the fixed answer of the others is put beside by Spark."""
     named = models[0][0] is not None
+    loaders = [(name, load) for name, load in models if load is not None]
+    fixed = {"text": F.lit(fallback), "confidence": F.lit(FALLBACK_CONFIDENCE), "model_simulated": F.lit(True), "error": F.lit(None).cast("string")}
+    absent = [{**fixed, "model": F.lit(name)} if named else fixed for name, load in models if load is None]
+    if not loaders:
+        return _each(df, absent)
     added = ["text string", "confidence double", "model_simulated boolean", "error string", *(["model string"] if named else [])]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields] + added)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        loaded = [(name, load() if load is not None else None) for name, load in models]
+        loaded = [(name, load()) for name, load in loaders]
         for batch in batches:
             for at in range(0, len(batch), batch_size):
                 part = batch.iloc[at : at + batch_size].reset_index(drop=True)
@@ -68,7 +72,20 @@ def _run(df: DataFrame, models: list[tuple[str | None, Callable | None]], column
                     found = pd.DataFrame(_answers(predict, list(part[column]), fallback), columns=FOUND)
                     yield pd.concat([part, found.assign(model=name) if named else found], axis=1)
 
-    return df.mapInPandas(run, schema, profile=profile)
+    out = df.mapInPandas(run, schema, profile=profile)
+    if not absent:
+        return out
+    own = {c: F.col(c) for c in absent[0]}
+    return _each(out, [own, *absent], F.col("model") == loaders[0][0]).select(out.columns)  # each page once, by its first loaded model
+
+
+def _each(df: DataFrame, answers: list[dict], all_of: Column | None = None) -> DataFrame:
+    """A row of ``df`` for each of ``answers``; where ``all_of`` is false, for the first alone."""
+    if len(answers) == 1:
+        return df.select(*[F.col(c) for c in df.columns if c not in answers[0]], *[value.alias(c) for c, value in answers[0].items()])
+    rows = F.array(*[F.struct(*[value.alias(c) for c, value in answer.items()]) for answer in answers])
+    rows = rows if all_of is None else F.when(all_of, rows).otherwise(F.slice(rows, 1, 1))
+    return df.select(*[F.col(c) for c in df.columns if c not in answers[0]], F.inline(rows))
 
 
 def choose_engine(word_level: Callable | None, char_level: Callable | None) -> Callable | None:

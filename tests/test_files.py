@@ -159,3 +159,18 @@ def test_every_upload_comes_back_with_an_empty_one(spark, tmp_path):
     df = spark.createDataFrame([("a.png", b"x"), ("b.png", None), ("c.png", b"")], "name string, content binary")
     files.write_files(df, str(tmp_path / "t"), F.col("name"), F.col("content"))
     assert {(r["name"], r["n_bytes"], bytes(r["content"])) for r in tables.read_uploads(spark, str(tmp_path / "t")).collect()} == {("a.png", 1, b"x"), ("b.png", 0, b""), ("c.png", 0, b"")}
+
+
+def test_models_that_are_not_there_need_no_python(spark):
+    df = spark.createDataFrame([(i, f"v{i}") for i in range(10)], "id int, content string")
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    fixed = (recognise.FALLBACK_TEXT, 0.95, True, None)
+    alone = recognise.recognise(df, None)
+    assert alone.columns == ["id", "content", *recognise.FOUND] and "MapIn" not in plan(alone)
+    assert {tuple(r) for r in alone.collect()} == {(i, f"v{i}", *fixed) for i in range(10)}
+    two = recognise.run_models(df, {"a": None, "b": None})
+    assert "MapIn" not in plan(two) and sorted(map(tuple, two.collect())) == sorted((i, f"v{i}", *fixed, m) for i in range(10) for m in "ab")
+    four = recognise.run_models(df, {"a": None, "b": Reader, "c": None, "d": Reader}, batch_size=64)
+    assert four.columns == ["id", "content", *recognise.FOUND, "model"]
+    want = [(i, f"v{i}", *(fixed if m in "ac" else (f"10 v{i}", 1.0, False, None)), m) for i in range(10) for m in "abcd"]
+    assert sorted((tuple(r) for r in recognise.run_models(df.coalesce(1), {"a": None, "b": Reader, "c": None, "d": Reader}).collect()), key=str) == sorted(want, key=str)
