@@ -53,8 +53,8 @@ def s3_uploaded_files(spark, d):
     path = _folder(spark)
     docs = fx.load(spark, d, "documents")
     name = F.concat(F.lit("scan"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 6 == 0, ".exe").otherwise(".PNG"))
-    files.write_files(docs, path, name, F.col("text").cast("binary"))
-    return ingest.checked_uploads(tables.read_uploads(spark, path)).select("name", "n_bytes", F.md5("content").alias("md5"), "reject_reason")
+    files.write_files(docs, path, name, F.col("text").cast("binary"), spread=True)
+    return ingest.checked_uploads(tables.read_uploads(spark, path, deep=True)).select("name", "n_bytes", F.md5("content").alias("md5"), "reject_reason")
 
 
 def _class_dirs(spark, d) -> str:
@@ -85,8 +85,8 @@ def _texts(bom: str) -> str:
 
 def _text_files(spark, d, bom: bool):
     path = _folder(spark)
-    files.write_text_files(fx.load(spark, d, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), "text"), path, bom=bom)
-    return tables.read_uploads(spark, path).select("name", "n_bytes", F.md5("content").alias("md5"))
+    files.write_text_files(fx.load(spark, d, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), "text"), path, bom=bom, spread=True)
+    return tables.read_uploads(spark, path, deep=True).select("name", "n_bytes", F.md5("content").alias("md5"))
 
 
 @query(_texts(""))

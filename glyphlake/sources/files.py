@@ -17,6 +17,8 @@ from pyspark.sql.types import StructType
 UNSAFE = re.compile(r"\A\.{0,2}\Z|[/\\\0]|\A_staging-")
 #: Names that an error tells.
 NAMED = 5
+#: Files in a folder that one task fills, if files are spread.
+SPREAD = 10_000
 
 
 def _folder(path: str):
@@ -29,6 +31,7 @@ def _folder(path: str):
 @dataclass
 class Written(WriterCommitMessage):
     files: int
+    attempt: str = ""
 
 
 class FileWriter(DataSourceWriter):
@@ -36,33 +39,39 @@ class FileWriter(DataSourceWriter):
 
     An attempt that fails leaves files in its own folder alone, and one that is repeated moves the same files again. What reaches the
     driver is a number a task. A job that fails removes all of it.
+
+    With ``spread``, an attempt fills folders of ``SPREAD`` files, and those of the attempts that count become folders of the table, one
+    move for each folder: files that tasks move into one and the same folder wait for each other in the file system, whatever the number of tasks.
     """
 
-    def __init__(self, root: str, overwrite: bool) -> None:
-        self.root, self.overwrite = root.rstrip("/"), overwrite
+    def __init__(self, root: str, overwrite: bool, spread: bool = False) -> None:
+        self.root, self.overwrite, self.spread = root.rstrip("/"), overwrite, spread
         parent, _, name = self.root.rpartition("/")
         self.staging = f"{parent}/_staging-{name}-{uuid.uuid4().hex}"
 
     def write(self, rows: Iterator[Row]) -> Written:
         system, staging = _folder(self.staging)
         context = TaskContext.get()
-        own = f"{staging}/attempts/{context.partitionId()}-{context.taskAttemptId()}"
-        moves = 0
+        attempt = f"{context.partitionId()}-{context.taskAttemptId()}"
+        own = f"{staging}/attempts/{attempt}"
+        done = 0
         made: set[str] = set()
         for row in rows:
             parts = [p for p in (row["label"], row["name"]) if p is not None]
             if row["name"] is None or any(UNSAFE.search(p) for p in parts):
                 raise ValueError(f"no name of a file: {'/'.join(parts)!r}")
             folder = "/".join(parts[:-1])
-            for top in (own, f"{staging}/whole"):
+            tops = (f"{own}/{done // SPREAD}",) if self.spread else (own, f"{staging}/whole")
+            for top in tops:
                 if (place := f"{top}/{folder}".rstrip("/")) not in made:
                     system.create_dir(place, recursive=True)
                     made.add(place)
-            with system.open_output_stream(f"{own}/{'/'.join(parts)}") as out:
+            with system.open_output_stream(f"{tops[0]}/{'/'.join(parts)}") as out:
                 out.write(bytes(row["content"] or b""))
-            system.move(f"{own}/{'/'.join(parts)}", f"{staging}/whole/{'/'.join(parts)}")
-            moves += 1
-        return Written(moves)
+            if not self.spread:
+                system.move(f"{own}/{'/'.join(parts)}", f"{staging}/whole/{'/'.join(parts)}")
+            done += 1
+        return Written(done, attempt)
 
     def commit(self, messages: list[Written | None]) -> None:
         from pyarrow import fs
@@ -75,6 +84,10 @@ class FileWriter(DataSourceWriter):
                 raise FileExistsError(self.root)
             system.delete_dir(root)
         system.create_dir(f"{staging}/whole", recursive=True)  # a table without rows is an empty folder
+        if self.spread:
+            for part, message in enumerate(messages):
+                for number in range(-(-message.files // SPREAD)):
+                    system.move(f"{staging}/attempts/{message.attempt}/{number}", f"{staging}/whole/{part}-{number}")
         system.move(f"{staging}/whole", root)
         system.delete_dir(staging)
 
@@ -87,34 +100,38 @@ class FileWriter(DataSourceWriter):
 
 
 class FileSink(DataSource):
-    """Writes rows of ``label, name, content`` as files ``label/name`` (``name`` where the label is null)."""
+    """Writes rows of ``label, name, content`` as files ``label/name`` (``name`` where the label is null); with ``spread``, in folders of its own."""
 
     @classmethod
     def name(cls) -> str:
         return "glyphlake_files"
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
-        return FileWriter(self.options["path"], overwrite)
+        return FileWriter(self.options["path"], overwrite, self.options["spread"] == "true")
 
 
-def write_files(df: DataFrame, path: str, name: Column, content: Column, label: Column | None = None, overwrite: bool = False) -> None:
+def write_files(df: DataFrame, path: str, name: Column, content: Column, label: Column | None = None, overwrite: bool = False, spread: bool = False) -> None:
     """One file for each row: ``content`` (bytes) as ``path/label/name``, or ``path/name`` without a label. Null content is an empty file.
 
-    The folder appears when all files are written, and not at all if one cannot be; names that two rows share are refused.
+    The folder appears when all files are written, and not at all if one cannot be; names that two rows share are refused. With
+    ``spread``, for many files, these places are in numbered folders of ``path`` with at most ``SPREAD`` files each, which tasks fill apart;
+    rows are dealt out by name first, so that there are as many tasks as the shuffle has partitions, whatever the layout of the table.
     """
     spark = df.sparkSession
     rows = df.select((F.lit(None).cast("string") if label is None else label.cast("string")).alias("label"), name.cast("string").alias("name"), content.alias("content"))
     twice = [f"{r['label'] or ''}/{r['name']}" for r in rows.groupBy("label", "name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(NAMED).collect()]
     if twice:
         raise ValueError(f"names that several rows have: {', '.join(sorted(twice))}")
+    if spread:
+        rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "label", "name")
     spark.dataSource.register(FileSink)
-    rows.write.format(FileSink.name()).mode("overwrite" if overwrite else "append").option("path", path).save()
+    rows.write.format(FileSink.name()).mode("overwrite" if overwrite else "append").option("path", path).option("spread", str(spread).lower()).save()
 
 
-def write_text_files(df: DataFrame, path: str, name: str = "name", text: str = "text", bom: bool = False, overwrite: bool = False) -> None:
-    """A text file in UTF-8 for each row; with ``bom`` each begins with a byte order mark. Null texts are empty."""
+def write_text_files(df: DataFrame, path: str, name: str = "name", text: str = "text", bom: bool = False, overwrite: bool = False, spread: bool = False) -> None:
+    """A text file in UTF-8 for each row; with ``bom`` each begins with a byte order mark. Null texts are empty. ``spread`` as in ``write_files``."""
     body = F.coalesce(F.col(text), F.lit(""))
-    write_files(df, path, F.col(name), F.encode(F.concat(F.lit("﻿"), body) if bom else body, "UTF-8"), overwrite=overwrite)
+    write_files(df, path, F.col(name), F.encode(F.concat(F.lit("﻿"), body) if bom else body, "UTF-8"), overwrite=overwrite, spread=spread)
 
 
 def write_class_dirs(files: DataFrame, path: str, overwrite: bool = False) -> int:

@@ -13,6 +13,8 @@ from glyphlake.sources.shared import place_of
 
 #: Names, and bytes of content, that a batch holds.
 NAMES, CONTENT = 10_000, 16 << 20
+#: Bytes of a file that are read at a time where it does not come at once.
+PART = 16 << 20
 LISTED = pa.schema([("path", pa.string()), ("folder", pa.bool_())])
 READ = pa.schema([("path", pa.string()), ("content", pa.binary()), ("length", pa.int64()), ("modificationTime", pa.timestamp("us", "UTC"))])
 
@@ -67,10 +69,18 @@ def _batches(rows: Iterator[tuple], schema: pa.Schema, size: Callable[[tuple], i
 
 
 def _read(path: str) -> tuple[str, bytes, int, int]:
-    with open(path, "rb", 0) as file:
-        changed = os.fstat(file.fileno()).st_mtime_ns // 1_000_000 * 1000
-        content = file.read()
-    return f"file:{path}", content, len(content), changed
+    file = os.open(path, os.O_RDONLY | os.O_CLOEXEC)  # fewer calls to the system than a file object makes
+    try:
+        state = os.fstat(file)
+        content = os.read(file, state.st_size + 1)
+        if len(content) != state.st_size:  # read in parts, or changed meanwhile
+            parts = [content]
+            while parts[-1]:
+                parts.append(os.read(file, PART))
+            content = b"".join(parts)
+    finally:
+        os.close(file)
+    return f"file:{path}", content, len(content), state.st_mtime_ns // 1_000_000 * 1000
 
 
 def _local(spark: SparkSession, root: str) -> str | None:

@@ -47,9 +47,9 @@ def read_users(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(T.StructType([f for f in USERS.fields if f.name != "password_hash"])).parquet(path)
 
 
-def read_uploads(spark: SparkSession, path: str) -> DataFrame:
-    """Files as rows: name, path, bytes, size, time."""
-    return read_folder(spark, path).select(F.element_at(F.split("path", "/"), -1).alias("name"), "path", "content", F.col("length").alias("n_bytes"), F.col("modificationTime").alias("uploaded_at"))
+def read_uploads(spark: SparkSession, path: str, deep: bool = False) -> DataFrame:
+    """Files as rows: name, path, bytes, size, time; with ``deep`` those in folders of ``path`` too, as ``write_files`` spreads them."""
+    return read_folder(spark, path, deep).select(F.element_at(F.split("path", "/"), -1).alias("name"), "path", "content", F.col("length").alias("n_bytes"), F.col("modificationTime").alias("uploaded_at"))
 
 
 def read_class_dirs(spark: SparkSession, root: str, charset: DataFrame | None = None) -> DataFrame:

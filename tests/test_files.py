@@ -161,6 +161,45 @@ def test_every_upload_comes_back_with_an_empty_one(spark, tmp_path):
     assert {(r["name"], r["n_bytes"], bytes(r["content"])) for r in tables.read_uploads(spark, str(tmp_path / "t")).collect()} == {("a.png", 1, b"x"), ("b.png", 0, b""), ("c.png", 0, b"")}
 
 
+def test_tasks_fill_folders_of_their_own(tmp_path, monkeypatch):
+    """No file is moved alone: folders of bounded size go into the table, those of the attempts that count."""
+    from unittest import mock
+
+    monkeypatch.setattr(files, "SPREAD", 2)
+    writer = files.FileWriter(str(tmp_path / "t"), False, spread=True)
+    messages = []
+    for part, attempt, names in ((0, 1, "abc"), (0, 2, "abcde"), (1, 3, ""), (2, 4, "fg")):
+        with mock.patch.object(files, "TaskContext") as context:
+            context.get.return_value.partitionId.return_value, context.get.return_value.taskAttemptId.return_value = part, attempt
+            messages.append(writer.write(iter([{"label": None, "name": n, "content": n.encode()} for n in names])))
+    assert not [p for p in tmp_path.rglob("*") if p.parent.name == "whole"]
+    writer.commit(messages[1:])
+    assert tree(tmp_path) == {f"t/{place}": place[-1:].encode() for place in ("0-0/a", "0-0/b", "0-1/c", "0-1/d", "0-2/e", "2-0/f", "2-0/g")}
+
+
+def test_spread_files_are_written_by_several_tasks_and_read_back(spark, tmp_path):
+    """A table that is one partition is dealt out to tasks, each with a folder of its own."""
+    df = spark.createDataFrame([(f"l{i % 2}", f"{i}.png", bytes([i]) if i else None) for i in range(60)], "label string, name string, content binary").coalesce(1)
+    files.write_files(df, str(tmp_path / "t"), F.col("name"), F.col("content"), spread=True)
+    assert not list(tmp_path.glob("_staging*")) and len(list((tmp_path / "t").iterdir())) == 4 and not [p for p in (tmp_path / "t").iterdir() if p.is_file()]
+    assert sorted((r["name"], bytes(r["content"])) for r in tables.read_uploads(spark, str(tmp_path / "t"), deep=True).collect()) == sorted((f"{i}.png", bytes([i]) if i else b"") for i in range(60))
+    files.write_files(df, str(tmp_path / "c"), F.col("name"), F.col("content"), F.col("label"), spread=True)
+    assert {(r["label"], r["name"]) for r in tables.read_class_dirs(spark, str(tmp_path / "c")).collect()} == {(f"l{i % 2}", f"{i}.png") for i in range(60)}
+    files.write_files(df.limit(0), str(tmp_path / "none"), F.col("name"), F.col("content"), spread=True)
+    assert list((tmp_path / "none").iterdir()) == []
+
+
+@pytest.mark.parametrize("query", ["s3_uploaded_files", "s7_text_files", "s7_text_files_with_mark"])
+def test_many_files_do_not_share_a_folder(spark, sf_dir, monkeypatch, query):
+    from glyphlake.plans import job_queries
+
+    read, roots = tables.read_uploads, []
+    monkeypatch.setattr(tables, "read_uploads", lambda spark, path, **options: roots.append(Path(path.removeprefix("file://"))) or read(spark, path, **options))
+    rows = job_queries.QUERIES[query](spark, sf_dir).count()
+    below = list(roots[0].iterdir())
+    assert len(below) == 4 and all(p.is_dir() for p in below) and sum(len(list(p.iterdir())) for p in below) == rows
+
+
 def test_models_that_are_not_there_need_no_python(spark):
     df = spark.createDataFrame([(i, f"v{i}") for i in range(10)], "id int, content string")
     plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
