@@ -38,7 +38,7 @@ class FileWriter(DataSourceWriter):
     """Tasks write into a folder of their own attempt and move what is whole into the job's; the job's folder becomes the table by one move.
 
     An attempt that fails leaves files in its own folder alone, and one that is repeated moves the same files again. What reaches the
-    driver is a number a task. A job that fails removes all of it.
+    driver is a number a task. A job that fails removes all of it; tasks that still run then find no folder of the job, which they never make.
 
     With ``spread``, an attempt fills folders of ``SPREAD`` files, and those of the attempts that count become folders of the table, one
     move for each folder: files that tasks move into one and the same folder wait for each other in the file system, whatever the number of tasks.
@@ -48,6 +48,9 @@ class FileWriter(DataSourceWriter):
         self.root, self.overwrite, self.spread = root.rstrip("/"), overwrite, spread
         parent, _, name = self.root.rpartition("/")
         self.staging = f"{parent}/_staging-{name}-{uuid.uuid4().hex}"
+        system, staging = _folder(self.staging)
+        for folder in ("attempts", "whole"):
+            system.create_dir(f"{staging}/{folder}", recursive=True)
 
     def write(self, rows: Iterator[Row]) -> Written:
         system, staging = _folder(self.staging)
@@ -64,7 +67,9 @@ class FileWriter(DataSourceWriter):
             tops = (f"{own}/{done // SPREAD}",) if self.spread else (own, f"{staging}/whole")
             for top in tops:
                 if (place := f"{top}/{folder}".rstrip("/")) not in made:
-                    system.create_dir(place, recursive=True)
+                    levels = place.removeprefix(f"{staging}/").split("/")
+                    for depth in range(2, len(levels) + 1):
+                        system.create_dir("/".join([staging, *levels[:depth]]), recursive=False)
                     made.add(place)
             with system.open_output_stream(f"{tops[0]}/{'/'.join(parts)}") as out:
                 out.write(bytes(row["content"] or b""))
@@ -83,7 +88,6 @@ class FileWriter(DataSourceWriter):
                 self.abort(messages)
                 raise FileExistsError(self.root)
             system.delete_dir(root)
-        system.create_dir(f"{staging}/whole", recursive=True)  # a table without rows is an empty folder
         if self.spread:
             for part, message in enumerate(messages):
                 for number in range(-(-message.files // SPREAD)):
@@ -96,7 +100,8 @@ class FileWriter(DataSourceWriter):
 
         system, staging = _folder(self.staging)
         if system.get_file_info(staging).type != fs.FileType.NotFound:
-            system.delete_dir(staging)
+            system.move(staging, f"{staging}-dropped")  # no task makes a file below a folder that is gone
+            system.delete_dir(f"{staging}-dropped")
 
 
 class FileSink(DataSource):

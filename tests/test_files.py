@@ -161,6 +161,25 @@ def test_every_upload_comes_back_with_an_empty_one(spark, tmp_path):
     assert {(r["name"], r["n_bytes"], bytes(r["content"])) for r in tables.read_uploads(spark, str(tmp_path / "t")).collect()} == {("a.png", 1, b"x"), ("b.png", 0, b""), ("c.png", 0, b"")}
 
 
+@pytest.mark.parametrize("spread", [False, True])
+def test_a_task_that_outlives_its_job_leaves_nothing(tmp_path, spread):
+    from unittest import mock
+
+    writer = files.FileWriter(str(tmp_path / "t"), False, spread)
+
+    def rows():
+        yield {"label": "x", "name": "a", "content": b"c"}
+        writer.abort([])
+        yield {"label": "y", "name": "b", "content": b"c"}
+
+    with mock.patch.object(files, "TaskContext") as context:
+        context.get.return_value.partitionId.return_value, context.get.return_value.taskAttemptId.return_value = 0, 1
+        for late in (rows(), iter([{"label": None, "name": "c", "content": b"c"}])):
+            with pytest.raises(FileNotFoundError):
+                writer.write(late)
+    assert list(tmp_path.iterdir()) == []
+
+
 def test_tasks_fill_folders_of_their_own(tmp_path, monkeypatch):
     """No file is moved alone: folders of bounded size go into the table, those of the attempts that count."""
     from unittest import mock
