@@ -115,19 +115,24 @@ class FileSink(DataSource):
         return FileWriter(self.options["path"], overwrite, self.options["spread"] == "true")
 
 
+def _uneven(rows: DataFrame) -> bool:
+    held = rows.groupBy(F.spark_partition_id().alias("part")).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("most"), F.sum("n").alias("all")).first()
+    return (held["most"] or 0) * rows.sparkSession.sparkContext.defaultParallelism > 2 * (held["all"] or 0)
+
+
 def write_files(df: DataFrame, path: str, name: Column, content: Column, label: Column | None = None, overwrite: bool = False, spread: bool = False) -> None:
     """One file for each row: ``content`` (bytes) as ``path/label/name``, or ``path/name`` without a label. Null content is an empty file.
 
     The folder appears when all files are written, and not at all if one cannot be; names that two rows share are refused. With
     ``spread``, for many files, these places are in numbered folders of ``path`` with at most ``SPREAD`` files each, which tasks fill apart;
-    rows are dealt out by name first, so that there are as many tasks as the shuffle has partitions, whatever the layout of the table.
+    where one task would hold more than twice the share of a core (a table in one row group), rows are dealt out by name first.
     """
     spark = df.sparkSession
     rows = df.select((F.lit(None).cast("string") if label is None else label.cast("string")).alias("label"), name.cast("string").alias("name"), content.alias("content"))
     twice = [f"{r['label'] or ''}/{r['name']}" for r in rows.groupBy("label", "name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(NAMED).collect()]
     if twice:
         raise ValueError(f"names that several rows have: {', '.join(sorted(twice))}")
-    if spread:
+    if spread and _uneven(rows):
         rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "label", "name")
     spark.dataSource.register(FileSink)
     rows.write.format(FileSink.name()).mode("overwrite" if overwrite else "append").option("path", path).option("spread", str(spread).lower()).save()

@@ -204,6 +204,9 @@ def test_spread_files_are_written_by_several_tasks_and_read_back(spark, tmp_path
     assert sorted((r["name"], bytes(r["content"])) for r in tables.read_uploads(spark, str(tmp_path / "t"), deep=True).collect()) == sorted((f"{i}.png", bytes([i]) if i else b"") for i in range(60))
     files.write_files(df, str(tmp_path / "c"), F.col("name"), F.col("content"), F.col("label"), spread=True)
     assert {(r["label"], r["name"]) for r in tables.read_class_dirs(spark, str(tmp_path / "c")).collect()} == {(f"l{i % 2}", f"{i}.png") for i in range(60)}
+    even = spark.range(600, numPartitions=6).select(F.col("id").cast("string").alias("name"))
+    files.write_files(even, str(tmp_path / "e"), F.col("name"), F.lit(b"x"), spread=True)
+    assert sorted(len(list(p.iterdir())) for p in (tmp_path / "e").iterdir()) == [100] * 6  # written where they lie, without a shuffle
     files.write_files(df.limit(0), str(tmp_path / "none"), F.col("name"), F.col("content"), spread=True)
     assert list((tmp_path / "none").iterdir()) == []
 
